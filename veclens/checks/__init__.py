@@ -31,5 +31,8 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from . import (  # noqa: E402, F401 - registers the checks
+    chunks,
     corpus,
+    features,
+    runs,
 )

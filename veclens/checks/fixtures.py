@@ -226,3 +226,25 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("errors"),
         F.expr("n div 5").alias("examples_seen"),
     )
+
+
+# --- prompts -------------------------------------------------------------------
+
+PROMPTS_SQL = """
+prompts AS (
+  SELECT token_idx, label AS prompt_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM rows)
+"""
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as prompt tokens: the label is the prompt, places follow ``vec_id``."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("bucket", F.expr("vec_id div 1000"))
+    placed = running(
+        vectors, bucket="bucket", order=("vec_id",), by=("label",), sums={"pos": F.lit(1).cast("bigint")}
+    )
+    return placed.select(
+        "vec_id",
+        F.col("label").alias("prompt_id"),
+        (F.col("pos") - 1).alias("pos"),
+        F.col("embedding").alias("activation"),
+    )

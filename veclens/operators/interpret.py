@@ -31,7 +31,7 @@ def feature_statistics(
     )
     # The range starts at ALL_ROWS, so the row total rides along; the window is
     # over one row per feature, which the model bounds.
-    listed = df.sparkSession.range(ALL_ROWS, model.params.d_sae).select(
+    listed = df.sparkSession.range(ALL_ROWS, model.parameters.d_sae).select(
         F.col("id").cast("int").alias("feature_id")
     )
     full = listed.join(merged, "feature_id", "left").fillna(0, ["max_act", "sum_act", "n_active"])

@@ -42,7 +42,7 @@ def prompt_summary(model: SaeModel, df: DataFrame, prompt: str = "prompt_id") ->
     """Mean L0, number of different features, and reconstruction error."""
     errors = model.row_metrics(df, [prompt]).groupBy(prompt).agg(
         F.avg("l0").alias("mean_l0"),
-        (F.avg("squared_error") / model.params.d_model).alias("recon_mse"),
+        (F.avg("squared_error") / model.parameters.d_model).alias("recon_mse"),
     )
     distinct = feature_totals(model, df, prompt).groupBy(prompt).agg(F.count("*").alias("n_features"))
     return errors.join(distinct, prompt, "left").fillna(0, ["n_features"])

@@ -231,25 +231,25 @@ class SaeModel(Model):
 
     def __init__(self, params: SaeParams, broadcast_limit: int = BROADCAST_LIMIT_BYTES):
         super().__init__()
-        self.params = params
+        self.parameters = params
         self.broadcast_limit = broadcast_limit
 
     def _shared(self, spark: SparkSession, feature_ids: Sequence[int] | None = None):
         """Weights for tasks; only the rows of ``feature_ids`` when given."""
-        arrays = self.params.arrays()
+        arrays = self.parameters.arrays()
         if feature_ids is not None:
             ids = np.asarray(feature_ids, dtype=np.int64)
             arrays |= {name: arrays[name][ids] for name in ("w_enc", "b_enc", "w_dec")}
         else:
-            ids = np.arange(self.params.d_sae)
+            ids = np.arange(self.parameters.d_sae)
         return share_arrays(spark, arrays | {"feature_ids": ids}, self.broadcast_limit)
 
     def _run(self, df: DataFrame, keys: Sequence[str], column: str, new_fields, emit,
              feature_ids: Sequence[int] | None = None) -> DataFrame:
         """Maps Arrow batches; ``emit(batch, x, centred, weights)`` yields output batches."""
         load = self._shared(df.sparkSession, feature_ids)
-        width, dtype = self.params.d_model, self.params.w_enc.dtype
-        normalize, apply_b_dec = self.params.normalize_activations, self.params.apply_b_dec_to_input
+        width, dtype = self.parameters.d_model, self.parameters.w_enc.dtype
+        normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
         narrow = df.select(*keys, column)
         schema = T.StructType([narrow.schema[key] for key in keys] + new_fields)
 
@@ -304,9 +304,9 @@ class SaeModel(Model):
         with ``feature_id`` ``ALL_ROWS``, counts the task's vectors.
         """
         load = self._shared(df.sparkSession)
-        width, dtype = self.params.d_model, self.params.w_enc.dtype
-        normalize, apply_b_dec = self.params.normalize_activations, self.params.apply_b_dec_to_input
-        d_sae = self.params.d_sae
+        width, dtype = self.parameters.d_model, self.parameters.w_enc.dtype
+        normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
+        d_sae = self.parameters.d_sae
 
         def run(batches):
             weights = load()
@@ -413,7 +413,7 @@ class SaeModel(Model):
     def save(self, path: str, metadata: dict | None = None) -> None:
         """Parameter rows as Parquet and the rest as one JSON row."""
         spark = SparkSession.active()
-        params = self.params
+        params = self.parameters
         width = max(1, MODEL_BLOCK_BYTES // (2 * 8 * params.d_model))
         for start in range(0, params.d_sae, width):
             stop = min(start + width, params.d_sae)
@@ -479,7 +479,7 @@ def sparse_decode(n_rows: int, rows, features, values, weights: dict) -> np.ndar
 
 def sparsity_metrics(model: SaeModel, df: DataFrame) -> DataFrame:
     """``l0`` (active per row), ``l1_mean`` (over all cells), ``frac_active``."""
-    d_sae = model.params.d_sae
+    d_sae = model.parameters.d_sae
     features = model.feature_partials(df).groupBy("feature_id").agg(
         F.sum("sum_act").alias("sum_act"), F.sum("n_active").alias("n_active")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..schemas import NPY_ROWS, NPY_TOKENS
+from ..schemas import NPY_ROWS, NPY_TOKENS, column_names
 
 SLICE_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
@@ -84,7 +84,7 @@ class NpyReader(DataSourceReader):
         ]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        names = FOLDERS[self.kind].names
+        names = column_names(FOLDERS[self.kind])
         vector = pa.list_(pa.float32()) if self.kind == "activations" else pa.int32()
 
         def rows(n, values, start, dtype, error):
@@ -177,7 +177,7 @@ class NpyDataSource(DataSource):
     def name(cls) -> str:
         return "npychunks"
 
-    def schema(self) -> StructType:
+    def schema(self) -> str:
         return FOLDERS[self.options.get("kind", "activations")]
 
     def reader(self, schema: StructType) -> NpyReader:
