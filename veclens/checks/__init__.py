@@ -34,5 +34,6 @@ from . import (  # noqa: E402, F401 - registers the checks
     chunks,
     corpus,
     features,
+    jobs,
     runs,
 )

@@ -17,10 +17,17 @@ def read_corpus(
     format: str = "parquet",
     schema=None,
     split: str | None = None,
+    glob: str | None = None,
     streaming: bool = False,
 ) -> DataFrame:
-    """Scan a corpus in batch or as a stream; ``split`` names a subfolder."""
+    """Scan a corpus in batch or as a stream.
+
+    ``split`` names a subfolder and ``glob`` the files to take. A stream needs
+    a folder and a schema.
+    """
     reader = spark.readStream if streaming else spark.read
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(format).load(f"{path}/{split}" if split else path)

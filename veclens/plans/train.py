@@ -125,16 +125,25 @@ def collect_gradients(rows: DataFrame, params: SaeParams) -> tuple[dict[str, np.
     """Gradient rows as arrays; there is at most one row per feature."""
     d = params.d_model
     gradients = {name: np.zeros(getattr(params, name).shape) for name in TRAINED}
-    sums = np.zeros(4)
-    for row in rows.toLocalIterator():
-        vector = np.asarray(row["gradient"])
-        if row["feature_id"] == COMMON:
-            gradients["b_dec"], sums = vector[:d], vector[d:]
-        else:
-            f = row["feature_id"]
-            gradients["w_enc"][f], gradients["b_enc"][f] = vector[:d], vector[d]
-            gradients["w_dec"][f] = vector[d + 1:]
-    return gradients, sums
+    features, matrix, common = feature_matrix(rows, 2 * d + 1)
+    gradients["w_enc"][features], gradients["b_enc"][features] = matrix[:, :d], matrix[:, d]
+    gradients["w_dec"][features] = matrix[:, d + 1:]
+    gradients["b_dec"] = common[:d]
+    return gradients, common[d:]
+
+
+def feature_matrix(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature ids, their vectors, and the vector of the ``COMMON`` row."""
+    table = rows.toArrow()
+    ids = table.column("feature_id").to_numpy()
+    vectors = table.column("gradient").combine_chunks()
+    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    offsets, values = vectors.offsets.to_numpy(), vectors.values.to_numpy()
+    at = int(np.flatnonzero(ids == COMMON)[0])
+    common = values[offsets[at]:offsets[at + 1]]
+    others = np.flatnonzero(ids != COMMON)
+    places = offsets[others][:, None] + np.arange(width)[None, :]
+    return ids[others], values[places], common
 
 
 def local_training(window: DataFrame, params: SaeParams, lr: float, l1_coeff: float) -> DataFrame:
@@ -203,12 +212,11 @@ def averaged(rows: DataFrame, params: SaeParams) -> tuple[SaeParams, np.ndarray,
     """Parameters from weighted sums, with the sums of batch figures and their number."""
     d = params.d_model
     arrays = {name: getattr(params, name).copy() for name in TRAINED}
-    vectors = {row["feature_id"]: np.asarray(row["gradient"]) for row in rows.toLocalIterator()}
-    common = vectors.pop(COMMON)
+    features, matrix, common = feature_matrix(rows, 2 * d + 1)
     weight = common[-1]
-    for f, vector in vectors.items():
-        vector = vector / weight
-        arrays["w_enc"][f], arrays["b_enc"][f], arrays["w_dec"][f] = vector[:d], vector[d], vector[d + 1:]
+    matrix = matrix / weight
+    arrays["w_enc"][features], arrays["b_enc"][features] = matrix[:, :d], matrix[:, d]
+    arrays["w_dec"][features] = matrix[:, d + 1:]
     arrays["b_dec"] = common[:d] / weight
     updated = replace(
         params, **arrays, activation_mean=common[d:2 * d] / weight, mean_initialized=True
@@ -309,7 +317,7 @@ class Sae(Estimator):
                 block = train.where(F.col("batch_id").between(t, t + MEAN_BLOCK - 1))
                 means = {
                     row["batch_id"]: (np.asarray(row["batch_mean"]), row["n_rows"])
-                    for row in mean_by_batch(block).toLocalIterator()
+                    for row in mean_by_batch(block).collect()
                 }
             mean, n = means[t]
             params = replace(params, activation_mean=next_mean(params, mean), mean_initialized=True)
