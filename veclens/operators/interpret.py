@@ -34,7 +34,12 @@ def feature_statistics(
     listed = df.sparkSession.range(ALL_ROWS, model.parameters.d_sae).select(
         F.col("id").cast("int").alias("feature_id")
     )
-    full = listed.join(merged, "feature_id", "left").fillna(0, ["max_act", "sum_act", "n_active"])
+    # Not fillna: it would also turn a NaN statistic into 0.
+    full = listed.join(merged, "feature_id", "left").withColumns({
+        "max_act": F.coalesce("max_act", F.lit(0.0)),
+        "sum_act": F.coalesce("sum_act", F.lit(0.0)),
+        "n_active": F.coalesce("n_active", F.lit(0)),
+    })
     n_rows = F.sum(F.when(F.col("feature_id") == ALL_ROWS, F.col("n_active"))).over(Window.partitionBy())
     stats = full.withColumn("n_rows", n_rows).where(F.col("feature_id") != ALL_ROWS)
     return stats.select(
