@@ -223,8 +223,8 @@ def documents_with_ids(spark, sf_dir):
     to_ids = encode.vocabulary_tokenizer(
         known, fx.VOCABULARY, lambda text: corpus.words(text, fx.MAX_LENGTH)
     )
-    docs = corpus.nonempty(fx.corpus(spark, sf_dir))
-    return docs.select("doc_id", to_ids(F.col("text")).alias("token_ids")).where(F.size("token_ids") > 0)
+    docs = corpus.has_words(fx.corpus(spark, sf_dir))
+    return docs.select("doc_id", to_ids(F.col("text")).alias("token_ids"))
 
 
 ENCODER_SUM_SQL = " + ".join(

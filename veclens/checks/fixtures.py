@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_catalog, document_counts, global_index
-from ..operators.corpus import shard_documents, shuffle_documents, words
+from ..operators.corpus import shard_documents, shuffle_documents, spread, words
 from ..operators.ordering import running
 from ..operators.sae import SaeModel, SaeParams
 from ..session import stage
@@ -57,13 +57,13 @@ vocabulary AS (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.withColumn("text", F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text")))
 
 
 def sharded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with token counts, shuffled and dealt to shards. Text is read once."""
-    counted = document_counts(corpus(spark, sf_dir), words("text", MAX_LENGTH))
+    counted = document_counts(corpus(spark, sf_dir), F.size(words("text", MAX_LENGTH)))
     narrow = stage(counted.select("doc_id", "n_tokens"), "counts")
     return shard_documents(shuffle_documents(narrow, seed=SEED), NUM_SHARDS)
 

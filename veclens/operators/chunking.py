@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import running
@@ -16,10 +16,10 @@ BYTES_PER_VALUE = 2  # float16 on disk
 RESUME_COLUMNS = ("shard_id", "tokens_collected", "next_chunk", "examples_seen")
 
 
-def document_counts(df: DataFrame, tokens) -> DataFrame:
-    """Narrow per-document table: ids, order columns, ``n_tokens`` (0 if blank)."""
+def document_counts(df: DataFrame, count: Column) -> DataFrame:
+    """Adds ``n_tokens``, the given count, or 0 for null and empty texts."""
     usable = F.col("text").isNotNull() & (F.col("text") != "")
-    return df.withColumn("n_tokens", F.when(usable, F.size(tokens)).otherwise(0).cast("bigint"))
+    return df.withColumn("n_tokens", F.when(usable, count).otherwise(0).cast("bigint"))
 
 
 def running_tokens(sharded: DataFrame) -> DataFrame:

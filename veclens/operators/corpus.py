@@ -33,6 +33,16 @@ def read_corpus(
     return reader.format(format).load(f"{path}/{split}" if split else path)
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hashes a table over all cores when it has fewer scan tasks than cores.
+
+    For inputs of a few files in front of costly per-row work. Large inputs
+    have more scan tasks than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_text(df: DataFrame) -> DataFrame:
     """Sets ``text``: the column of that name, else ``content``, else ``""``.
 
@@ -57,14 +67,28 @@ def words(text: str | Column = "text", max_length: int | None = MAX_LENGTH) -> C
     return tokens if max_length is None else F.slice(tokens, 1, max_length)
 
 
+def has_words(df: DataFrame) -> DataFrame:
+    """Drops texts without a word. Stops at the first one, unlike a count."""
+    return nonempty(df).where(F.col("text").rlike(r"\S"))
+
+
 def tokenize(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Adds ``tokens`` and drops documents that have none."""
-    return nonempty(df).withColumn("tokens", words("text", max_length)).where(F.size("tokens") > 0)
+    """Adds ``tokens`` and drops documents that have none.
+
+    The filter looks at the text, not at ``tokens``: Spark would push a filter
+    on ``tokens`` below the projection and split every text twice.
+    """
+    return has_words(df).withColumn("tokens", words("text", max_length))
 
 
 def flatten_tokens(tokenized: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per token: the keys, ``pos`` from 0, and ``token``."""
-    return tokenized.select(*keys, F.posexplode("tokens").alias("pos", "token"))
+    """One row per token: the keys, ``pos`` from 0, and ``token``.
+
+    ``tokenized`` has no empty token lists. The outer form gives the same rows
+    then, but keeps Spark from adding a filter on the list's size, for which it
+    would split every text again before the projection does.
+    """
+    return tokenized.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
 
 
 def build_vocabulary(token_rows: DataFrame, size: int) -> DataFrame:

@@ -19,6 +19,7 @@ from ..sources.state import write_json
 def stream_collect(
     corpus: DataFrame, tokenizer: Callable[[Column], Column], make_encoder: Callable[[], Encoder],
     config: CollectConfig, checkpoint_location: str, *, refresh: str | None = None,
+    token_count: Callable[[Column], Column] | None = None,
 ) -> StreamingQuery:
     """Starts the stream; every micro-batch is one round of the collection job.
 
@@ -36,8 +37,9 @@ def stream_collect(
         committed = saved_checkpoints(session, config).where(F.col("round") == number)
         if not committed.isEmpty():
             return
-        tokens = F.slice(tokenizer(F.col("text")), 1, config.max_length)
-        counted = stage(document_counts(batch, tokens).select("doc_id", "n_tokens"), "counts")
+        count = token_count(F.col("text")) if token_count else F.size(tokenizer(F.col("text")))
+        counts = document_counts(batch, F.least(count, F.lit(config.max_length)))
+        counted = stage(counts.select("doc_id", "n_tokens"), "counts")
         sharded = stage(shard_documents(shuffle_documents(counted, seed=config.seed), config.num_shards), "sharded")
         run_round(session, config, batch, sharded, tokenizer, make_encoder, number, whole_input=True)
 
