@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions import vectors
-from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, normalize_decoder
+from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, normalize_decoder
 from veclens.plans.train import Adam, Sae, batch_gradients, next_mean, write_report
 
 D, S, N = 6, 20, 90
@@ -123,6 +123,24 @@ def test_save_and_load(spark, data, tmp_path, monkeypatch):
     assert left == SaeModel(loaded).row_metrics(rows, ["token_idx"]).orderBy("token_idx").collect()
 
 
+def test_a_model_kept_as_a_table_gives_the_same_results(spark, data, tmp_path):
+    rows, x = data
+    params = some_params()
+    SaeModel(params).save(str(tmp_path / "model"))
+    model = SaeModel.load(str(tmp_path / "model"), spark, driver_limit=0)
+    assert isinstance(model.parameters, SaeTable)
+    acts, rebuilt = forward(params, x)
+    result = model.transform(rows)
+    np.testing.assert_allclose(dense(result), acts, atol=1e-9)
+    found = np.array([row["reconstruction"] for row in result.orderBy("token_idx").collect()])
+    np.testing.assert_allclose(found, rebuilt, atol=1e-9)
+    for cell in model.cells(rows, ["token_idx"], feature_ids=[7, 3]).collect():
+        assert cell["act"] == pytest.approx(acts[cell["token_idx"], cell["feature_id"]])
+    model.save(str(tmp_path / "again"))
+    again = SaeModel.load(str(tmp_path / "again"), spark).parameters
+    np.testing.assert_array_equal(again.w_dec, params.w_dec)
+
+
 def loss(params, x, l1):
     acts, rebuilt = forward(params, x)
     return ((rebuilt - x) ** 2).mean() + l1 * acts.mean()
@@ -188,7 +206,9 @@ def test_fit_lowers_the_loss_and_keeps_unit_norms(spark, data, tmp_path, steps_p
     model = Sae(S, steps_per_job=steps_per_job, tasks_per_job=2, **options).fit(rows)
     train = [row["recon_loss"] for row in model.history.where("split = 'train'").orderBy("epoch").collect()]
     assert train[-1] < train[0]
-    np.testing.assert_allclose(np.linalg.norm(model.parameters.w_dec, axis=1), 1, atol=1e-9)
+    model.save(str(tmp_path / "model"))
+    saved = SaeModel.load(str(tmp_path / "model"), spark).parameters
+    np.testing.assert_allclose(np.linalg.norm(saved.w_dec, axis=1), 1, atol=1e-9)
     best = model.parameters.metadata["best_results"]
     val = {r["epoch"]: r for r in model.history.where("split = 'val'").collect()}
     assert best["val_loss"] == min(r["recon_loss"] for r in val.values())

@@ -186,15 +186,11 @@ def train_val_split(spark, sf_dir):
     return split.train_val_split(rows, TRAIN_SPLIT, seed=fx.SEED).select("token_idx", "split_rank", "split")
 
 
-def batched(spark, sf_dir, epoch):
-    rows = stage(fx.activations(spark, sf_dir).select("token_idx"), "index")
-    parts = split.train_val_split(rows, TRAIN_SPLIT, seed=fx.SEED)
-    return split.epoch_batches(parts, epoch, BATCH_SIZE)
-
-
 @check("epoch_batches", f"WITH {BATCHES_SQL} SELECT epoch, split, token_idx, batch_id FROM batches")
 def epoch_batches(spark, sf_dir):
-    first, second = (batched(spark, sf_dir, epoch) for epoch in EPOCHS)
+    rows = fx.activations(spark, sf_dir).select("token_idx")
+    parts = stage(split.train_val_split(rows, TRAIN_SPLIT, seed=fx.SEED), "split")
+    first, second = (split.epoch_batches(parts, epoch, BATCH_SIZE) for epoch in EPOCHS)
     return wide(first.unionByName(second).select("epoch", "split", "token_idx", "batch_id"))
 
 

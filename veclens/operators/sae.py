@@ -2,8 +2,10 @@
 
 Vectors stay in the Spark partitions that hold them and meet the weights in
 Arrow batches; only active features leave a task. Weights are bounded by the
-model and do not grow with the data. Small ones are broadcast, large ones are
-files that Spark copies to each executor once and workers map into memory.
+model and do not grow with the data. Models in driver memory (``SaeParams``)
+are broadcast up to a size and shipped as mapped files beyond it; models too
+large for the driver stay tables in shared storage (``SaeTable``) that tasks
+read themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark import SparkFiles
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +32,7 @@ from ..session import as_uri, staging_path
 
 NORMALIZATIONS = ("none", "expected_average_only_in", "layer_norm")
 BROADCAST_LIMIT_BYTES = 256 << 20
+DRIVER_LIMIT_BYTES = 1 << 30
 CELLS_PER_STEP = 4 << 20
 ROWS_PER_STEP = 2048
 MODEL_BLOCK_BYTES = 64 << 20
@@ -67,12 +70,85 @@ class SaeParams:
     def d_model(self) -> int:
         return self.w_enc.shape[1]
 
+    @property
+    def dtype(self):
+        return self.w_enc.dtype
+
     def arrays(self) -> dict[str, np.ndarray]:
         return {
             "w_enc": self.w_enc, "b_enc": self.b_enc, "w_dec": self.w_dec, "b_dec": self.b_dec,
             "activation_mean": self.activation_mean,
         }
 
+    def share(self, spark: SparkSession, feature_ids: Sequence[int] | None, decoder: bool, limit: int):
+        """A function that returns the weights inside a task."""
+        arrays = self.arrays()
+        ids = np.arange(self.d_sae) if feature_ids is None else np.asarray(feature_ids, dtype=np.int64)
+        if feature_ids is not None:
+            arrays |= {name: arrays[name][ids] for name in ("w_enc", "b_enc", "w_dec")}
+        if not decoder:
+            del arrays["w_dec"]
+        return share_arrays(spark, arrays | {"feature_ids": ids}, limit)
+
+    def rows(self, spark: SparkSession) -> Iterator[DataFrame]:
+        """The weight table in blocks of bounded size."""
+        width = max(1, MODEL_BLOCK_BYTES // (2 * 8 * self.d_model))
+        for start in range(0, self.d_sae, width):
+            stop = min(start + width, self.d_sae)
+            yield spark.createDataFrame(pa.table({
+                "feature_id": pa.array(np.arange(start, stop, dtype=np.int32)),
+                "w_enc": to_vectors(self.w_enc[start:stop]),
+                "b_enc": pa.array(self.b_enc[start:stop].astype(np.float64)),
+                "w_dec": to_vectors(self.w_dec[start:stop]),
+            })).coalesce(1)
+
+
+@dataclass(frozen=True)
+class SaeTable:
+    """Parameters whose feature rows stay a Parquet table at ``path``.
+
+    Only vectors as wide as the model pass through the driver. Tasks read the
+    columns and features they need from shared storage.
+    """
+
+    path: str
+    d_sae: int
+    d_model: int
+    b_dec: np.ndarray
+    activation_mean: np.ndarray
+    dtype: np.dtype = np.dtype("float64")
+    normalize_activations: str = "expected_average_only_in"
+    apply_b_dec_to_input: bool = False
+    mean_initialized: bool = False
+    metadata: dict = field(default_factory=dict)
+
+    def share(self, spark: SparkSession, feature_ids: Sequence[int] | None, decoder: bool, limit: int):
+        location, d_sae, d_model, dtype = as_uri(self.path), self.d_sae, self.d_model, self.dtype
+        common = {"b_dec": self.b_dec.astype(dtype), "activation_mean": self.activation_mean.astype(dtype)}
+        ids = None if feature_ids is None else np.asarray(feature_ids, dtype=np.int64)
+        names = ["w_enc", "w_dec"] if decoder else ["w_enc"]
+
+        def load():
+            filesystem, root = fs.FileSystem.from_uri(location)
+            wanted = None if ids is None else dataset.field("feature_id").isin(ids.tolist())
+            found = np.arange(d_sae) if ids is None else ids
+            place = {int(f): i for i, f in enumerate(found)}
+            arrays = {name: np.zeros((len(found), d_model), dtype=dtype) for name in names}
+            arrays["b_enc"] = np.zeros(len(found), dtype=dtype)
+            table = dataset.dataset(root, filesystem=filesystem, format="parquet")
+            for batch in table.to_batches(columns=["feature_id", "b_enc", *names], filter=wanted):
+                at = [place[f] for f in batch.column("feature_id").to_pylist()]
+                arrays["b_enc"][at] = batch.column("b_enc").to_numpy()
+                for name in names:
+                    if len(at):
+                        arrays[name][at] = to_matrix(batch.column(name), d_model, dtype)
+            return {**arrays, **common, "feature_ids": found}
+
+        return load
+
+    def rows(self, spark: SparkSession) -> Iterator[DataFrame]:
+        yield spark.read.parquet(self.path)
+
 
 def encoder_bound(d_model: int) -> float:
     """Half-width of the uniform start values: sqrt(6 / fan-in)."""
@@ -98,8 +174,12 @@ def initial_weights(spark: SparkSession, d_model: int, d_sae: int, seed: int = 4
     return encoder.select("feature_id", "w_enc", F.lit(0.0).alias("b_enc"), unit("w_enc").alias("w_dec"))
 
 
-def params_from_rows(weights: DataFrame, d_model: int, d_sae: int, *, b_dec=None, mean=None, **options) -> SaeParams:
-    """Reads a weight table into arrays, a bounded block of features at a time."""
+def model_bytes(d_model: int, d_sae: int) -> int:
+    return 2 * 8 * d_model * d_sae
+
+
+def arrays_from_rows(weights: DataFrame, d_model: int, d_sae: int) -> dict[str, np.ndarray]:
+    """A weight table as arrays, read a bounded block of features at a time."""
     width = max(1, MODEL_BLOCK_BYTES // (2 * 8 * d_model))
     arrays = {
         "w_enc": np.zeros((d_sae, d_model)), "b_enc": np.zeros(d_sae), "w_dec": np.zeros((d_sae, d_model))
@@ -107,18 +187,18 @@ def params_from_rows(weights: DataFrame, d_model: int, d_sae: int, *, b_dec=None
     for start in range(0, d_sae, width):
         block = weights.where((F.col("feature_id") >= start) & (F.col("feature_id") < start + width))
         table = block.select("feature_id", "w_enc", "b_enc", "w_dec").toArrow()
-        ids = table.column("feature_id").to_numpy()
-        for name in ("w_enc", "w_dec"):
-            flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            arrays[name][ids] = flat.reshape(len(ids), d_model)
-        arrays["b_enc"][ids] = table.column("b_enc").to_numpy()
-    return SaeParams(
-        **arrays,
-        b_dec=np.zeros(d_model) if b_dec is None else np.asarray(b_dec, dtype=float),
-        activation_mean=np.zeros(d_model) if mean is None else np.asarray(mean, dtype=float),
-        mean_initialized=mean is not None,
-        **options,
-    )
+        for batch in table.to_batches():
+            ids = batch.column("feature_id").to_numpy()
+            arrays["b_enc"][ids] = batch.column("b_enc").to_numpy()
+            for name in ("w_enc", "w_dec"):
+                arrays[name][ids] = to_matrix(batch.column(name), d_model, float)
+    return arrays
+
+
+def params_from_rows(weights: DataFrame, d_model: int, d_sae: int, **options) -> SaeParams:
+    """Driver-held parameters of a fresh model."""
+    zeros = {"b_dec": np.zeros(d_model), "activation_mean": np.zeros(d_model)}
+    return SaeParams(**arrays_from_rows(weights, d_model, d_sae), **zeros, **options)
 
 
 def normalize_decoder(params: SaeParams) -> SaeParams:
@@ -234,21 +314,14 @@ class SaeModel(Model):
         self.parameters = params
         self.broadcast_limit = broadcast_limit
 
-    def _shared(self, spark: SparkSession, feature_ids: Sequence[int] | None = None):
-        """Weights for tasks; only the rows of ``feature_ids`` when given."""
-        arrays = self.parameters.arrays()
-        if feature_ids is not None:
-            ids = np.asarray(feature_ids, dtype=np.int64)
-            arrays |= {name: arrays[name][ids] for name in ("w_enc", "b_enc", "w_dec")}
-        else:
-            ids = np.arange(self.parameters.d_sae)
-        return share_arrays(spark, arrays | {"feature_ids": ids}, self.broadcast_limit)
+    def _shared(self, spark: SparkSession, feature_ids: Sequence[int] | None = None, decoder: bool = False):
+        return self.parameters.share(spark, feature_ids, decoder, self.broadcast_limit)
 
     def _run(self, df: DataFrame, keys: Sequence[str], column: str, new_fields, emit,
-             feature_ids: Sequence[int] | None = None) -> DataFrame:
+             feature_ids: Sequence[int] | None = None, decoder: bool = False) -> DataFrame:
         """Maps Arrow batches; ``emit(batch, x, centred, weights)`` yields output batches."""
-        load = self._shared(df.sparkSession, feature_ids)
-        width, dtype = self.parameters.d_model, self.parameters.w_enc.dtype
+        load = self._shared(df.sparkSession, feature_ids, decoder)
+        width, dtype = self.parameters.d_model, self.parameters.dtype
         normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
         narrow = df.select(*keys, column)
         schema = T.StructType([narrow.schema[key] for key in keys] + new_fields)
@@ -304,7 +377,7 @@ class SaeModel(Model):
         with ``feature_id`` ``ALL_ROWS``, counts the task's vectors.
         """
         load = self._shared(df.sparkSession)
-        width, dtype = self.parameters.d_model, self.parameters.w_enc.dtype
+        width, dtype = self.parameters.d_model, self.parameters.dtype
         normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
         d_sae = self.parameters.d_sae
 
@@ -348,7 +421,7 @@ class SaeModel(Model):
             )
 
         fields = [T.StructField("features", FEATURES), T.StructField("reconstruction", T.ArrayType(T.DoubleType()))]
-        return self._run(df, keys, column, fields, emit)
+        return self._run(df, keys, column, fields, emit, decoder=True)
 
     def row_metrics(self, df: DataFrame, keys: Sequence[str], column: str = "activation") -> DataFrame:
         """The keys and, per vector, ``l0, act_sum, squared_error``.
@@ -377,11 +450,11 @@ class SaeModel(Model):
             T.StructField("act_sum", T.DoubleType()),
             T.StructField("squared_error", T.DoubleType()),
         ]
-        return self._run(df, keys, column, fields, emit)
+        return self._run(df, keys, column, fields, emit, decoder=True)
 
     def decode(self, df: DataFrame, keys: Sequence[str], column: str = "features") -> DataFrame:
         """The keys and ``reconstruction`` from sparse ``features``."""
-        load = self._shared(df.sparkSession)
+        load = self._shared(df.sparkSession, decoder=True)
         n_keys = len(keys)
         narrow = df.select(*keys, F.col(column).cast(FEATURES).alias(column))
 
@@ -414,21 +487,12 @@ class SaeModel(Model):
         """Parameter rows as Parquet and the rest as one JSON row."""
         spark = SparkSession.active()
         params = self.parameters
-        width = max(1, MODEL_BLOCK_BYTES // (2 * 8 * params.d_model))
-        for start in range(0, params.d_sae, width):
-            stop = min(start + width, params.d_sae)
-            table = pa.table({
-                "feature_id": pa.array(np.arange(start, stop, dtype=np.int32)),
-                "w_enc": to_vectors(params.w_enc[start:stop]),
-                "b_enc": pa.array(params.b_enc[start:stop].astype(np.float64)),
-                "w_dec": to_vectors(params.w_dec[start:stop]),
-            })
-            mode = "overwrite" if start == 0 else "append"
-            spark.createDataFrame(table).coalesce(1).write.mode(mode).parquet(f"{path}/weights")
+        for number, block in enumerate(params.rows(spark)):
+            block.write.mode("append" if number else "overwrite").parquet(f"{path}/weights")
         common = {
             "d_model": params.d_model,
             "d_sae": params.d_sae,
-            "dtype": str(params.w_enc.dtype),
+            "dtype": str(params.dtype),
             "b_dec": params.b_dec.astype(float).tolist(),
             "activation_mean": params.activation_mean.astype(float).tolist(),
             "activation_mean_initialized": bool(params.mean_initialized),
@@ -441,21 +505,23 @@ class SaeModel(Model):
         ).text(f"{path}/model")
 
     @staticmethod
-    def load(path: str, spark: SparkSession | None = None) -> SaeModel:
+    def load(path: str, spark: SparkSession | None = None, driver_limit: int = DRIVER_LIMIT_BYTES) -> SaeModel:
+        """A saved model; above ``driver_limit`` bytes its weights stay at ``path``."""
         spark = spark or SparkSession.active()
-        common = json.loads(spark.read.text(f"{path}/model").first()["value"])
-        params = params_from_rows(
-            spark.read.parquet(f"{path}/weights"),
-            common["d_model"],
-            common["d_sae"],
-            b_dec=common["b_dec"],
-            mean=common["activation_mean"],
-            normalize_activations=common["normalize_activations"],
-            apply_b_dec_to_input=common["apply_b_dec_to_input"],
-            metadata=common["metadata"],
-        )
-        cast = {name: array.astype(common["dtype"]) for name, array in params.arrays().items()}
-        return SaeModel(replace(params, **cast, mean_initialized=common["activation_mean_initialized"]))
+        saved = json.loads(spark.read.text(f"{path}/model").first()["value"])
+        d_model, d_sae, dtype = saved["d_model"], saved["d_sae"], np.dtype(saved["dtype"])
+        common = {
+            "b_dec": np.asarray(saved["b_dec"], dtype=dtype),
+            "activation_mean": np.asarray(saved["activation_mean"], dtype=dtype),
+            "normalize_activations": saved["normalize_activations"],
+            "apply_b_dec_to_input": saved["apply_b_dec_to_input"],
+            "mean_initialized": saved["activation_mean_initialized"],
+            "metadata": saved["metadata"],
+        }
+        if model_bytes(d_model, d_sae) > driver_limit:
+            return SaeModel(SaeTable(f"{path}/weights", d_sae, d_model, dtype=dtype, **common))
+        arrays = arrays_from_rows(spark.read.parquet(f"{path}/weights"), d_model, d_sae)
+        return SaeModel(SaeParams(**{name: array.astype(dtype) for name, array in arrays.items()}, **common))
 
 
 def sparse_decode(n_rows: int, rows, features, values, weights: dict) -> np.ndarray:

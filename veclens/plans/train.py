@@ -1,13 +1,15 @@
 """Fitting a sparse autoencoder with minibatch Adam.
 
-Each step is one Spark job: tasks turn their rows of the batch into gradient
-rows, one per active feature; the rows are summed with partial aggregation;
-the driver, which holds the parameters, applies the update. What travels and
-what the driver holds is bounded by the model, never by the data.
-
-``steps_per_job`` above 1 trades exactness for fewer jobs: every task takes
-that many local steps on whole batches of its own, and parameters are averaged
-afterwards.
+By default each step is one Spark job: tasks turn their rows of the batch into
+gradient rows, one per active feature; the rows are summed with partial
+aggregation; the driver, which holds the parameters, applies the update. What
+travels and what the driver holds is bounded by the model, never by the data;
+models above ``DRIVER_LIMIT_BYTES`` are refused.
+
+``steps_per_job`` above 1 trades exactness for fewer jobs and larger models:
+every task takes that many local steps on whole batches of its own, and the
+parameters are averaged afterwards. There the weights stay a table in shared
+storage that tasks read and Spark rewrites; the driver sees no weight matrix.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import unit
 from ..operators.sae import (
-    SaeModel, SaeParams, batch_metrics, centre, epoch_metrics, initial_weights, mean_by_batch,
-    normalize_decoder, params_from_rows, share_arrays, to_matrix, to_vectors,
+    BROADCAST_LIMIT_BYTES, DRIVER_LIMIT_BYTES, SaeModel, SaeParams, SaeTable, batch_metrics, centre,
+    epoch_metrics, initial_weights, mean_by_batch, model_bytes, normalize_decoder, params_from_rows, to_matrix,
+    to_vectors,
 )
 from ..operators.split import epoch_batches, train_val_split
-from ..session import stage, staging_path
+from ..session import discard, stage, staging_path
 
 MOMENTUM = 0.01
 BETAS = (0.9, 0.999)
@@ -89,8 +93,8 @@ def gradient_rows(batch: DataFrame, params: SaeParams, n_rows: int, l1_coeff: fl
     Features that no row activates have no gradient and no row. The sum is the
     built-in vector aggregate, which combines per task before its shuffle.
     """
-    load = share_arrays(batch.sparkSession, params.arrays())
-    width, dtype = params.d_model, params.w_enc.dtype
+    load = params.share(batch.sparkSession, None, True, BROADCAST_LIMIT_BYTES)
+    width, dtype = params.d_model, params.dtype
     normalize, apply_b_dec = params.normalize_activations, params.apply_b_dec_to_input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +150,15 @@ def feature_matrix(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray,
     return ids[others], values[places], common
 
 
-def local_training(window: DataFrame, params: SaeParams, lr: float, l1_coeff: float) -> DataFrame:
-    """Averages of parameters that tasks trained on whole batches of their own.
+def local_training(window: DataFrame, params: SaeTable, lr: float, l1_coeff: float) -> DataFrame:
+    """Weighted sums of parameters that tasks trained on whole batches of their own.
 
-    Tasks must hold each of their batches whole, in batch order.
+    Tasks must hold each of their batches whole, in batch order. A task's
+    weight is its number of batches. The ``COMMON`` row sums decoder bias,
+    running mean, batch figures and weights.
     """
-    load = share_arrays(window.sparkSession, params.arrays())
-    width, dtype = params.d_model, params.w_enc.dtype
+    load = params.share(window.sparkSession, None, True, 0)
+    width, dtype = params.d_model, params.dtype
     normalize, apply_b_dec = params.normalize_activations, params.apply_b_dec_to_input
     initialized = params.mean_initialized
 
@@ -164,7 +170,7 @@ def local_training(window: DataFrame, params: SaeParams, lr: float, l1_coeff: fl
 
     def run(batches):
         local = SaeParams(
-            **{name: np.array(array, dtype=dtype) for name, array in load().items()},
+            **{name: np.array(array, dtype=dtype) for name, array in load().items() if name != "feature_ids"},
             normalize_activations=normalize, apply_b_dec_to_input=apply_b_dec, mean_initialized=initialized,
         )
         optimizer, current, parts, metrics = Adam(local, lr), None, [], []
@@ -208,20 +214,29 @@ def local_training(window: DataFrame, params: SaeParams, lr: float, l1_coeff: fl
     return partial.groupBy("feature_id").agg(vector_to_array(summed).alias("gradient"))
 
 
-def averaged(rows: DataFrame, params: SaeParams) -> tuple[SaeParams, np.ndarray, int]:
-    """Parameters from weighted sums, with the sums of batch figures and their number."""
-    d = params.d_model
-    arrays = {name: getattr(params, name).copy() for name in TRAINED}
-    features, matrix, common = feature_matrix(rows, 2 * d + 1)
-    weight = common[-1]
-    matrix = matrix / weight
-    arrays["w_enc"][features], arrays["b_enc"][features] = matrix[:, :d], matrix[:, d]
-    arrays["w_dec"][features] = matrix[:, d + 1:]
-    arrays["b_dec"] = common[:d] / weight
+def averaged(sums: DataFrame, params: SaeTable) -> tuple[SaeTable, np.ndarray, int]:
+    """The averaged parameters as a new table, with summed batch figures and their number."""
+    d, spark = params.d_model, sums.sparkSession
+    staged = staging_path(spark, "sums")
+    sums.write.parquet(staged)
+    rows = spark.read.schema(sums.schema).parquet(staged)
+    common = np.asarray(rows.where(F.col("feature_id") == COMMON).first()["gradient"])
+    weight = float(common[-1])
+    mean = F.transform("gradient", lambda x: x / weight)
+    features = rows.where(F.col("feature_id") != COMMON).select("feature_id", mean.alias("mean"))
+    path = staging_path(spark, "weights")
+    features.select(
+        "feature_id",
+        F.slice("mean", 1, d).alias("w_enc"),
+        F.get("mean", F.lit(d)).alias("b_enc"),
+        unit(F.slice("mean", d + 2, d)).alias("w_dec"),
+    ).write.parquet(path)
+    discard(staged)
     updated = replace(
-        params, **arrays, activation_mean=common[d:2 * d] / weight, mean_initialized=True
+        params, path=path, b_dec=common[:d] / weight, activation_mean=common[d:2 * d] / weight,
+        mean_initialized=True,
     )
-    return normalize_decoder(updated), common[2 * d:-1], int(weight)
+    return updated, common[2 * d:-1], int(weight)
 
 
 def next_mean(params: SaeParams, batch_mean: np.ndarray) -> np.ndarray:
@@ -269,16 +284,17 @@ class Sae(Estimator):
         d_model = rows.agg(F.max(F.size("activation"))).first()[0]
         if d_model is None:
             raise ValueError("no activations to train on")
-        params = params_from_rows(
-            stage(initial_weights(spark, d_model, config.d_sae, config.seed), "start"), d_model, config.d_sae,
-            normalize_activations=config.normalize_activations, apply_b_dec_to_input=config.apply_b_dec_to_input,
-        )
+        params = self.start(spark, d_model)
         split = stage(train_val_split(rows.select("token_idx"), config.train_split, seed=config.seed), "split")
-        optimizer, history, best = Adam(params, config.lr), [], None
+        optimizer = Adam(params, config.lr) if isinstance(params, SaeParams) else None
+        history, best = [], None
         for epoch in range(1, config.epochs + 1):
             placed = epoch_batches(split, epoch, config.batch_size)
-            train = self.lay_out(rows, placed.where(F.col("split") == "train"), epoch)
-            params, train_figures = self.train_epoch(train, params, optimizer)
+            path = self.lay_out(rows, placed.where(F.col("split") == "train"), epoch)
+            train = spark.read.schema(BATCHED).parquet(path)
+            kept = best[2] if best else None
+            params, train_figures = self.train_epoch(train, params, optimizer, kept)
+            discard(path)
             val = rows.join(placed.where(F.col("split") == "val").select("token_idx", "batch_id"), "token_idx")
             val_figures = validate(SaeModel(params), val)
             history += [(epoch, "train", *train_figures), (epoch, "val", *val_figures)]
@@ -290,8 +306,25 @@ class Sae(Estimator):
         model.history = spark.createDataFrame(history, HISTORY)
         return model
 
-    def lay_out(self, rows: DataFrame, placed: DataFrame, epoch: int) -> DataFrame:
-        """One epoch's train rows on disk in batch order, so a step reads only its batch.
+    def start(self, spark: SparkSession, d_model: int) -> SaeParams | SaeTable:
+        """Start values, in the driver or as a table."""
+        config = self.config
+        size = model_bytes(d_model, config.d_sae)
+        options = {
+            "normalize_activations": config.normalize_activations,
+            "apply_b_dec_to_input": config.apply_b_dec_to_input,
+        }
+        weights = initial_weights(spark, d_model, config.d_sae, config.seed)
+        if config.steps_per_job > 1:
+            path = staging_path(spark, "weights")
+            weights.write.parquet(path)
+            return SaeTable(path, config.d_sae, d_model, np.zeros(d_model), np.zeros(d_model), **options)
+        if size > DRIVER_LIMIT_BYTES:
+            raise ValueError(f"the model needs {size:,} bytes on the driver; use steps_per_job above 1")
+        return params_from_rows(stage(weights, "start"), d_model, config.d_sae, **options)
+
+    def lay_out(self, rows: DataFrame, placed: DataFrame, epoch: int) -> str:
+        """Writes one epoch's train rows on disk in batch order, so a step reads only its batch.
 
         Rows move once per epoch. Batches are range-partitioned and the
         minimum and maximum batch of each file let the scan skip the rest.
@@ -299,17 +332,20 @@ class Sae(Estimator):
         path = staging_path(rows.sparkSession, f"epoch{epoch}")
         joined = rows.join(placed.select("token_idx", "batch_id"), "token_idx")
         ordered = joined.repartitionByRange("batch_id", "token_idx").sortWithinPartitions("batch_id", "token_idx")
-        ordered.write.parquet(path)
-        return rows.sparkSession.read.schema(joined.schema).parquet(path)
+        ordered.select("token_idx", "batch_id", "activation").write.parquet(path)
+        return path
 
-    def train_epoch(self, train: DataFrame, params: SaeParams, optimizer: Adam):
-        """All steps of an epoch; returns parameters and mean batch figures."""
+    def train_epoch(self, train: DataFrame, params: SaeParams, optimizer: Adam | None, kept):
+        """All steps of an epoch; returns parameters and mean batch figures.
+
+        ``kept`` are the best parameters so far, which must stay.
+        """
         config = self.config
         n_rows, last = train.agg(F.count("*"), F.max("batch_id")).first()
         if not n_rows:
             return params, (None, None, None)
         if config.steps_per_job > 1:
-            return self.train_epoch_locally(train, params, last + 1)
+            return self.train_epoch_locally(train, params, last + 1, kept)
         figures = np.zeros(3)
         means: dict[int, tuple[np.ndarray, int]] = {}
         for t in range(last + 1):
@@ -327,14 +363,17 @@ class Sae(Estimator):
             params = normalize_decoder(optimizer.update(params, gradients))
         return params, tuple((figures / (last + 1)).tolist())
 
-    def train_epoch_locally(self, train: DataFrame, params: SaeParams, n_batches: int):
+    def train_epoch_locally(self, train: DataFrame, params: SaeTable, n_batches: int, kept):
         config = self.config
         figures, counted, width = np.zeros(3), 0, config.steps_per_job * config.tasks_per_job
         for start in range(0, n_batches, width):
             window = train.where(F.col("batch_id").between(start, start + width - 1))
             placed = window.withColumn("task", F.expr(f"(batch_id - {start}) div {config.steps_per_job}"))
             whole = placed.repartition(config.tasks_per_job, "task").sortWithinPartitions("batch_id", "token_idx")
-            params, sums, n = averaged(local_training(whole, params, config.lr, config.l1_coeff), params)
+            before = params
+            params, sums, n = averaged(local_training(whole, before, config.lr, config.l1_coeff), before)
+            if before is not kept:
+                discard(before.path)
             figures, counted = figures + sums, counted + n
         return params, tuple((figures / counted).tolist())
 
@@ -368,6 +407,7 @@ class Sae(Estimator):
         }
 
 
+BATCHED = "token_idx BIGINT, batch_id BIGINT, activation ARRAY<FLOAT>"
 HISTORY = "epoch INT, split STRING, recon_loss DOUBLE, l1_loss DOUBLE, l0 DOUBLE"
 
 

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Spark settings this package relies on. Sizes and core counts are left to
@@ -65,6 +66,14 @@ def as_uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
+def discard(path: str) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    if "/staged/" not in path:
+        raise ValueError(f"{path} is not a staged table")
+    filesystem, location = fs.FileSystem.from_uri(as_uri(path))
+    filesystem.delete_dir(location)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a narrow intermediate table to the shared folder and read it back.
 
