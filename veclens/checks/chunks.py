@@ -8,7 +8,7 @@ from ..functions.vectors import to_half
 from ..operators import chunking, corpus, split
 from ..operators.monitor import latest_checkpoint
 from ..session import stage, staging_path
-from ..sources import state, tables
+from ..sources import npy, state, tables
 from . import check
 from . import fixtures as fx
 
@@ -59,6 +59,22 @@ def chunk_sink_roundtrip(spark, sf_dir):
     return wide(back.select("shard_id", "chunk_id", "row_in_chunk", "token_id", checksum.alias("checksum")))
 
 
+@check("npy_roundtrip", f"""
+WITH {fx.ROWS_SQL}
+SELECT shard_id, chunk_id, row_in_chunk, token_id, len(embedding) AS width, 'float16' AS dtype FROM rows
+""")
+def npy_roundtrip(spark, sf_dir):
+    """Writes the chunks as .npy files and reads both sides back."""
+    root = staging_path(spark, "npy")
+    npy.write_npy(fx.chunk_rows(spark, sf_dir), root)
+    shards = [f"{root}/shard{shard}" for shard in range(fx.NUM_SHARDS)]
+    ids = npy.read_npy(spark, shards, "token_ids").drop("dtype", "error")
+    both = npy.read_npy(spark, shards).join(ids, ["shard_id", "chunk_id", "row_in_chunk"])
+    return wide(both.select(
+        "shard_id", "chunk_id", "row_in_chunk", "token_id", F.size("activation").alias("width"), "dtype"
+    ))
+
+
 @check("half_round", """
 WITH v AS (
   SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import corpus, interpret, prompts, sae
 from ..operators.split import epoch_batches, train_val_split
-from ..session import stage
+from ..plans.train import gradient_rows
+from ..session import stage, staging_path
 from . import check
 from . import fixtures as fx
 from .chunks import BATCH_SIZE, BATCHES_SQL, TRAIN_SPLIT, wide
@@ -92,6 +93,46 @@ def sae_transform(spark, sf_dir):
     return wide(rounded(result, "act_sum", "r_sum"))
 
 
+@check("sae_save_load", f"WITH {fx.CELLS_SQL} SELECT token_idx, feature_id, act FROM cells WHERE act > 0")
+def sae_save_load(spark, sf_dir):
+    """Cells from a model that was saved, and loaded as a table in shared storage."""
+    path = staging_path(spark, "model")
+    fx.integer_model().save(path)
+    model = sae.SaeModel.load(path, spark, driver_limit=0)
+    return wide(whole(model.cells(integer_rows(spark, sf_dir), ["token_idx"]), "act"))
+
+
+@check("sae_fit_step", f"""
+WITH {fx.DECIMAL_SQL},
+n AS (SELECT count(*) AS n FROM rows),
+errors AS (SELECT token_idx, d, 2 * (r - e) / ((SELECT n FROM n) * {fx.WIDTH}) AS g FROM rebuilt JOIN vals USING (token_idx, d)),
+pulls AS (
+  SELECT c.token_idx, c.feature_id, any_value(c.act) AS act,
+         sum(g * w_dec) + {L1_COEFF}::DOUBLE / ((SELECT n FROM n) * {fx.LIVE_FEATURES}) AS pull
+  FROM cells c JOIN small ON f = feature_id JOIN errors USING (token_idx, d)
+  WHERE c.act > 0 GROUP BY c.token_idx, c.feature_id)
+SELECT feature_id, d AS dim, round(1000 * sum(pull * x), 6) + 0.0 AS w_enc, round(1000 * sum(act * g), 6) + 0.0 AS w_dec,
+       round(1000 * sum(pull), 6) + 0.0 AS b_enc
+FROM pulls JOIN centred USING (token_idx) JOIN errors USING (token_idx, d) GROUP BY feature_id, d
+""")
+def sae_fit_step(spark, sf_dir):
+    """Gradients of one step with all vectors as its batch, in thousandths."""
+    rows = fx.activations(spark, sf_dir)
+    params = fx.decimal_model().parameters
+    summed = gradient_rows(rows, params, rows.count(), L1_COEFF).where(F.col("feature_id") >= 0)
+    thousand = F.transform("gradient", lambda g: g * 1000)
+    placed = summed.withColumn("gradient", thousand).select(
+        "feature_id",
+        F.get("gradient", F.lit(fx.WIDTH)).alias("b_enc"),
+        F.posexplode(F.arrays_zip(
+            F.slice("gradient", 1, fx.WIDTH).alias("w_enc"), F.slice("gradient", fx.WIDTH + 2, fx.WIDTH).alias("w_dec")
+        )).alias("dim", "pair"),
+    )
+    return wide(rounded(
+        placed.select("feature_id", "dim", "pair.w_enc", "pair.w_dec", "b_enc"), "w_enc", "w_dec", "b_enc"
+    ))
+
+
 @check("sparsity_metrics", f"""
 WITH {fx.CELLS_SQL}
 SELECT count(*) FILTER (act > 0) / count(DISTINCT token_idx) AS l0,

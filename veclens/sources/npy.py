@@ -44,6 +44,14 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def local_path(path: str) -> Path:
+    """Chunk files are mapped into memory, so they need a mounted file system."""
+    plain = re.sub(r"^file:(//)?", "", path)
+    if "://" in plain:
+        raise ValueError(f"{path}: .npy chunks need a path that every executor has mounted")
+    return Path(plain)
+
+
 def shard_of(folder: str) -> int:
     number = re.search(r"(\d+)/*$", folder)
     return int(number.group(1)) if number else 0
@@ -56,7 +64,7 @@ class NpyReader(DataSourceReader):
     def partitions(self):
         slices = []
         for folder in self.folders:
-            directory = Path(folder) / self.kind
+            directory = local_path(folder) / self.kind
             if not directory.exists():
                 warnings.warn(f"{directory} does not exist, skipping", stacklevel=2)
                 continue
@@ -132,7 +140,7 @@ class NpyWriter(DataSourceWriter):
                     if sink is not None:
                         self.close(sink, count, shape)
                     current, count = chunk, 0
-                    target = Path(self.root) / f"shard{chunk[0]}" / self.kind / f"chunk_{chunk[1]:04d}.npy"
+                    target = local_path(self.root) / f"shard{chunk[0]}" / self.kind / f"chunk_{chunk[1]:04d}.npy"
                     target.parent.mkdir(parents=True, exist_ok=True)
                     partial = target.with_suffix(f".part{os.getpid()}-{os.urandom(4).hex()}")
                     files.append((str(partial), str(target)))
