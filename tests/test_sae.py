@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions import vectors
+from veclens.operators.interpret import top_tokens
 from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, normalize_decoder
 from veclens.plans.train import Adam, Sae, batch_gradients, next_mean, write_report
 
@@ -98,6 +99,42 @@ def test_partials_and_subset(data):
         assert c["act"] == pytest.approx(acts[c["token_idx"], c["feature_id"]])
 
 
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_top_tokens_with_ties_equal_a_sort(spark, k):
+    """Repeated vectors tie; the smaller indices win."""
+    x = np.random.default_rng(8).normal(size=(12, D))[np.arange(200) % 12]
+    rows = spark.createDataFrame(
+        [(i, row.tolist()) for i, row in enumerate(x)], "token_idx BIGINT, activation ARRAY<DOUBLE>"
+    ).repartition(3)
+    params = some_params("none", False)
+    acts, _ = forward(params, x)
+    expected = set()
+    for f in range(S):
+        order = sorted(np.flatnonzero(acts[:, f] > 0), key=lambda i: (-round(acts[i, f], 9), i))[:k]
+        expected |= {(f, rank, int(i)) for rank, i in enumerate(order, 1)}
+    model = SaeModel(params)
+    exact = model.cells(rows, ["token_idx"]).withColumn("act", F.round("act", 9))
+    assert exact.count() == (acts > 0).sum()
+    found = {(r["feature_id"], r["rank"], r["token_idx"]) for r in top_tokens(model, rows, k).collect()}
+    assert {(f, rank) for f, rank, _ in found} == {(f, rank) for f, rank, _ in expected}
+    by_rank = {(f, rank): i for f, rank, i in found}
+    for f, rank, i in expected:
+        assert acts[by_rank[f, rank], f] == pytest.approx(acts[i, f])
+    one = top_tokens(model, rows, k, feature_id=3).collect()
+    assert [r["token_idx"] for r in sorted(one, key=lambda r: r["rank"])] == [
+        i for _, i in sorted((rank, i) for f, rank, i in found if f == 3)
+    ]
+
+
+def test_padding_fills_a_short_list(data):
+    rows, x = data
+    params = some_params()
+    params.b_enc[5] = -1e9
+    padded = top_tokens(SaeModel(params), rows, 3, feature_id=5, pad=True).collect()
+    assert [(r["token_idx"], r["act"]) for r in padded] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert top_tokens(SaeModel(params), rows, 3, feature_id=5).count() == 0
+
+
 def test_wrong_width_is_an_error(spark):
     rows = spark.createDataFrame([(0, [1.0] * (D - 1))], "token_idx BIGINT, activation ARRAY<FLOAT>")
     with pytest.raises(Exception, match="every vector must have 6 values"):

@@ -37,7 +37,8 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hashes a table over all cores when it has fewer scan tasks than cores.
 
     For inputs of a few files in front of costly per-row work. Large inputs
-    have more scan tasks than cores and pass unchanged.
+    have more scan tasks than cores and pass unchanged. Call it on a plain
+    scan: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

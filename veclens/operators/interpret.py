@@ -69,9 +69,9 @@ def top_tokens(
     """
     order = (F.desc("act"), F.asc(index))
     if feature_id is None:
-        cells = model.cells(df, [index])
+        cells = model.cells(df, [index], top=k)
         return top_k_per_group(cells, ["feature_id"], order, k)
-    cells = model.cells(df, [index], feature_ids=[feature_id])
+    cells = model.cells(df, [index], feature_ids=[feature_id], top=k)
     if pad:
         encoded = model.encode(df, [index], feature_ids=[feature_id])
         cells = encoded.select(

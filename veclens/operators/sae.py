@@ -269,11 +269,21 @@ def feature_blocks(centred: np.ndarray, weights: dict) -> Iterator[tuple[slice,
         yield block, np.maximum(acts, 0, out=acts)
 
 
-def active_cells(centred: np.ndarray, weights: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of every positive activation, rows in order."""
+def active_cells(
+    centred: np.ndarray, weights: dict, keep: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and value of every positive activation, rows in order.
+
+    With ``keep``, a feature's values below its ``keep``-th largest in these
+    rows are left out: they cannot be among its ``keep`` largest overall.
+    """
     parts = []
     for block, acts in feature_blocks(centred, weights):
-        rows, features = np.nonzero(acts)
+        if keep is not None and len(acts) > keep:
+            bar = np.partition(acts, len(acts) - keep, axis=0)[len(acts) - keep]
+            rows, features = np.nonzero((acts >= bar) & (acts > 0))
+        else:
+            rows, features = np.nonzero(acts)
         parts.append((rows, features + block.start, acts[rows, features]))
     rows, features, values = (np.concatenate(column) for column in zip(*parts))
     if len(parts) > 1:
@@ -350,12 +360,17 @@ class SaeModel(Model):
         return self._run(df, keys, column, [T.StructField("features", FEATURES)], emit, feature_ids)
 
     def cells(self, df: DataFrame, keys: Sequence[str], column: str = "activation",
-              feature_ids: Sequence[int] | None = None) -> DataFrame:
-        """Long form: the keys, ``feature_id`` and ``act``, active features only."""
+              feature_ids: Sequence[int] | None = None, top: int | None = None) -> DataFrame:
+        """Long form: the keys, ``feature_id`` and ``act``, active features only.
+
+        ``top`` leaves out cells that some ``top`` cells of their feature
+        exceed, as far as a task sees; ties stay. A top-k of the result equals
+        the top-k of all cells.
+        """
         n_keys = len(keys)
 
         def emit(batch, x, centred, weights):
-            rows, features, values = active_cells(centred, weights)
+            rows, features, values = active_cells(centred, weights, top)
             taken = batch.select(list(range(n_keys))).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [
