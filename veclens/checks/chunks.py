@@ -93,7 +93,7 @@ WITH vectors AS (
 tokens AS (
   SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos
   FROM (SELECT doc_id, {fx.TOKENS_SQL} AS t FROM {fx.DOCS_SQL}))
-SELECT doc_id, pos, vec_id, token FROM vectors JOIN tokens USING (doc_id, pos)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, pos, vec_id, token FROM vectors JOIN tokens USING (doc_id, pos)
 """)
 def align_pairs(spark, sf_dir):
     """A label's vectors against the words of the document with that id."""
@@ -143,7 +143,7 @@ def lookup_by_index(spark, sf_dir):
 
 @check("lookup_batch", f"""
 WITH {fx.ROWS_SQL}, asked AS (
-  SELECT label AS batch, (vec_id * 31) % (SELECT count(*) FROM rows) AS token_idx,
+  SELECT CAST(label AS BIGINT) AS batch, (vec_id * 31) % (SELECT count(*) FROM rows) AS token_idx,
          row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM rows)
 SELECT batch, pos, token_idx, token_id FROM asked JOIN rows USING (token_idx)
 """)
@@ -202,7 +202,7 @@ def train_val_split(spark, sf_dir):
     return split.train_val_split(rows, TRAIN_SPLIT, seed=fx.SEED).select("token_idx", "split_rank", "split")
 
 
-@check("epoch_batches", f"WITH {BATCHES_SQL} SELECT epoch, split, token_idx, batch_id FROM batches")
+@check("epoch_batches", f"WITH {BATCHES_SQL} SELECT CAST(epoch AS BIGINT) AS epoch, split, token_idx, batch_id FROM batches")
 def epoch_batches(spark, sf_dir):
     rows = fx.activations(spark, sf_dir).select("token_idx")
     parts = stage(split.train_val_split(rows, TRAIN_SPLIT, seed=fx.SEED), "split")
@@ -214,7 +214,7 @@ def epoch_batches(spark, sf_dir):
 
 
 @check("metadata_read", f"""
-SELECT user_id % {fx.NUM_SHARDS} AS shard_id, {fx.NUM_SHARDS} AS num_shards, 1000 * count(*) AS tokens_per_shard,
+SELECT user_id % {fx.NUM_SHARDS} AS shard_id, CAST({fx.NUM_SHARDS} AS BIGINT) AS num_shards, 1000 * count(*) AS tokens_per_shard,
        CAST(NULL AS BIGINT) AS tokens_collected, 'events' AS dataset
 FROM events GROUP BY 1
 """)

@@ -9,6 +9,7 @@ from ..operators.monitor import latest_checkpoint
 from ..session import stage
 from . import check
 from . import fixtures as fx
+from .chunks import wide
 
 CHUNK_SIZE = 2500
 SMALL_CHUNK = 500
@@ -34,7 +35,7 @@ def corpus_shuffle(spark, sf_dir):
 def corpus_shard(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id")
     sharded = corpus.shard_documents(corpus.shuffle_documents(docs, seed=fx.SEED), fx.NUM_SHARDS)
-    return sharded.select("doc_id", "shard_id", "pos_in_shard")
+    return wide(sharded.select("doc_id", "shard_id", "pos_in_shard"))
 
 
 @check("corpus_skip", f"""
@@ -46,7 +47,7 @@ def corpus_skip(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id")
     sharded = corpus.shard_documents(corpus.shuffle_documents(docs, seed=fx.SEED), fx.NUM_SHARDS)
     seen = latest_checkpoint(fx.checkpoints(spark, sf_dir))
-    return corpus.skip_seen(sharded, seen).select("doc_id", "shard_id", "pos_in_shard")
+    return wide(corpus.skip_seen(sharded, seen).select("doc_id", "shard_id", "pos_in_shard"))
 
 
 @check("text_fallback", "SELECT page_id, length(html) AS n_chars, md5(html) AS text_md5 FROM pages")
@@ -81,7 +82,7 @@ def token_rows(spark, sf_dir):
 
 @check("vocabulary", f"WITH {fx.VOCABULARY_SQL} SELECT token, token_id FROM vocabulary")
 def vocabulary(spark, sf_dir):
-    return corpus.build_vocabulary(token_rows(spark, sf_dir), fx.VOCABULARY)
+    return wide(corpus.build_vocabulary(token_rows(spark, sf_dir), fx.VOCABULARY))
 
 
 @check("token_flatten", f"""
@@ -106,7 +107,7 @@ WITH {RUNNING_SQL} SELECT doc_id, shard_id, n_tokens, CAST(cum_tokens AS BIGINT)
 """)
 def running_tokens(spark, sf_dir):
     counted = chunking.running_tokens(fx.sharded_corpus(spark, sf_dir))
-    return counted.select("doc_id", "shard_id", "n_tokens", "cum_tokens")
+    return wide(counted.select("doc_id", "shard_id", "n_tokens", "cum_tokens"))
 
 
 @check("token_budget", f"""
@@ -115,7 +116,7 @@ SELECT doc_id, shard_id, CAST(cum_tokens AS BIGINT) AS cum_tokens FROM summed WH
 """)
 def token_budget(spark, sf_dir):
     counted = chunking.running_tokens(fx.sharded_corpus(spark, sf_dir))
-    return chunking.within_budget(counted, BUDGET).select("doc_id", "shard_id", "cum_tokens")
+    return wide(chunking.within_budget(counted, BUDGET).select("doc_id", "shard_id", "cum_tokens"))
 
 
 @check("progress_milestones", f"""
@@ -127,7 +128,7 @@ FROM summed WHERE n_tokens > 0 AND cum_tokens % {MILESTONE} < {fx.MAX_LENGTH}
 def progress_milestones(spark, sf_dir):
     counted = chunking.running_tokens(fx.sharded_corpus(spark, sf_dir))
     hits = chunking.progress_milestones(counted, BUDGET, every=MILESTONE, max_length=fx.MAX_LENGTH)
-    return hits.select("doc_id", "shard_id", "cum_tokens", "pct")
+    return wide(hits.select("doc_id", "shard_id", "cum_tokens", "pct"))
 
 
 def greedy_sql(chunk_size: int, start: str = "(SELECT NULL::BIGINT AS shard_id, 0 AS tokens_collected, 0 AS next_chunk, 0 AS examples_seen)") -> str:
@@ -160,7 +161,7 @@ def chunk_numbers(spark, sf_dir, chunk_size, budget=None):
     chunked = chunking.assign_chunks(
         fx.sharded_corpus(spark, sf_dir), chunk_size=chunk_size, tokens_per_shard=budget
     )
-    return chunked.select("doc_id", "shard_id", "chunk_id", "cum_tokens")
+    return wide(chunked.select("doc_id", "shard_id", "chunk_id", "cum_tokens"))
 
 
 @check("assign_chunks", chunk_numbers_sql(CHUNK_SIZE, BUDGET))
@@ -185,7 +186,7 @@ def resume_plan(spark, sf_dir):
     chunked = chunking.assign_chunks(
         fx.sharded_corpus(spark, sf_dir), chunk_size=RESUME_CHUNK, resume=resume
     )
-    return chunked.select("doc_id", "shard_id", "chunk_id", "cum_tokens")
+    return wide(chunked.select("doc_id", "shard_id", "chunk_id", "cum_tokens"))
 
 
 @check("chunk_memory_plan", f"""
@@ -196,7 +197,7 @@ FROM walk GROUP BY shard_id, chunk_id
 """)
 def chunk_memory_plan(spark, sf_dir):
     chunked = chunking.assign_chunks(fx.sharded_corpus(spark, sf_dir), chunk_size=CHUNK_SIZE)
-    return chunking.chunk_memory_plan(chunked, fx.WIDTH, max_chunk_tokens=3000)
+    return wide(chunking.chunk_memory_plan(chunked, fx.WIDTH, max_chunk_tokens=3000))
 
 
 # --- extraction ----------------------------------------------------------------
@@ -273,4 +274,4 @@ def error_warnings(spark, sf_dir):
     extracted = encode.extract(documents_with_ids(spark, sf_dir), make_encoder, batch_size=8)
     places = fx.sharded_corpus(spark, sf_dir).select("doc_id", "shard_id", "bucket", "order_key")
     failed = stage(encode.failed_documents(extracted).join(places, "doc_id"), "failed")
-    return encode.error_warnings(failed).select("shard_id", "doc_id", "n_errors", "error")
+    return wide(encode.error_warnings(failed).select("shard_id", "doc_id", "n_errors", "error"))

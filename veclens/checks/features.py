@@ -392,7 +392,7 @@ def prompt_token_profile(spark, sf_dir):
 
 @check("prompt_summary", f"""
 WITH {fx.DECIMAL_SQL}
-SELECT label AS prompt_id, round(avg(l0), 6) AS mean_l0, round(avg(squared_error) / {fx.WIDTH}, 6) AS recon_mse,
+SELECT CAST(label AS BIGINT) AS prompt_id, round(avg(l0), 6) AS mean_l0, round(avg(squared_error) / {fx.WIDTH}, 6) AS recon_mse,
        any_value(n_features) AS n_features
 FROM row_metrics
 JOIN (SELECT label, count(DISTINCT feature_id) FILTER (act > 0) AS n_features FROM cells GROUP BY label) USING (label)
@@ -405,7 +405,7 @@ def prompt_summary(spark, sf_dir):
 
 TOP_FEATURES_SQL = f"""
 {fx.CELLS_SQL}, top AS (
-  SELECT label AS prompt_id, feature_id, CAST(sum(act) AS BIGINT) AS total_act,
+  SELECT CAST(label AS BIGINT) AS prompt_id, feature_id, CAST(sum(act) AS BIGINT) AS total_act,
          row_number() OVER (PARTITION BY label ORDER BY sum(act) DESC, feature_id) AS rank
   FROM cells WHERE act > 0 GROUP BY label, feature_id QUALIFY rank <= {prompts.TOP_FEATURES})
 """

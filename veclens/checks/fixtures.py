@@ -232,7 +232,7 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROMPTS_SQL = """
 prompts AS (
-  SELECT token_idx, label AS prompt_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM rows)
+  SELECT token_idx, CAST(label AS BIGINT) AS prompt_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM rows)
 """
 
 

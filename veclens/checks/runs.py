@@ -156,7 +156,7 @@ def verify_overall(spark, sf_dir):
 
 @check("verify_clean", f"""
 WITH {fx.ROWS_SQL}
-SELECT shard_id, true AS passed, '' AS problem, 0 AS n_errors, count(*) AS total_tokens FROM rows GROUP BY shard_id
+SELECT shard_id, true AS passed, '' AS problem, CAST(0 AS BIGINT) AS n_errors, count(*) AS total_tokens FROM rows GROUP BY shard_id
 """)
 def verify_clean(spark, sf_dir):
     """The whole audit on chunks without faults."""
@@ -171,7 +171,7 @@ def verify_clean(spark, sf_dir):
 @check("shard_status", f"""
 WITH {fx.CHECKPOINTS_SQL}, joined AS (
   SELECT s.shard_id, tokens_collected, last_chunk_id, k.shard_id IS NOT NULL AS known,
-         CASE WHEN k.shard_id IS NOT NULL THEN {TARGET} END AS target
+         CASE WHEN k.shard_id IS NOT NULL THEN CAST({TARGET} AS BIGINT) END AS target
   FROM range({EXPECTED}) s(shard_id) LEFT JOIN latest l ON l.shard_id = s.shard_id
        LEFT JOIN (SELECT unnest({list(WITH_METADATA)}) AS shard_id) k ON k.shard_id = s.shard_id)
 SELECT shard_id, tokens_collected, target, last_chunk_id, round(100.0::DOUBLE * tokens_collected / target, 1) AS pct,
