@@ -29,8 +29,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from . import (  # noqa: E402, F401 - registers the queries
+    bitplane,
     exact_dedup,
     line_rules,
     mixing,
+    pieces,
     sharding,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -96,19 +98,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _ODD = 0x9E3779B97F4A7C15
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-_POWERS: dict[str, np.ndarray] = {}
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task.
+
+    Functions of this package travel by value, so a module's own globals are new
+    in every task; the ``sys`` module is not.
+    """
+    return sys.__dict__.setdefault("_veclens_llm_cache", {})
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
+    kept = worker_cache()
+    if "powers" not in kept or len(kept["powers"][0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+        both = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS["up"], _POWERS["down"]
+            both.append(np.cumprod(factors))
+        kept["powers"] = tuple(both)
+    return kept["powers"]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
