@@ -32,7 +32,9 @@ from . import (  # noqa: E402, F401 - registers the queries
     bitplane,
     exact_dedup,
     line_rules,
+    minhash,
     mixing,
     pieces,
     sharding,
+    substring_dedup,
 )

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from veclens.session import as_uri, stage, staging_path
 
 from . import query
-from .chunks import RUN_BYTES, ChunkEncoder
-from .texts import documents, flat, ranges, runs, white_mask, whole, worker_cache
+from .chunks import ChunkEncoder
+from .texts import RUN_BYTES, documents, flat, ranges, runs, white_mask, whole, worker_cache
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16

@@ -9,9 +9,6 @@ import pyarrow as pa
 
 from .texts import ranges
 
-#: Bytes of text that are handled at once.
-RUN_BYTES = 8 << 20
-
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 

@@ -32,6 +32,10 @@ def seeded(id_column: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
 
 
+#: Bytes of text that tasks handle at once.
+RUN_BYTES = 8 << 20
+
+
 def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -123,6 +127,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["powers"]
 
 
+def byte_hashes(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte value."""
+    return _BYTES[data]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
     up, down = _powers(len(data) + 1)
