@@ -34,7 +34,9 @@ from . import (  # noqa: E402, F401 - registers the queries
     line_rules,
     minhash,
     mixing,
+    nbsvm,
     pieces,
     sharding,
     substring_dedup,
+    toxicity,
 )
