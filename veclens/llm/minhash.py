@@ -153,8 +153,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Groups of rows whose shingle sets have a similarity of at least ``percent``, directly or over others.
 
-    Returns the id, n_shingles, component_id (the smallest id of the group) and
-    kept (the id is its group's). A null or empty text, or one without words,
+    Returns the id, n_shingles, component_id (the smallest id of the group),
+    kept (the id is its group's) and text_hash (xxhash64, to tell rows that
+    repeat an id apart). A null or empty text, or one without words,
     has no shingles and is alone. Rows that repeat an id are rows of their own; a
     null id is never the smallest unless all are null. An empty table gives no
     rows, and columns other than the two named are not read. Ids are integers.
@@ -217,16 +218,18 @@ def near_duplicates(
     of_class = classes.join(grouped, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_class.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = of_class.join(smallest, "label").select("s1", "s2", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    grouped_rows = rows.where("n > 0").select("id", "n", "s1", "s2").join(named, ["s1", "s2"]).select("id", "n", "component_id")
+    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "th")
+    grouped_rows = rows.where("n > 0").select("id", "n", "s1", "s2", "th").join(named, ["s1", "s2"])
+    grouped_rows = grouped_rows.select("id", "n", "component_id", "th")
     return alone.union(grouped_rows).select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("th").alias("text_hash"),
     )
 
 
 @query("op4_minhash")
 def op4_minhash(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir), words=4)
+    return near_duplicates(documents(spark, sf_dir), words=4).drop("text_hash")

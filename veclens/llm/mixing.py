@@ -11,7 +11,7 @@ from veclens.operators.ordering import running
 from veclens.session import stage
 
 from . import query
-from .texts import documents, n_words, seeded
+from .texts import documents, n_words, seeded, whole
 
 BUCKETS = 4096
 #: Quality weights of labelled documents; the others weigh 1.
@@ -85,15 +85,18 @@ def mix(
     ``quality`` has the id and ``weight``; rows without one weigh 1, and of
     several the largest counts.
 
-    Returns the id, size, source_size, target, taken, and epochs (times the row
-    is taken). A null or empty text has size 0 and takes 0, null is a source of
+    Returns the id, size, source_size, target, taken, epochs (times the row is
+    taken) and text_hash (xxhash64, to tell rows that repeat an id apart). A null or empty text has size 0 and takes 0, null is a source of
     its own and the last, rows that repeat an id are ordered by size, and an
     empty table gives no rows. Columns other than the three named are not read.
 
     Prefix sums run inside buckets of the key, so a hot source is spread over
     tasks; only one row per source meets in one task.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    rows = docs.select(
+        F.col(id_column).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"),
+        F.xxhash64(whole(text)).alias("text_hash"),
+    )
     rows = stage(rows, "mix-rows")
     if quality is None:
         weight = F.lit(1.0)
@@ -105,13 +108,13 @@ def mix(
         rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most
     )
     name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
-    keyed = rows.select("id", name.alias("name"), "size", exponential_key("id", weight, seed).alias("key"))
+    keyed = rows.select("id", name.alias("name"), "size", "text_hash", exponential_key("id", weight, seed).alias("key"))
     # grows with the key and spreads the keys of weight 1 evenly
     cell = F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1))
     summed = running(
         keyed.withColumn("cell", cell),
         bucket="cell",
-        order=("key", "id", "size"),
+        order=("key", "id", "size", "text_hash"),
         sums={"upto": F.col("size")},
         by=("name",),
     )
@@ -127,6 +130,7 @@ def mix(
         (F.col("num").cast("double") / F.col("den").cast("double")).alias("target"),
         (times * F.col("size")).alias("taken"),
         times.alias("epochs"),
+        "text_hash",
     )
 
 
@@ -177,4 +181,4 @@ SELECT doc_id, size, source_size, num::DOUBLE / den::DOUBLE AS target, epochs *
 
 @query("op1_mixing", SQL)
 def op1_mixing(spark, sf_dir):
-    return mix(documents(spark, sf_dir), quality=label_weights(spark, sf_dir))
+    return mix(documents(spark, sf_dir), quality=label_weights(spark, sf_dir)).drop("text_hash")

@@ -122,23 +122,30 @@ class NbSvm:
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], positive: np.ndarray, features: int = FEATURES) -> NbSvm:
-        """A fifth of the rows sets the logistic curve only. With one class or no rows every score is that class's share."""
+        """The logistic curve is set on margins of rows that the weights were not fitted on, in five folds.
+
+        With one class or no rows every score is that class's share.
+        """
         if not len(rows) or positive.all() or not positive.any():
             share = (positive.sum() + 1) / (len(rows) + 2)
             return cls(np.zeros(features), 0.0, 1.0, float(np.log(share / (1 - share))))
-        held = np.arange(len(rows)) % 5 == 4
-        if positive[~held].all() or not positive[~held].any() or len(rows) < 50:
-            held[:] = False
-        own = [row for row, out in zip(rows, held, strict=True) if not out]
-        ratios = log_count_ratios(own, positive[~held], features)
-        values = [cls.scaled(ratios, row) for row in own]
-        fitted = dual_coordinate_descent(own, values, np.where(positive[~held], 1.0, -1.0), features)
-        model = cls(fitted[:-1] * ratios, float(fitted[-1]), 1.0, 0.0)
-        part = held if held.any() else ~held
-        margins = model.margins([row for row, use in zip(rows, part, strict=True) if use])
-        model.slope, model.shift = calibration(margins, positive[part])
+        fold = np.arange(len(rows)) % 5
+        margins = np.zeros(len(rows))
+        for k in range(5):
+            out = fold == k
+            part = cls._weights([row for row, is_out in zip(rows, out, strict=True) if not is_out], positive[~out], features)
+            margins[out] = part.margins([row for row, is_out in zip(rows, out, strict=True) if is_out])
+        model = cls._weights(rows, positive, features)
+        model.slope, model.shift = calibration(margins, positive)
         return model
 
+    @classmethod
+    def _weights(cls, rows: list[np.ndarray], positive: np.ndarray, features: int) -> NbSvm:
+        ratios = log_count_ratios(rows, positive, features)
+        values = [cls.scaled(ratios, row) for row in rows]
+        fitted = dual_coordinate_descent(rows, values, np.where(positive, 1.0, -1.0), features)
+        return cls(fitted[:-1] * ratios, float(fitted[-1]), 1.0, 0.0)
+
     @staticmethod
     def scaled(ratios: np.ndarray, row: np.ndarray) -> np.ndarray:
         return ratios[row] / np.sqrt(max(len(row), 1))
@@ -202,6 +209,21 @@ def score_quality(docs: DataFrame, model: NbSvm, *, id_column: str = "doc_id", t
     return rows.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_column)
 
 
+def keep_good(docs: DataFrame, model: NbSvm, threshold: float, *, text: str = "text") -> DataFrame:
+    """The rows that score ``threshold`` or more, all columns as they are; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(at))
+            for start, end in runs(offsets, RUN_BYTES):
+                found = shape_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+                yield batch.slice(start, end - start).filter(pa.array(shared.value.scores(found) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def id_fold(folds: int, id_column: str = "doc_id") -> Column:
     """``crc32`` of the id as text, modulo ``folds``; of an empty text for a null id."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds
