@@ -1,10 +1,72 @@
-"""From raw documents to token ids, as a chain of training-data operators."""
+"""From raw documents to token ids: five training-data operators in a row."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veclens.llm.exact_dedup import exact_groups
+from veclens.llm.minhash import near_duplicates
+from veclens.llm.mixing import label_weights, mix
+from veclens.llm.nbsvm import fit_quality, keep_good, train_labels
+from veclens.llm.pieces import encode_documents
+from veclens.llm.texts import documents, whole, without_white
+from veclens.session import stage
+
+QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects."""
+    return keep_good(docs, fit_quality(docs, train_labels(spark, sf_dir)), QUALITY)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts; rows that repeat an id and its text are one."""
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    known = docs.withColumn("_hash", F.sha2(without_white("text"), 256))
+    joined = known.join(kept, known.doc_id.eqNullSafe(kept._id) & (known._hash == kept._sha), "left_semi")
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id", "_hash").orderBy(F.length(whole()).desc(), *others, "text")
+    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    same = docs.doc_id.eqNullSafe(kept._id) & (F.xxhash64(whole()) == kept._h)
+    return docs.join(kept, same, "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that the sources have their weights; rows with the same id and text alike."""
+    times = mix(docs, quality=label_weights(spark, sf_dir)).where("epochs > 0")
+    times = times.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.max("epochs").alias("_n"))
+    taken = docs.join(times, docs.doc_id.eqNullSafe(times._id) & (F.xxhash64(whole()) == times._h))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that the mixture takes."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing sources", mixed),
+    ("SentencePiece", encoded),
+]
+#: The classifier, the hashes and the piece search have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is a table in the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+    return docs
