@@ -56,11 +56,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     if differing.isEmpty():
         result = rows.join(found, "h")
     else:
-        apart = bytes_of.join(differing, "h", "left_semi")
-        again = rows.join(differing, "h", "left_semi").join(
-            apart.select("doc_id", "bytes").distinct().withColumn("text_sha256", F.sha2("bytes", 256)),
-            ["doc_id", "text_sha256"],
-        )
+        apart = bytes_of.join(differing, "h", "left_semi").select("doc_id", "bytes").distinct()
+        apart = apart.select(F.col("doc_id").alias("_id"), "bytes", F.sha2("bytes", 256).alias("_sha"))
+        again = rows.join(differing, "h", "left_semi")
+        again = again.join(apart, again.doc_id.eqNullSafe(apart._id) & (again.text_sha256 == apart._sha)).drop("_id", "_sha")
         exact = again.join(groups(again, "h", "bytes"), ["h", "bytes"]).drop("bytes")
         result = rows.join(differing, "h", "left_anti").join(found, "h").unionByName(exact)
     return result.select(

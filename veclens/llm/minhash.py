@@ -18,6 +18,9 @@ from .texts import RUN_BYTES, documents, flat, mix64, runs, span_hashes, whole,
 PERMUTATIONS = 64
 #: Values of a band. 32 bands of 4 miss a pair of similarity 0.8 with probability 5e-8.
 BAND = 4
+#: Bits of a set's bitmap, and members of a key that are compared at once.
+BITS = 4096
+BLOCK = 2048
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,8 +76,15 @@ def band_keys(low: np.ndarray, high: np.ndarray, band: int = BAND) -> np.ndarray
     return keys
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """One bit per shingle hash: bitmaps of two sets differ in no more bits than the sets in shingles."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``id, th, n, s1, s2, bands`` of rows ``id, th, text``."""
+    """``id, th, n, s1, s2, bands, bits`` of rows ``id, th, text``."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +104,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     "s1": np.ascontiguousarray(sums[:, 0]).view(np.int64),
                     "s2": np.ascontiguousarray(sums[:, 1]).view(np.int64),
                     "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
+                    "bits": pa.array([bitmap(s) for s in sets], pa.binary()),
                 })
 
-    return docs.mapInArrow(sketch, "id bigint, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return docs.mapInArrow(sketch, "id bigint, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits binary")
 
 
 def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -148,6 +159,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
+def possible_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of a key's members with different labels that may be similar enough.
+
+    Rows are ``key, node, label, n, bits, m`` with m the members of the key. A
+    key's members are compared in blocks inside tasks, by sizes and bitmaps;
+    this leaves out only pairs that surely are below the threshold, and only
+    what is left goes on.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = (
+        rows.withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "bits")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held).combine_chunks()
+            lo, hi, own, node, label, n = (group.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6))
+            if len(node) < 2 or (label == label[0]).all():
+                return
+            words = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint64).reshape(len(node), -1)
+            left = np.flatnonzero(own == lo[0])
+            right = np.flatnonzero(own == hi[0])
+            for at in range(0, len(left), 16):
+                x = left[at : at + 16]
+                wanted = (label[x][:, None] != label[right]) & ((node[x][:, None] < node[right]) | (lo[0] != hi[0]))
+                i, j = np.nonzero(wanted & (
+                    100 * np.minimum(n[x][:, None], n[right]) >= percent * np.maximum(n[x][:, None], n[right])))
+                i, j = x[i], right[j]
+                for first in range(0, len(i), 8192):
+                    a, b = i[first : first + 8192], j[first : first + 8192]
+                    differ = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+                    # similar enough: differing shingles are at most (100 - percent) / (100 + percent) of both sizes
+                    near = np.flatnonzero((100 + percent) * differ <= (100 - percent) * (n[a] + n[b]))
+                    if len(near):
+                        u, v = node[a[near]], node[b[near]]
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+        for batch in batches:
+            places = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+                if start == end:
+                    continue
+                if held and tuple(places[start]) != tuple(held[0].column(i)[0].as_py() for i in range(3)):
+                    yield from solve()
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from solve()
+
+    together = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return together.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -161,10 +231,11 @@ def near_duplicates(
     rows, and columns other than the two named are not read. Ids are integers.
 
     Rows with the same set are one node. Nodes that share a band key are
-    candidates: all of a key are compared with the key's smallest node, and then
-    members of a key that are still in different groups with each other (pairs
-    whose sizes already rule it out aside), so a group of thousands of near
-    copies costs one comparison per member and no link is lost.
+    candidates: all of a key are compared with the key's most central node (the
+    one whose keys have the most members), and then members of a key that are
+    still in different groups with each other, in blocks inside tasks, so that
+    no link is lost. A group of thousands of near copies costs about one
+    comparison of texts per member.
     Texts move by their id, only for candidates; keys, links and labels are
     narrow tables that Spark joins and splits.
     """
@@ -177,10 +248,12 @@ def near_duplicates(
     )
     nodes = rows.join(classes.select(F.col("node").alias("row")), "row")
     keyed = stage(nodes.select(F.col("row").alias("node"), "n", "id", "th", F.explode("bands").alias("key")), "bands")
-    shared = (
-        keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    )
-    members = stage(keyed.join(shared, "key").select("key", "pivot", "node", "n", "id", "th"), "members")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = stage(keyed.join(shared, "key"), "several")
+    central = several.groupBy("node").agg(F.sum("m").alias("central"))
+    pivots = several.join(central, "node").groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"))
+    pivots = pivots.select("key", (-F.col("top.minus")).alias("pivot"))
+    members = stage(several.join(pivots, "key"), "members")
     who = members.select("node", "id", "th").distinct()
     texts = source.select("id", "th", "text")
 
@@ -194,24 +267,19 @@ def near_duplicates(
         )
         return stage(confirmed(with_b.join(of_a, "a"), words, percent), name)
 
-    first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    first = members.where("node != pivot").select(
+        F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")
+    ).distinct()
     found = links(first, "stars")
     grouped = components(found)
     placed = members.join(grouped, "node", "left").select(
-        "key", "pivot", "node", "n", F.coalesce("label", "node").alias("label")
-    )
-    split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    apart = stage(placed.where("node != pivot").join(split, "key"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
+        "key", "pivot", "node", "n", "m", F.coalesce("label", "node").alias("label")
     )
+    # members beside the pivot, where they are in different groups
+    split = placed.where("node != pivot").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    apart = placed.where("node != pivot").join(split.where("lo != hi").select("key"), "key")
+    maps = rows.select(F.col("row").alias("node"), "bits")
+    rest = possible_pairs(apart.join(maps, "node"), percent)
     more = links(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
         grouped = components(found.union(more))
