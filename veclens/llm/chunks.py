@@ -9,6 +9,9 @@ import pyarrow as pa
 
 from .texts import ranges
 
+#: New chunks that are encoded in one call.
+AT_ONCE = 20_000
+
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -20,7 +23,7 @@ class ChunkEncoder:
     across, so that a text's ids are those of its chunks in a row.
     """
 
-    def __init__(self, encode: Encode, limit: int = 500_000):
+    def __init__(self, encode: Encode, limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.forget()
 
@@ -46,7 +49,8 @@ class ChunkEncoder:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [distinct[i] for i in missing]
-            ids, counts = self.encode(new)
+            parts = [self.encode(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE)]
+            ids, counts = (np.concatenate(part) for part in zip(*parts, strict=True))
             at[missing] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(new, at[missing].tolist(), strict=True))
             self.starts = np.concatenate([self.starts, np.cumsum(counts) - counts + len(self.ids)])

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from veclens.session import stage
 
 from . import query
-from .texts import byte_hashes, documents, flat, mix64, ranges, runs, span_hashes, whole
+from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, ranges, runs, span_hashes, whole
 
 #: Bytes of the anchors that bring equal strings together; at most the length that is looked for.
 ANCHOR = 32
-#: Bytes of text whose anchors are found at once, and bytes of segments that one suffix array holds, beyond its last key.
-RUN_BYTES, BLOCK_BYTES = 2 << 20, 1 << 20
+#: Bytes of segments that one suffix array holds, beyond its last key.
+BLOCK_BYTES = 1 << 20
 #: Keys with more distinct segments are compared by hashes of all their strings instead.
 MANY = 20_000
 #: A key is spread over tasks if a sample of this share of all segments has it in this share of its rows.

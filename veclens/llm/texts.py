@@ -33,7 +33,7 @@ def seeded(id_column: str, seed: int | str) -> Column:
 
 
 #: Bytes of text that tasks handle at once.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 
 
 def documents(spark, sf_dir: str):
