@@ -37,7 +37,7 @@ def make_corpus(spark, n=60, bad=()):
 
 
 def config(path, **options):
-    defaults = {"num_shards": 3, "chunk_size": 20, "max_length": 8, "d_model": 2, "batch_size": 4, "tokens_per_shard": 10_000}
+    defaults = {"num_shards": 3, "chunk_size": 20, "max_length": 8, "truncate": True, "d_model": 2, "batch_size": 4, "tokens_per_shard": 10_000}
     return CollectConfig(str(path), **{**defaults, **options})
 
 
@@ -48,7 +48,7 @@ def rows(spark, cfg):
     return sorted(tuple(r) for r in tokens_table(spark, cfg).select(*KEYS).collect())
 
 
-def expected_tokens(corpus, max_length=8):
+def expected_tokens(corpus, max_length: int | None = 8):
     return {
         r["doc_id"]: [len(w) for w in r["text"].split()][:max_length] for r in corpus.collect() if r["text"].split()
     }
@@ -122,7 +122,7 @@ def test_failed_documents_are_quarantined_and_made_up_for(spark, tmp_path):
     failed = quarantine(spark, cfg).collect()
     assert failed and {r["doc_id"] for r in failed} <= bad
     assert not {row[3] for row in found} & {r["doc_id"] for r in failed}
-    assert all(len(r["error"]) == 100 for r in failed)
+    assert all(r["error"] == "no token 9, please " + "x" * 200 for r in failed)
     counts = {}
     for shard, *_ in found:
         counts[shard] = counts.get(shard, 0) + 1
@@ -179,3 +179,43 @@ def test_repeated_batch_writes_the_same_rows(spark, tmp_path):
     first = rows(spark, cfg)
     stream(spark, source, cfg, tmp_path / "fresh")
     assert rows(spark, cfg) == first
+
+
+def test_whole_texts_are_collected_in_windows(spark, tmp_path):
+    corpus, cfg = make_corpus(spark), config(tmp_path / "run", truncate=False, max_length=4, tokens_per_shard=None)
+    assert all(r["passed"] for r in collect(corpus, tokenizer, make_encoder, cfg).collect())
+    documents, places = {}, {}
+    for r in tokens_table(spark, cfg).select("doc_id", "pos", "token_id", "activation").collect():
+        documents.setdefault(r.doc_id, {})[r.pos] = r.token_id
+        places[r.doc_id, r.pos] = r.activation[1]
+    assert {d: [t[i] for i in range(len(t))] for d, t in documents.items()} == expected_tokens(corpus, None)
+    assert all(place == pos % 4 for (_, pos), place in places.items())
+
+
+def make_careless_encoder():
+    """Matrices that are empty, short, of one dimension or of another width, by the first token."""
+
+    def encode(documents):
+        shapes = {1: lambda n: np.zeros((0, 2)), 2: lambda n: np.zeros((n - 1, 2)), 3: lambda n: np.zeros(n), 4: lambda n: np.zeros((n, 3))}
+        return [shapes.get(int(ids[0]), lambda n: np.zeros((n, 2)))(len(ids)) for ids in documents]
+
+    return encode
+
+
+def test_malformed_matrices_are_quarantined_and_the_run_ends(spark, tmp_path):
+    texts = [(i, " ".join(["a" * (1 + i % 6)] * (2 + i % 3))) for i in range(30)]
+    corpus = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    cfg = config(tmp_path / "run", tokens_per_round=20)
+    report = collect(corpus, tokenizer, make_careless_encoder, cfg, max_rounds=40)
+    assert report.count() == cfg.num_shards
+    failed = {r.doc_id: r.error for r in quarantine(spark, cfg).collect()}
+    assert set(failed) == {i for i in range(30) if i % 6 < 4}
+    assert all(
+        text in failed[i] for i in failed
+        for text in [{0: "vectors, got 0", 1: "vectors, got", 2: "got 1 dimensions", 3: "expected width 2, got 3"}[i % 6]]
+    )
+    assert {r.doc_id for r in tokens_table(spark, cfg).select("doc_id").distinct().collect()} == set(range(30)) - set(failed)
+    rounds = saved_checkpoints(spark, cfg).agg(F.max("round")).first()[0]
+    assert rounds < 39
+    collect(corpus, tokenizer, make_careless_encoder, cfg, max_rounds=3)
+    assert saved_checkpoints(spark, cfg).agg(F.max("round")).first()[0] == rounds

@@ -61,17 +61,22 @@ def chunk_sink_roundtrip(spark, sf_dir):
 
 @check("npy_roundtrip", f"""
 WITH {fx.ROWS_SQL}
-SELECT shard_id, chunk_id, row_in_chunk, token_id, len(embedding) AS width, 'float16' AS dtype FROM rows
+SELECT shard_id, chunk_id, row_in_chunk, token_id, len(embedding) AS width, 'float16' AS dtype,
+       list_sum(list_transform(embedding, lambda e: CASE WHEN e = 0 THEN 0 ELSE round_even(
+         e::DOUBLE / pow(2.0::DOUBLE, greatest(floor(log2(abs(e::DOUBLE))), -14) - 10), 0)
+         * pow(2.0::DOUBLE, greatest(floor(log2(abs(e::DOUBLE))), -14) - 10) END)) AS checksum
+FROM rows WHERE shard_id < {fx.NUM_SHARDS}
 """)
 def npy_roundtrip(spark, sf_dir):
-    """Writes the chunks as .npy files and reads both sides back."""
+    """Writes the chunks as .npy files and reads both sides back; sums of halves are exact."""
     root = staging_path(spark, "npy")
     npy.write_npy(fx.chunk_rows(spark, sf_dir), root)
     shards = [f"{root}/shard{shard}" for shard in range(fx.NUM_SHARDS)]
     ids = npy.read_npy(spark, shards, "token_ids").drop("dtype", "error")
     both = npy.read_npy(spark, shards).join(ids, ["shard_id", "chunk_id", "row_in_chunk"])
     return wide(both.select(
-        "shard_id", "chunk_id", "row_in_chunk", "token_id", F.size("activation").alias("width"), "dtype"
+        "shard_id", "chunk_id", "row_in_chunk", "token_id", F.size("activation").alias("width"), "dtype",
+        F.aggregate("activation", F.lit(0.0), lambda total, x: total + x.cast("double")).alias("checksum"),
     ))
 
 
@@ -100,7 +105,7 @@ def align_pairs(spark, sf_dir):
     vectors = fx.prompts(spark, sf_dir).select(
         F.col("prompt_id").cast("bigint").alias("doc_id"), "pos", "vec_id"
     )
-    tokens = corpus.flatten_tokens(corpus.tokenize(fx.corpus(spark, sf_dir), fx.MAX_LENGTH))
+    tokens = corpus.flatten_tokens(corpus.tokenize(fx.corpus(spark, sf_dir)))
     return wide(chunking.align_pairs(vectors, tokens))
 
 

@@ -65,7 +65,7 @@ def nonempty_text(spark, sf_dir):
 
 @check("tokenize_truncate", f"""
 SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5
-FROM (SELECT doc_id, {fx.TOKENS_SQL} AS tokens FROM {fx.DOCS_SQL} WHERE text <> '') WHERE len(tokens) > 0
+FROM (SELECT doc_id, {fx.CUT_TOKENS_SQL} AS tokens FROM {fx.DOCS_SQL} WHERE text <> '') WHERE len(tokens) > 0
 """)
 def tokenize_truncate(spark, sf_dir):
     tokenized = corpus.tokenize(fx.corpus(spark, sf_dir), fx.MAX_LENGTH)
@@ -77,22 +77,22 @@ def tokenize_truncate(spark, sf_dir):
 
 
 def token_rows(spark, sf_dir):
-    return corpus.flatten_tokens(corpus.tokenize(fx.corpus(spark, sf_dir), fx.MAX_LENGTH))
+    return corpus.flatten_tokens(corpus.tokenize(fx.corpus(spark, sf_dir)))
 
 
 @check("vocabulary", f"WITH {fx.VOCABULARY_SQL} SELECT token, token_id FROM vocabulary")
 def vocabulary(spark, sf_dir):
-    return wide(corpus.build_vocabulary(token_rows(spark, sf_dir), fx.VOCABULARY))
+    return wide(corpus.build_vocabulary(token_rows(spark, sf_dir)))
 
 
 @check("token_flatten", f"""
 WITH {fx.VOCABULARY_SQL}
-SELECT doc_id, pos, coalesce(token_id, {fx.VOCABULARY}) AS token_id FROM words LEFT JOIN vocabulary USING (token)
+SELECT doc_id, pos, token_id FROM words JOIN vocabulary USING (token)
 """)
 def token_flatten(spark, sf_dir):
     tokens = token_rows(spark, sf_dir)
-    known = stage(corpus.build_vocabulary(tokens, fx.VOCABULARY), "vocabulary")
-    coded = corpus.encode_tokens(tokens, known, fx.VOCABULARY)
+    known = stage(corpus.build_vocabulary(tokens), "vocabulary")
+    coded = corpus.encode_tokens(tokens, known, -1)
     return coded.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("token_id").cast("bigint").alias("token_id"))
 
 
@@ -164,9 +164,9 @@ def chunk_numbers(spark, sf_dir, chunk_size, budget=None):
     return wide(chunked.select("doc_id", "shard_id", "chunk_id", "cum_tokens"))
 
 
-@check("assign_chunks", chunk_numbers_sql(CHUNK_SIZE, BUDGET))
+@check("assign_chunks", chunk_numbers_sql(CHUNK_SIZE))
 def assign_chunks(spark, sf_dir):
-    return chunk_numbers(spark, sf_dir, CHUNK_SIZE, BUDGET)
+    return chunk_numbers(spark, sf_dir, CHUNK_SIZE)
 
 
 @check("assign_chunks_oversized", chunk_numbers_sql(SMALL_CHUNK))
@@ -220,25 +220,23 @@ def make_encoder():
 
 
 def documents_with_ids(spark, sf_dir):
-    known = stage(corpus.build_vocabulary(token_rows(spark, sf_dir), fx.VOCABULARY), "vocabulary")
-    to_ids = encode.vocabulary_tokenizer(
-        known, fx.VOCABULARY, lambda text: corpus.words(text, fx.MAX_LENGTH)
-    )
-    docs = corpus.has_words(fx.corpus(spark, sf_dir))
-    return docs.select("doc_id", to_ids(F.col("text")).alias("token_ids"))
+    tokens = token_rows(spark, sf_dir)
+    known = stage(corpus.build_vocabulary(tokens), "vocabulary")
+    return stage(corpus.document_ids(tokens, known), "ids")
 
 
+# The encoder sees windows of MAX_LENGTH tokens.
 ENCODER_SUM_SQL = " + ".join(
-    f"{d + 1} * ((token_id * {d + 3} + pos * 7) % 101 - 50)" for d in range(ENCODER_WIDTH)
+    f"{d + 1} * ((token_id * {d + 3} + (pos % {fx.MAX_LENGTH}) * 7) % 101 - 50)" for d in range(ENCODER_WIDTH)
 )
 
 
 @check("extract_activations", f"""
 WITH {fx.VOCABULARY_SQL},
 coded AS (
-  SELECT doc_id, pos, coalesce(token_id, {fx.VOCABULARY}) AS token_id, count(*) OVER (PARTITION BY doc_id) AS n
-  FROM words LEFT JOIN vocabulary USING (token))
-SELECT doc_id, pos, token_id, CAST({ENCODER_SUM_SQL} AS DOUBLE) AS weighted_sum FROM coded WHERE n % 13 <> 0
+  SELECT doc_id, pos, token_id, count(*) OVER (PARTITION BY doc_id) % {fx.MAX_LENGTH} AS n
+  FROM words JOIN vocabulary USING (token))
+SELECT doc_id, pos, token_id, CAST({ENCODER_SUM_SQL} AS DOUBLE) AS weighted_sum FROM coded WHERE n = 0 OR n % 13 <> 0
 """)
 def extract_activations(spark, sf_dir):
     extracted = encode.extract(documents_with_ids(spark, sf_dir), make_encoder, batch_size=8)
@@ -255,7 +253,9 @@ def extract_activations(spark, sf_dir):
 
 FAILED_SQL = f"""
 {fx.POSITIONS_SQL},
-failed AS (SELECT *, 'cannot encode ' || n_tokens || ' tokens' AS error FROM sharded WHERE n_tokens > 0 AND n_tokens % 13 = 0)
+failed AS (
+  SELECT *, 'cannot encode ' || n_tokens % {fx.MAX_LENGTH} || ' tokens' AS error FROM sharded
+  WHERE n_tokens % {fx.MAX_LENGTH} > 0 AND n_tokens % {fx.MAX_LENGTH} % 13 = 0)
 """
 
 

@@ -297,8 +297,9 @@ STATS_SQL = f"""
 stats AS (
   SELECT feature_id, CAST(max(act) AS BIGINT) AS max_act, CAST(sum(act) AS DOUBLE) / count(*) AS mean_act,
          count(*) FILTER (act > 0) / count(*) AS frequency, count(*) AS n_samples
-  FROM cells WHERE token_idx < {interpret.N_SAMPLES} GROUP BY feature_id)
+  FROM cells GROUP BY feature_id)
 """
+SAMPLE = 150
 
 
 def statistics(spark, sf_dir):
@@ -310,6 +311,16 @@ def feature_statistics(spark, sf_dir):
     return wide(whole(statistics(spark, sf_dir), "max_act"))
 
 
+@check("feature_statistics_sample", f"""
+WITH {STATS_SQL.replace("FROM cells GROUP BY", f"FROM cells WHERE token_idx < {SAMPLE} GROUP BY")}
+SELECT feature_id, max_act, mean_act, frequency, n_samples FROM stats
+""")
+def feature_statistics_sample(spark, sf_dir):
+    """The same over the first vectors only, as the caller asks."""
+    stats = interpret.feature_statistics(fx.integer_model(), integer_rows(spark, sf_dir), SAMPLE)
+    return wide(whole(stats, "max_act"))
+
+
 def leaders_sql(by: str) -> str:
     return f"""
 WITH {STATS_SQL}

@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Some texts are blanked: the tables hold no empty text.
 DOCS_SQL = "(SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS text FROM documents)"
 WORDS_SQL = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
-TOKENS_SQL = f"({WORDS_SQL})[1:{MAX_LENGTH}]"
+TOKENS_SQL = f"({WORDS_SQL})"
+CUT_TOKENS_SQL = f"({WORDS_SQL})[1:{MAX_LENGTH}]"
 
 POSITIONS_SQL = f"""
 docs AS MATERIALIZED (
@@ -52,7 +53,7 @@ words AS MATERIALIZED (
   FROM (SELECT doc_id, {TOKENS_SQL} AS tokens FROM {DOCS_SQL})),
 vocabulary AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS token_id
-  FROM (SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {VOCABULARY}))
+  FROM (SELECT token, count(*) AS n FROM words GROUP BY token))
 """
 
 
@@ -63,7 +64,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sharded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with token counts, shuffled and dealt to shards. Text is read once."""
-    counted = document_counts(corpus(spark, sf_dir), F.size(words("text", MAX_LENGTH)))
+    counted = document_counts(corpus(spark, sf_dir), F.size(words("text")))
     narrow = stage(counted.select("doc_id", "n_tokens"), "counts")
     return shard_documents(shuffle_documents(narrow, seed=SEED), NUM_SHARDS)
 

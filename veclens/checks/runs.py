@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.vectors import to_half
 from ..operators import monitor, verify
 from ..session import staging_path
-from ..sources import tables
+from ..sources import npy, tables
 from . import check
 from . import fixtures as fx
 from .chunks import wide
 
 EXPECTED = 6
+NPY_HEADER = 128
 WITH_METADATA = (0, 1, 2, 5)
 TARGET = 1_000_000
 
 # Faults: (1,0) has no token rows, (2,1) short vectors, (3,1) lacks a token row,
-# (3,2) holds a value beyond half precision; shards 4 and 5 have no chunks.
+# (3,2) holds a value beyond half precision, (2,0) values that are not rounded;
+# shards 4 and 5 have no chunks.
 FAULTS_SQL = f"""
 {fx.ROWS_SQL},
 acts AS (
   SELECT shard_id, chunk_id, count(*) AS act_rows, min(w) AS min_width, max(w) AS max_width,
-         bool_and(biggest <= 65504) AS acts_ok
+         bool_and(biggest <= 65504 AND (halves OR NOT (shard_id = 2 AND chunk_id = 0))) AS acts_ok
   FROM (SELECT shard_id, chunk_id, CASE WHEN shard_id = 2 AND chunk_id = 1 THEN 63 ELSE len(embedding) END AS w,
                CASE WHEN shard_id = 3 AND chunk_id = 2 AND row_in_chunk = 0 THEN 70000
-                    ELSE list_max(list_transform(embedding, lambda e: abs(e))) END AS biggest
+                    ELSE list_max(list_transform(embedding, lambda e: abs(e))) END AS biggest,
+               len(list_filter(embedding, lambda e: e <> 0 AND e::DOUBLE / pow(2.0::DOUBLE, greatest(floor(log2(abs(e::DOUBLE))), -14) - 10)
+                   <> round_even(e::DOUBLE / pow(2.0::DOUBLE, greatest(floor(log2(abs(e::DOUBLE))), -14) - 10), 0))) = 0 AS halves
         FROM rows) GROUP BY ALL),
 toks AS (
   SELECT shard_id, chunk_id, count(*) AS tok_rows FROM rows
@@ -67,9 +73,10 @@ def faulty(spark, sf_dir):
     large = F.transform(F.col("activation"), lambda x: F.lit(70_000.0).cast("float"))
     acts = rows.withColumn(
         "activation",
-        F.when(is_chunk(2, 1), F.slice("activation", 1, 63))
+        F.when(is_chunk(2, 0), F.col("activation"))
+        .when(is_chunk(2, 1), F.slice(to_half("activation"), 1, 63))
         .when(is_chunk(3, 2) & (F.col("row_in_chunk") == 0), large)
-        .otherwise(F.col("activation")),
+        .otherwise(to_half("activation")),
     )
     toks = rows.where(~is_chunk(1, 0) & ~(is_chunk(3, 1) & (F.col("row_in_chunk") == 7)))
     return acts, toks
@@ -160,11 +167,54 @@ SELECT shard_id, true AS passed, '' AS problem, CAST(0 AS BIGINT) AS n_errors, c
 """)
 def verify_clean(spark, sf_dir):
     """The whole audit on chunks without faults."""
-    rows = fx.chunk_rows(spark, sf_dir)
+    rows = fx.chunk_rows(spark, sf_dir).withColumn("activation", to_half("activation"))
     shards = rows.select("shard_id").distinct()
     return wide(verify.verify(rows, rows, shards, fx.WIDTH, fx.NUM_SHARDS))
 
 
+def damaged(spark, sf_dir):
+    """Chunk files of the rows, of which shard 1 and 2 have wrong ones on either side."""
+    root = staging_path(spark, "npy")
+    npy.write_npy(fx.chunk_rows(spark, sf_dir), root)
+    for shard, kind, fault in (
+        (1, "activations", "type"), (1, "token_ids", "rank"), (2, "activations", "rank"), (2, "token_ids", "type"),
+        (3, "activations", "content"), (3, "token_ids", "content"),
+    ):
+        chunk = 0 if kind == "activations" else 1
+        file = npy.local_path(root) / f"shard{shard}" / kind / f"chunk_{chunk:04d}.npy"
+        values = np.load(file)
+        if fault == "type":
+            np.save(file, values.astype(np.float64 if kind == "activations" else np.int64))
+        elif fault == "rank":
+            np.save(file, values[..., None])
+        else:
+            file.write_bytes(b"not an array")
+    return [f"{root}/shard{shard}" for shard in range(fx.NUM_SHARDS)]
+
+
+@check("verify_files", f"""
+WITH {fx.ROWS_SQL}, chunks AS (
+  SELECT shard_id, chunk_id, count(*) AS n, CASE
+    WHEN shard_id = 1 AND chunk_id = 0 THEN 'activations are float64, expected float16'
+    WHEN shard_id = 1 AND chunk_id = 1 THEN 'error loading: expected 1D, got 2D'
+    WHEN shard_id = 2 AND chunk_id = 0 THEN 'error loading: expected 2D, got 3D'
+    WHEN shard_id = 2 AND chunk_id = 1 THEN 'token ids are int64, expected int32'
+    WHEN shard_id = 3 AND chunk_id <= 1 THEN 'error loading' END AS error
+  FROM rows GROUP BY ALL)
+SELECT shard_id, chunk_id, coalesce(error, '') AS error,
+       CASE WHEN error LIKE 'error loading%' THEN 0 ELSE n END AS n_tokens FROM chunks
+""")
+def verify_files(spark, sf_dir):
+    """The audit on chunk files of wrong type, wrong rank and unreadable content, on both sides."""
+    shards = damaged(spark, sf_dir)
+    acts = verify.activation_chunks(npy.read_npy(spark, shards), "error", "dtype")
+    toks = verify.token_chunks(npy.read_npy(spark, shards, "token_ids"), "error", "dtype")
+    found = verify.check_chunks(verify.pair_chunks(acts, toks), fx.WIDTH)
+    # what numpy says about content that is no array is its own
+    error = F.coalesce(F.when(F.col("shard_id") == 3, F.regexp_extract("error", "^error loading", 0)).otherwise(F.col("error")), F.lit(""))
+    return wide(found.select("shard_id", "chunk_id", error.alias("error"), "n_tokens"))
+
+
 # --- monitoring ----------------------------------------------------------------
 
 
@@ -218,12 +268,25 @@ def any_errors(spark, sf_dir):
     return monitor.any_errors(log_lines(spark, sf_dir))
 
 
-@check("shard_bytes")
+@check("shard_bytes", f"""
+WITH {fx.ROWS_SQL}, sizes AS (
+  SELECT shard_id, CAST(count(*) * {fx.WIDTH * 2 + 4} + count(DISTINCT chunk_id) * {2 * NPY_HEADER} AS BIGINT) AS n_bytes,
+         CAST(count(DISTINCT chunk_id) * 2 AS BIGINT) AS n_files, 'shard' AS scope
+  FROM rows GROUP BY shard_id),
+every AS (
+  SELECT * FROM sizes
+  UNION ALL SELECT NULL, CAST(sum(n_bytes) AS BIGINT), CAST(sum(n_files) AS BIGINT), 'total' FROM sizes)
+SELECT *, CASE WHEN n_bytes < 1024 THEN format('{{:,.2f}} B', n_bytes::DOUBLE)
+               WHEN n_bytes < 1048576 THEN format('{{:,.2f}} KB', n_bytes::DOUBLE / 1024)
+               WHEN n_bytes < 1073741824 THEN format('{{:,.2f}} MB', n_bytes::DOUBLE / 1048576)
+               ELSE format('{{:,.2f}} GB', n_bytes::DOUBLE / 1073741824) END AS size
+FROM every
+""")
 def shard_bytes(spark, sf_dir):
-    """Sizes of a chunk table written from the vectors; they depend on the encoder."""
-    path = staging_path(spark, "sizes")
-    tables.write_chunks(fx.chunk_rows(spark, sf_dir), path)
-    return monitor.shard_bytes(tables.file_sizes(spark, path))
+    """Sizes of .npy chunk files: a header, two bytes a value and four an id."""
+    root = staging_path(spark, "sizes")
+    npy.write_npy(fx.chunk_rows(spark, sf_dir), root)
+    return wide(monitor.shard_bytes(tables.file_sizes(spark, root)))
 
 
 @check("human_readable_size", """

@@ -87,7 +87,8 @@ def to_half(vector: str | Column) -> Column:
 
 
 def fits_half(vector: str | Column) -> Column:
-    """True when every element is a finite half: not null, NaN or above 65,504."""
+    """True when every element is a finite half: not null or NaN, at most 65,504, and equal to its rounding."""
     return F.forall(
-        as_column(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= HALF_MAX)
+        as_column(vector),
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= HALF_MAX) & (x.cast("double") == round_half(x).cast("double")),
     )

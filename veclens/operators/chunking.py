@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .ordering import running
 
 CHUNK_SIZE = 100_000
-TOKENS_PER_SHARD = 250_000_000
 MAX_CHUNK_TOKENS = 1_000_000
 LOOKUP_BLOCK = 65_536
 BYTES_PER_VALUE = 2  # float16 on disk

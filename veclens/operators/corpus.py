@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordering import BUCKET_DIGITS, seeded_rank
-
-MAX_LENGTH = 2048
+from ..session import stage
+from .ordering import BUCKET_DIGITS, running, seeded_rank
 
 
 def read_corpus(
@@ -61,8 +60,8 @@ def nonempty(df: DataFrame) -> DataFrame:
     return df.where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-def words(text: str | Column = "text", max_length: int | None = MAX_LENGTH) -> Column:
-    """Whitespace tokens of the whole text, truncated to ``max_length``."""
+def words(text: str | Column = "text", max_length: int | None = None) -> Column:
+    """Whitespace tokens of the whole text, or the first ``max_length``."""
     column = F.col(text) if isinstance(text, str) else text
     tokens = F.array_remove(F.split(column, r"\s+"), "")
     return tokens if max_length is None else F.slice(tokens, 1, max_length)
@@ -73,7 +72,7 @@ def has_words(df: DataFrame) -> DataFrame:
     return nonempty(df).where(F.col("text").rlike(r"\S"))
 
 
-def tokenize(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+def tokenize(df: DataFrame, max_length: int | None = None) -> DataFrame:
     """Adds ``tokens`` and drops documents that have none.
 
     The filter looks at the text, not at ``tokens``: Spark would push a filter
@@ -92,14 +91,21 @@ def flatten_tokens(tokenized: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return tokenized.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
 
 
-def build_vocabulary(token_rows: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent tokens, numbered from 0 by count, then text.
+def build_vocabulary(token_rows: DataFrame, size: int | None = None) -> DataFrame:
+    """All tokens, numbered from 0 by count, then text; or the ``size`` most frequent.
 
     The count combines before its shuffle, so a token that makes up a third of
-    the corpus costs one row per map task. Only the ``size`` kept rows are
-    ranked in one task.
+    the corpus costs one row per map task. All tokens are ranked inside buckets
+    of equal counts and first characters, so no task ranks the vocabulary;
+    ``size`` kept rows are ranked in one.
     """
     counted = token_rows.groupBy("token").agg(F.count("*").alias("n"))
+    if size is None:
+        rare_last = F.lpad((F.lit(1 << 62) - F.col("n")).cast("string"), 19, "0")
+        first = F.hex(F.encode(F.substring("token", 1, 2), "UTF-8"))
+        counted = stage(counted.withColumn("bucket", F.concat(rare_last, first)), "token-counts")
+        ranked = running(counted, bucket="bucket", order=("token",), sums={"rank": F.lit(1).cast("bigint")})
+        return ranked.select("token", (F.col("rank") - 1).cast("int").alias("token_id"))
     kept = counted.orderBy(F.desc("n"), "token").limit(size)
     number = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1
     return kept.select("token", number.cast("int").alias("token_id"))
@@ -111,6 +117,14 @@ def encode_tokens(token_rows: DataFrame, vocabulary: DataFrame, unknown_id: int)
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unknown_id).cast("int")))
 
 
+def document_ids(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``doc_id`` and its ``token_ids`` in order, by a join with the vocabulary."""
+    coded = token_rows.join(vocabulary, "token").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("coded")
+    )
+    return coded.select("doc_id", F.col("coded.token_id").alias("token_ids"))
+
+
 def decode_tokens(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Adds ``token``, or ``<token_id=N>`` for an id the vocabulary lacks."""
     fallback = F.format_string("<token_id=%d>", F.col("token_id"))

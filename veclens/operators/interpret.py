@@ -9,18 +9,17 @@ from .corpus import decode_tokens
 from .ordering import top_k_per_group
 from .sae import ALL_ROWS, SaeModel
 
-N_SAMPLES = 100_000
 LEADERS = 20
 TOP_K = 10
 
 
 def feature_statistics(
-    model: SaeModel, df: DataFrame, n_samples: int | None = N_SAMPLES, *, index: str = "token_idx"
+    model: SaeModel, df: DataFrame, n_samples: int | None = None, *, index: str = "token_idx"
 ) -> DataFrame:
     """Maximum, mean and firing frequency of every feature.
 
-    Looks at the first ``n_samples`` vectors in index order (all of them for
-    ``None``), a filter that reaches the scan. Features that never fire are
+    Looks at all vectors, or at the first ``n_samples`` in index order, a filter
+    that reaches the scan. Features that never fire are
     listed with zeros. Sums and counts stay whole until the one division.
     """
     rows = df if n_samples is None else df.where(F.col(index) < n_samples)

@@ -9,10 +9,14 @@ from ..functions.vectors import fits_half
 
 CHUNK = ("shard_id", "chunk_id")
 TOKEN_BYTES = 4
+ACTIVATION_TYPE, TOKEN_TYPE = "float16", "int32"
 
 
-def activation_chunks(activations: DataFrame, unreadable: str | None = None) -> DataFrame:
-    """Rows, width range and value check of every vector chunk, in one pass."""
+def activation_chunks(activations: DataFrame, unreadable: str | None = None, dtype: str | None = None) -> DataFrame:
+    """Rows, width range and value check of every vector chunk, in one pass.
+
+    ``unreadable`` and ``dtype`` name the columns that a reader of files fills.
+    """
     width = F.size("activation")
     facts = [
         F.count("activation").alias("act_rows"),
@@ -22,15 +26,26 @@ def activation_chunks(activations: DataFrame, unreadable: str | None = None) ->
     ]
     if unreadable:
         facts.append(F.max(unreadable).alias("load_error"))
+    if dtype:
+        facts.append(F.max(F.when(F.col(dtype) != ACTIVATION_TYPE, F.col(dtype))).alias("act_dtype"))
     return activations.groupBy(*CHUNK).agg(*facts)
 
 
-def token_chunks(tokens: DataFrame) -> DataFrame:
-    """Rows and value check of every token-id chunk."""
+def token_chunks(tokens: DataFrame, unreadable: str | None = None, dtype: str | None = None) -> DataFrame:
+    """Rows and value check of every token-id chunk; an unreadable one has no rows."""
     in_range = F.col("token_id").isNotNull() & F.col("token_id").cast("bigint").between(-(2**31), 2**31 - 1)
-    return tokens.groupBy(*CHUNK).agg(
-        F.count("*").alias("tok_rows"), F.bool_and(in_range).alias("toks_ok")
-    )
+    if not unreadable:
+        facts = [F.count("*").alias("tok_rows"), F.bool_and(in_range).alias("toks_ok")]
+    else:
+        read = F.col(unreadable).isNull()
+        facts = [
+            F.count_if(read).alias("tok_rows"),
+            F.bool_and(~read | in_range).alias("toks_ok"),
+            F.max(unreadable).alias("tok_load_error"),
+        ]
+    if dtype:
+        facts.append(F.max(F.when(F.col(dtype) != TOKEN_TYPE, F.col(dtype))).alias("tok_dtype"))
+    return tokens.groupBy(*CHUNK).agg(*facts)
 
 
 def pair_chunks(acts: DataFrame, toks: DataFrame) -> DataFrame:
@@ -48,8 +63,10 @@ def check_chunks(pairs: DataFrame, d_model: int) -> DataFrame:
     The first failing check names the error. Wrong width and unequal counts
     take the chunk's tokens out of the total; wrong values do not.
     """
-    if "load_error" not in pairs.columns:
-        pairs = pairs.withColumn("load_error", F.lit(None).cast("string"))
+    for name in ("load_error", "tok_load_error", "act_dtype", "tok_dtype"):
+        if name not in pairs.columns:
+            pairs = pairs.withColumn(name, F.lit(None).cast("string"))
+    pairs = pairs.withColumn("load_error", F.coalesce("load_error", "tok_load_error"))
     bad_width = F.when(F.col("min_width") != d_model, F.col("min_width")).when(
         F.col("max_width") != d_model, F.col("max_width")
     )
@@ -63,7 +80,11 @@ def check_chunks(pairs: DataFrame, d_model: int) -> DataFrame:
             F.format_string("%d vectors, %d token ids", "act_rows", "tok_rows"),
         )
     )
-    values = F.when(~F.col("acts_ok"), F.lit("activation values are not half precision")).when(
+    values = F.when(
+        F.col("act_dtype").isNotNull(), F.concat(F.lit("activations are "), "act_dtype", F.lit(f", expected {ACTIVATION_TYPE}"))
+    ).when(
+        F.col("tok_dtype").isNotNull(), F.concat(F.lit("token ids are "), "tok_dtype", F.lit(f", expected {TOKEN_TYPE}"))
+    ).when(~F.col("acts_ok"), F.lit("activation values are not half precision")).when(
         ~F.col("toks_ok"), F.lit("token ids are not int32")
     )
     return pairs.select(

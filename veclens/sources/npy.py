@@ -82,6 +82,8 @@ class NpyReader(DataSourceReader):
             wanted = 2 if self.kind == "activations" else 1
             if mapped.ndim != wanted:
                 raise ValueError(f"expected {wanted}D, got {mapped.ndim}D")
+            if self.kind == "token_ids" and mapped.dtype.kind not in "iu":
+                raise ValueError(f"expected integers, got {mapped.dtype}")
         except Exception as problem:  # noqa: BLE001 - a bad file becomes an error row
             return [Slice(str(file), shard_id, chunk_id, 0, 0, str(problem) or type(problem).__name__)]
         rows = len(mapped)
@@ -93,7 +95,7 @@ class NpyReader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         names = column_names(FOLDERS[self.kind])
-        vector = pa.list_(pa.float32()) if self.kind == "activations" else pa.int32()
+        vector = pa.list_(pa.float32()) if self.kind == "activations" else pa.int64()
 
         def rows(n, values, start, dtype, error):
             columns = [
@@ -121,7 +123,7 @@ class NpyReader(DataSourceReader):
                 flat = np.ascontiguousarray(block, dtype=np.float32).reshape(-1)
                 values = pa.ListArray.from_arrays(offsets, pa.array(flat))
             else:
-                values = pa.array(block.astype(np.int32))
+                values = pa.array(block.astype(np.int64))
             yield rows(n, values, start, str(mapped.dtype), None)
 
 

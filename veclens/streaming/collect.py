@@ -38,7 +38,7 @@ def stream_collect(
         if not committed.isEmpty():
             return
         count = token_count(F.col("text")) if token_count else F.size(tokenizer(F.col("text")))
-        counts = document_counts(batch, F.least(count, F.lit(config.max_length)))
+        counts = document_counts(batch, config.count(count))
         counted = stage(counts.select("doc_id", "n_tokens"), "counts")
         sharded = stage(shard_documents(shuffle_documents(counted, seed=config.seed), config.num_shards), "sharded")
         run_round(session, config, batch, sharded, tokenizer, make_encoder, number, whole_input=True)
