@@ -394,11 +394,18 @@ def decode_tokens(spark, sf_dir):
 
 @check("prompt_token_profile", f"""
 WITH {fx.CELLS_SQL}, {fx.PROMPTS_SQL}
-SELECT prompt_id, pos, count(*) FILTER (act > 0) AS n_active, CAST(max(act) AS BIGINT) AS max_act
-FROM cells JOIN prompts USING (token_idx) GROUP BY prompt_id, pos
+SELECT prompt_id, pos, n_active, max_act, {VOCAB_SQL} AS token FROM (
+  SELECT prompt_id, pos, token_idx, count(*) FILTER (act > 0) AS n_active, CAST(max(act) AS BIGINT) AS max_act
+  FROM cells JOIN prompts USING (token_idx) GROUP BY prompt_id, pos, token_idx)
+JOIN (SELECT token_idx, token_id FROM rows) USING (token_idx)
 """)
 def prompt_token_profile(spark, sf_dir):
-    return wide(whole(prompts.prompt_token_profile(fx.integer_model(), integer_prompts(spark, sf_dir)), "max_act"))
+    places = fx.prompts(spark, sf_dir).select("prompt_id", "pos", "vec_id").join(
+        fx.chunk_rows(spark, sf_dir).select("vec_id", "token_id"), "vec_id"
+    )
+    tokens = corpus.decode_tokens(places, known_tokens(spark, sf_dir))
+    profile = prompts.prompt_token_profile(fx.integer_model(), integer_prompts(spark, sf_dir), tokens=tokens)
+    return wide(whole(profile, "max_act"))
 
 
 @check("prompt_summary", f"""

@@ -14,19 +14,25 @@ TOP_FEATURES = 10
 SHOWN_FEATURES = 5
 
 
-def prompt_token_profile(model: SaeModel, df: DataFrame, keys: Sequence[str] = ("prompt_id", "pos")) -> DataFrame:
+def prompt_token_profile(
+    model: SaeModel, df: DataFrame, keys: Sequence[str] = ("prompt_id", "pos"), *, tokens: DataFrame | None = None
+) -> DataFrame:
     """Per token: number of active features and the largest activation.
 
+    ``tokens`` has the keys and the ``token`` text, which then stands in the
+    profile; a place without one has a null.
+
     Tokens without an active feature are listed with zeros. Computed on each
     row's feature array, so nothing is shuffled.
     """
     encoded = model.encode(df, keys)
     strongest = F.array_max(F.transform("features", lambda f: f["act"]))
-    return encoded.select(
+    profile = encoded.select(
         *keys,
         F.size("features").cast("bigint").alias("n_active"),
         F.coalesce(strongest, F.lit(0.0)).alias("max_act"),
     )
+    return profile if tokens is None else profile.join(tokens.select(*keys, "token"), list(keys), "left")
 
 
 def feature_totals(model: SaeModel, df: DataFrame, prompt: str = "prompt_id") -> DataFrame:

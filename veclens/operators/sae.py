@@ -18,7 +18,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import dataset, fs
+from pyarrow import dataset
 from pyspark import SparkFiles
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import LAYER_NORM_EPS, NORM_FLOOR, unit
-from ..session import as_uri, staging_path
+from ..session import as_uri, staging_path, task_filesystem
 
 NORMALIZATIONS = ("none", "expected_average_only_in", "layer_norm")
 BROADCAST_LIMIT_BYTES = 256 << 20
@@ -129,7 +129,7 @@ class SaeTable:
         names = ["w_enc", "w_dec"] if decoder else ["w_enc"]
 
         def load():
-            filesystem, root = fs.FileSystem.from_uri(location)
+            filesystem, root = task_filesystem(location)
             wanted = None if ids is None else dataset.field("feature_id").isin(ids.tolist())
             found = np.arange(d_sae) if ids is None else ids
             place = {int(f): i for i, f in enumerate(found)}
@@ -223,7 +223,7 @@ def share_arrays(
         return lambda: handle.value
 
     location = as_uri(staging_path(spark, "weights"))
-    filesystem, root = fs.FileSystem.from_uri(location)
+    filesystem, root = task_filesystem(location)
     filesystem.create_dir(root, recursive=True)
     tag = uuid.uuid4().hex
     names = {}

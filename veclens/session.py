@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -66,12 +67,32 @@ def as_uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
+def task_filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the place in it, for files that tasks open themselves.
+
+    Spark's names for a store (``s3a``) are Arrow's (``s3``) here.
+    """
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", as_uri(path)))
+
+
+def on_store(path: str):
+    """Hadoop's file system of a path and the path, on the driver; any store that Spark reads."""
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(path: str) -> bool:
+    store, place = on_store(path)
+    return store.exists(place)
+
+
 def discard(path: str) -> None:
     """Deletes a staged table that nothing reads any more."""
     if "/staged/" not in path:
         raise ValueError(f"{path} is not a staged table")
-    filesystem, location = fs.FileSystem.from_uri(as_uri(path))
-    filesystem.delete_dir(location)
+    store, place = on_store(path)
+    store.delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

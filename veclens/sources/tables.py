@@ -5,11 +5,10 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import as_uri
+from ..session import exists
 
 LAYOUT = ("shard_id", "chunk_id")
 
@@ -40,8 +39,7 @@ def existing_paths(paths: Sequence[str]) -> list[str]:
     """Paths that exist, with a warning for each that does not."""
     kept = []
     for path in paths:
-        filesystem, location = fs.FileSystem.from_uri(as_uri(path))
-        if filesystem.get_file_info(location).type == fs.FileType.NotFound:
+        if not exists(path):
             warnings.warn(f"{path} does not exist, skipping", stacklevel=2)
         else:
             kept.append(path)
