@@ -12,12 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclens.session import as_uri, stage, staging_path
+from veclens.session import stage, staging_path, task_filesystem
 
 from . import query
 from .chunks import ChunkEncoder
@@ -231,10 +230,6 @@ def encode_rows(column: pa.Array, encoder: ChunkEncoder, end_id: int):
 NONE = -(1 << 63)
 
 
-def location(path: str):
-    return fs.FileSystem.from_uri(as_uri(path))
-
-
 def write_ids(
     docs: DataFrame,
     folder: str,
@@ -262,7 +257,7 @@ def write_ids(
             for start, end, ids, lengths in encode_rows(batch.column(1), encoder, end_id):
                 if writer is None:
                     path = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bin"
-                    store, place = location(path)
+                    store, place = task_filesystem(path)
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(place)
                     writer = PlaneWriter(out, kind)
@@ -287,7 +282,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, place = location(path)
+                store, place = task_filesystem(path)
                 with store.open_input_file(place) as file:
                     reader = PlaneReader(file)
                     sums = np.fromiter((zlib.crc32(ids) for _, ids in reader.documents()), np.int64, len(reader.docs))
