@@ -141,6 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
         "labels",
     )
     while True:
+        # superseded labels are small and stay until the shared folder is cleaned
         heard = (
             both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         )
@@ -247,14 +248,14 @@ def near_duplicates(
         rows.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "classes"
     )
     nodes = rows.join(classes.select(F.col("node").alias("row")), "row")
-    keyed = stage(nodes.select(F.col("row").alias("node"), "n", "id", "th", F.explode("bands").alias("key")), "bands")
+    keyed = stage(nodes.select(F.col("row").alias("node"), F.explode("bands").alias("key")), "bands")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     several = stage(keyed.join(shared, "key"), "several")
     central = several.groupBy("node").agg(F.sum("m").alias("central"))
     pivots = several.join(central, "node").groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"))
     pivots = pivots.select("key", (-F.col("top.minus")).alias("pivot"))
     members = stage(several.join(pivots, "key"), "members")
-    who = members.select("node", "id", "th").distinct()
+    who = rows.select(F.col("row").alias("node"), "id", "th").join(members.select("node").distinct(), "node", "left_semi")
     texts = source.select("id", "th", "text")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -273,12 +274,12 @@ def near_duplicates(
     found = links(first, "stars")
     grouped = components(found)
     placed = members.join(grouped, "node", "left").select(
-        "key", "pivot", "node", "n", "m", F.coalesce("label", "node").alias("label")
+        "key", "pivot", "node", "m", F.coalesce("label", "node").alias("label")
     )
     # members beside the pivot, where they are in different groups
     split = placed.where("node != pivot").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     apart = placed.where("node != pivot").join(split.where("lo != hi").select("key"), "key")
-    maps = rows.select(F.col("row").alias("node"), "bits")
+    maps = rows.select(F.col("row").alias("node"), "n", "bits")
     rest = possible_pairs(apart.join(maps, "node"), percent)
     more = links(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
