@@ -199,11 +199,12 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
     total = pairs.agg(F.sum("c").alias("all"))
     keys = pairs.groupBy("key").agg(F.sum("c").alias("c")).crossJoin(total).where(F.col("c") >= least)
     hot_keys = F.broadcast(stage(keys.select("key", F.lit(True).alias("hot")), "hot-keys"))
-    hot_pairs = F.broadcast(stage(pairs.crossJoin(total).where(F.col("c") >= least).select("key", "sh"), "hot-pairs"))
-    certain = found.join(hot_pairs, ["key", "sh"], "left_semi")  # seen twice in the sample
-    others = found.join(hot_pairs, ["key", "sh"], "left_anti").join(hot_keys, "key", "left").withColumn(
-        "hot", F.coalesce("hot", F.lit(False))
+    hot_pairs = F.broadcast(stage(pairs.crossJoin(total).where(F.col("c") >= least).select("key", "sh", F.lit(True).alias("certain")), "hot-pairs"))
+    marked = found.join(hot_pairs, ["key", "sh"], "left").join(hot_keys, "key", "left").withColumns(
+        {"hot": F.coalesce("hot", F.lit(False)), "certain": F.coalesce("certain", F.lit(False))}
     )
+    certain = marked.where("certain")  # seen twice in the sample
+    others = marked.where("NOT certain")
     dealt = others.withColumn("deal", F.when(F.col("hot"), F.xxhash64("key", "sh")).otherwise(F.col("key"))).repartition("deal")
     same = Window.partitionBy("deal", "key", "sh")
     group = Window.partitionBy("deal", "key")
