@@ -20,7 +20,7 @@ from veclens.session import stage, staging_path, task_filesystem
 
 from . import query
 from .chunks import ChunkEncoder
-from .texts import RUN_BYTES, documents, flat, ranges, runs, white_mask, whole, worker_cache
+from .texts import RUN_BYTES, documents, flat, ranges, runs, small_batches, white_mask, whole, worker_cache
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -273,7 +273,7 @@ def write_ids(
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), whole(text).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return stage(dealt.mapInArrow(write, "part bigint, path string, n_docs bigint, n_ids bigint"), "id-files")
+    return stage(small_batches(dealt).mapInArrow(write, "part bigint, path string, n_docs bigint, n_ids bigint"), "id-files")
 
 
 def read_documents(files: DataFrame) -> DataFrame:

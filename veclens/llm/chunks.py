@@ -23,7 +23,7 @@ class ChunkEncoder:
     across, so that a text's ids are those of its chunks in a row.
     """
 
-    def __init__(self, encode: Encode, limit: int = 250_000):
+    def __init__(self, encode: Encode, limit: int = 100_000):
         self.encode, self.limit = encode, limit
         self.forget()
 

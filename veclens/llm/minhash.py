@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veclens.session import stage
 
 from . import query
-from .texts import RUN_BYTES, documents, flat, mix64, runs, span_hashes, whole, word_bounds
+from .texts import RUN_BYTES, documents, flat, mix64, runs, small_batches, span_hashes, whole, word_bounds
 
 #: Permutations; each gives its minimum and its maximum, so signatures have twice as many values.
 PERMUTATIONS = 64
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     "bits": pa.array([bitmap(s) for s in sets], pa.binary()),
                 })
 
-    return docs.mapInArrow(sketch, "id bigint, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits binary")
+    return small_batches(docs).mapInArrow(sketch, "id bigint, th bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits binary")
 
 
 def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:

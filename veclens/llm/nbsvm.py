@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import query
-from .texts import RUN_BYTES, documents, flat, mix64, runs, seeded, span_hashes, whole, word_bounds
+from .texts import RUN_BYTES, documents, flat, mix64, runs, seeded, small_batches, span_hashes, whole, word_bounds
 
 #: Labelled rows that are fitted on at most; smallest seeded hashes first.
 FIT_ROWS = 16_000
@@ -206,7 +206,7 @@ def score_quality(docs: DataFrame, model: NbSvm, *, id_column: str = "doc_id", t
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), whole(text).alias("text"))
-    return rows.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return small_batches(rows).mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_column)
 
 
 def keep_good(docs: DataFrame, model: NbSvm, threshold: float, *, text: str = "text") -> DataFrame:
@@ -221,7 +221,7 @@ def keep_good(docs: DataFrame, model: NbSvm, threshold: float, *, text: str = "t
                 found = shape_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 yield batch.slice(start, end - start).filter(pa.array(shared.value.scores(found) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def id_fold(folds: int, id_column: str = "doc_id") -> Column:

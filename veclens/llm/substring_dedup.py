@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veclens.session import stage
 
 from . import query
-from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, ranges, runs, span_hashes, whole
+from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, ranges, runs, small_batches, span_hashes, whole
 
 #: Bytes of the anchors that bring equal strings together; at most the length that is looked for.
 ANCHOR = 32
@@ -189,7 +189,7 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
                     "sn": (hashes[row + first] << 39) | (start << 8) | n,
                 })
 
-    found = stage(source.mapInArrow(cut, "key bigint, sh bigint, id bigint, sn bigint"), "segments")
+    found = stage(small_batches(source).mapInArrow(cut, "key bigint, sh bigint, id bigint, sn bigint"), "segments")
     # what is frequent in a sample is dealt by content as well, or known to repeat;
     # at most 1 / HOT_SHARE keys and pairs pass, so both tables can be broadcast
     sample = found.where(F.pmod(F.xxhash64("id", "sn"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000))

@@ -6,7 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of all contracts, space and tab to carriage return.
@@ -36,6 +36,18 @@ def seeded(id_column: str, seed: int | str) -> Column:
 RUN_BYTES = 2 << 20
 
 
+#: Rows that go to a Python worker at once at most; texts are long, so Spark's default is much.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by ``BATCH_ROWS``, for operators whose tasks take texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -16,7 +16,7 @@ from veclens.session import stage
 
 from . import query
 from .nbsvm import id_fold
-from .texts import documents, seeded, whole
+from .texts import documents, seeded, small_batches, whole
 
 #: Labelled rows of each class that the lexicon is learned from at most; smallest seeded hashes first.
 FIT_TOXIC, FIT_CLEAN = 4_000, 6_000
@@ -256,7 +256,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, id_column: str = "doc_i
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), whole(text).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return small_batches(rows).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
 
 
 @query("op5_toxicity")
