@@ -140,3 +140,57 @@ def test_segments_hold_every_string_once():
     row, start, n, _, _ = substring_dedup.segments(data, offsets, 200)
     held = sorted((r, s + k) for r, s, m in zip(row, start, n, strict=True) for k in range(m))
     assert held == [(r, i) for r, text in enumerate(texts) for i in range(len(text) - 199)]
+
+
+def twice_by_segments(data, offsets, length):
+    """Which strings occur again, as keys and contents tell: brute force over the segments of each key."""
+    row, start, n, keys, _ = substring_dedup.segments(data, offsets, length)
+    assert n.max() <= 255
+    raw, at = data.tobytes(), offsets[:-1][row] + start
+    return sorted(
+        (int(r), int(s) + k)
+        for key in set(keys.tolist())
+        for own in [np.flatnonzero(keys == key)]
+        for seen in [Counter(raw[at[i] + k : at[i] + k + length] for i in own for k in range(n[i]))]
+        for i in own
+        for r, s in [(row[i], start[i])]
+        for k in range(n[i])
+        if seen[raw[at[i] + k : at[i] + k + length]] > 1
+    )
+
+
+@pytest.mark.parametrize("length", [200, 600])
+def test_equal_strings_share_a_key_in_texts_longer_than_the_index(monkeypatch, length):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "INDEX_BITS", 9)
+    shared = brute.long_text(5, 300)
+    texts = [brute.long_text(1, 700) + shared + brute.long_text(2, 500), "é" + shared + brute.long_text(3, 900) + shared]
+    data, offsets = flat(pa.array(texts))
+    raw = [text.encode() for text in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    expected = [(r, i) for r, b in enumerate(raw) for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1]
+    assert len(expected) > 1000
+    assert twice_by_segments(data, offsets, length) == expected
+
+
+def test_a_repeat_behind_sixteen_mebibytes_is_found():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 123, 400, dtype=np.uint8)
+    data = np.concatenate([rng.integers(97, 123, (1 << 24) + 5000, dtype=np.uint8), shared, shared[::-1], shared])
+    _, start, n, keys, _ = substring_dedup.segments(data, np.array([0, len(data)]), 200)
+    tail = len(data) - 1200
+
+    def key_of(at):
+        return keys[np.flatnonzero(start <= at)[-1]]
+
+    assert n.sum() == len(data) - 199
+    assert all(key_of(tail + k) == key_of(tail + 800 + k) for k in range(201))
+
+
+def test_long_strings_are_removed(spark):
+    shared = brute.long_text(8, 200)
+    rows = [(0, brute.long_text(6, 300) + shared), (1, shared + brute.long_text(7, 300)), (2, "ab" * 900), (3, brute.long_text(9, 500))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.drop_repeats(frame, length=700).collect()
+    assert ordered(tuple(row) for row in got) == ordered(repeats_by_hand(rows, 700))

@@ -24,6 +24,10 @@ MANY = 20_000
 #: A key is spread over tasks if a sample of this share of all segments has it in this share of its rows.
 SAMPLE, HOT_SHARE, HOT_LEAST = 0.01, 0.0005, 50
 SYMBOLS = 7  # of 9 bits, in the first sort key
+#: Low bits of an anchor's hash that hold its index in a stretch of the text; stretches are no longer than that.
+INDEX_BITS = 24
+#: Strings of one segment at most, 8 bits of a place; longer stretches are several segments with the same key.
+MOST = 255
 
 
 # ---- segments: strings of one length that share their anchor, as one stretch of text
@@ -33,8 +37,22 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     """Stretches of strings of ``length`` bytes with the same anchor: row, start, strings, key and content hash.
 
     A string's anchor is the leftmost of its ``ANCHOR``-byte strings with the
-    smallest hash, so equal strings have equal keys wherever they stand.
+    smallest hash, so equal strings have equal keys wherever they stand. Long
+    data is taken piece by piece, each with the first ``length - 1`` bytes of the
+    next: a segment that reaches across becomes two with one key.
     """
+    bits = max(INDEX_BITS, (2 * length).bit_length())  # the same for all texts, as it decides which hash is smallest
+    step = min(1 << bits, max(RUN_BYTES, 2 * length)) - length + 1
+    n = len(data) - length + 1
+    parts = [
+        _piece_segments(data[first : first + step + length - 1], first, offsets, length, bits)
+        for first in range(0, max(n, 1), step)
+    ]
+    return tuple(np.concatenate(part) for part in zip(*parts, strict=True))
+
+
+def _piece_segments(data: np.ndarray, first: int, offsets: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Segments of the strings that start in ``data``, which begins at byte ``first`` of the rows."""
     empty = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
@@ -44,24 +62,32 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         rolled = rolled[:-width] * np.uint64(step) + rolled[width:]
         step, width = step * step % (1 << 64), 2 * width
     rolled = mix64(rolled)
-    bits = np.uint64((1 << 24) - 1)
-    least = (rolled & ~bits) | np.arange(len(rolled), dtype=np.uint64)
+    low = np.uint64((1 << bits) - 1)
+    least = (rolled & ~low) | np.arange(len(rolled), dtype=np.uint64)
     span, have = length - ANCHOR + 1, 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     if span > have:
         least = np.minimum(least[: have - span], least[span - have :])
-    anchor = (least & bits).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    inside = np.arange(n) + length <= offsets[1:][row]
+    anchor = (least & low).astype(np.int64)
+    row = np.searchsorted(offsets, first, side="right") - 1
+    last = np.searchsorted(offsets, first + n, side="left")
+    edges = np.clip(offsets[row : last + 1] - first, 0, n)
+    row = np.repeat(np.arange(row, last), np.diff(edges))
+    inside = np.arange(first, first + n) + length <= offsets[1:][row]
     fresh = inside.copy()
     fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])
     starts = np.flatnonzero(fresh)
     ends = np.flatnonzero(inside & ~np.append(inside[1:] & ~fresh[1:], False)) + 1
+    if length - ANCHOR >= MOST:
+        cuts = -(-(ends - starts) // MOST)
+        owner = np.repeat(np.arange(len(starts)), cuts)
+        starts = starts[owner] + MOST * ranges(np.zeros(len(cuts), np.int64), cuts)
+        ends = np.minimum(starts + MOST, ends[owner])
     keys = rolled[anchor[starts]]
     content = span_hashes(data, starts, ends + length - 1)
-    return row[starts], starts - offsets[:-1][row[starts]], ends - starts, keys, content
+    return row[starts], starts + first - offsets[:-1][row[starts]], ends - starts, keys, content
 
 
 # ---- suffix arrays of segments
@@ -324,7 +350,8 @@ def drop_repeats(
     Segments move as two hashes and a place. Those with equal contents repeat as
     a whole; where contents under one key differ, one of each is fetched and a
     suffix array of a bounded block finds the strings they share, by backward
-    extension up to ``length``. Keys with very many contents are counted string
+    extension up to ``length``. A text of any length is cut into segments
+    ``RUN_BYTES`` at a time. Keys with very many contents are counted string
     by string by Spark instead, which is exact too, and keys that a sample shows
     to be hot are dealt by content, so no task gathers them.
     """
