@@ -119,6 +119,62 @@ def test_encode_documents_on_awkward_rows(spark, table):
     assert pieces.encode_documents(brute.empty(spark), MODEL).count() == 0
 
 
+def likelihood_by_hand(text: str, table) -> tuple[float, dict]:
+    """Log likelihood of a text and expected counts of its pieces, over a list of all segmentations."""
+
+    def ways(at):
+        if at == len(text):
+            yield []
+        for end in range(at + 1, len(text) + 1):
+            if text[at:end] in table:
+                yield from ([text[at:end], *rest] for rest in ways(end))
+
+    scored = [(way, np.exp(sum(table[one][1] for one in way))) for way in ways(0)]
+    total = sum(p for _, p in scored)
+    counts = {}
+    for way, p in scored:
+        for one in way:
+            counts[table[one][0]] = counts.get(table[one][0], 0) + p / total
+    return np.log(total), counts
+
+
+def test_expected_counts_equal_all_segmentations(model, table):
+    rng = np.random.default_rng(2)
+    scores = np.log(rng.dirichlet(np.ones(len(model.score))))
+    known = {piece: (i, scores[i]) for piece, (i, _) in table.items()}
+    words = [" the", " talking", "a", " repeated", " the"]
+    counts, likelihood = model.with_scores(scores).expected_counts([w.encode() for w in words], np.array([3, 1, 2, 1, 1]))
+    expected = np.zeros(len(scores))
+    total = 0.0
+    for word, times in zip(words, [3, 1, 2, 1, 1], strict=True):
+        one, by_id = likelihood_by_hand(word, known)
+        total += times * one
+        for i, share in by_id.items():
+            expected[i] += times * share
+    assert np.allclose(counts / pieces.SHARE, expected, atol=1e-4) and np.isclose(likelihood, total)
+
+
+def test_query_uses_log_scores_of_its_texts(spark, sf_dir, model, table):
+    import veclens.llm as llm
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").limit(60).cache()
+    chunks = [(bytes(row.chunk), row.n) for row in pieces.chunk_counts(docs, model).collect()]
+    words, times = [c for c, _ in chunks], np.array([n for _, n in chunks])
+    reached = []
+    for rounds in range(1, 4):
+        scores = pieces.unigram_scores(docs, MODEL, rounds=rounds)
+        assert np.isclose(np.exp(scores[model.usable()]).sum(), 1)
+        reached.append(model.with_scores(scores).expected_counts(words, times)[1])
+    assert reached[0] < reached[1] < reached[2]
+    rows = docs.select("doc_id", "text").collect()
+    fitted = {piece: (i, scores[i]) for piece, (i, _) in table.items()}
+    pieces.encode_documents(docs, MODEL).count()  # workers must not remember its ids
+    got = {row.doc_id: row.ids for row in pieces.encode_documents(docs, MODEL, scores=scores).collect()}
+    assert got == {row.doc_id: encode_by_hand(row.text or "", fitted) for row in rows}
+    ranks = sum(row.n_tokens for row in pieces.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL).collect())
+    assert sum(row.n_tokens for row in llm.QUERIES["op3_pieces"](spark, sf_dir).collect()) < ranks
+
+
 # ---- id files
 
 
