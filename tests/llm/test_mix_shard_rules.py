@@ -1,5 +1,6 @@
 """Mixing, sharding and line rules against plain versions, on awkward rows and on the tables."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -98,6 +99,25 @@ def test_shards_hold_the_mixture(spark, sf_dir):
     assert sizes.max() - sizes.min() <= 1
 
 
+def test_rows_of_small_sources_are_spread_and_keep_their_order(spark):
+    # 4,000 sources of one row share the rank 1/2; those of three rows have it too, and ranks beside it
+    rows = [(i, "t", f"one{i}") for i in range(4000)] + [(5000 + i, "t", f"three{i // 3}") for i in range(600)]
+    rows += [(10_000 + i, "t", "many") for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    size = Counter(source for _, _, source in rows)
+    key = {i: hashlib.md5(f"42:{i}".encode()).hexdigest() for i, _, _ in rows}
+    seen, ranked = Counter(), []
+    for i, _, source in sorted(rows, key=lambda row: key[row[0]]):
+        seen[source] += 1
+        ranked.append(((2 * seen[source] - 1) / (2 * size[source]), key[i], i))
+    order = [i for _, _, i in sorted(ranked)]
+    got = sharding.interleaved_shards(frame, 4).orderBy("shard", "slot").collect()
+    assert [row.doc_id for row in got] == order
+    ranks = spark.createDataFrame(ranked, "share double, key string, id bigint")
+    largest = sharding.with_cell(ranks).groupBy("cell").count().agg({"count": "max"}).first()[0]
+    assert largest < 300  # 200 sources of three share 1/6, too few to be cut; 4,200 rows have 1/2
+
+
 def rules_by_hand(rows, max_docs):
     def lines(text):
         return [line for line in (text or "").split("\n") if brute.WORD.search(line)]

@@ -12,6 +12,31 @@ from . import query
 from .texts import documents, seeded, whole
 
 BUCKETS = 4096
+#: A fractional rank in more than this part of all rows, and this number, is spread over buckets of its own by key.
+HEAVY_PART, HEAVY_LEAST, HEAVY_DIGITS = 512, 1000, 2
+
+
+def with_cell(ranks: DataFrame) -> DataFrame:
+    """Adds ``cell``, a bucket that grows with share and key.
+
+    Sources with one row all have the share 1/2. Such a share is cut by a prefix
+    of the key; what follows it in its 4,096th is a bucket behind them. At most
+    ``HEAVY_PART`` shares are heavy, so their table is broadcast.
+    """
+    counts = ranks.groupBy("share").count().where(F.col("count") > HEAVY_LEAST)
+    rows = ranks.agg(F.count(F.lit(1)).alias("rows"))
+    step = F.floor(F.col("share") * BUCKETS)
+    heavy = counts.crossJoin(F.broadcast(rows)).where(F.col("count") * HEAVY_PART > F.col("rows"))
+    heavy = heavy.groupBy(step.alias("step")).agg(F.collect_list("share").alias("heavy"))
+    last = F.array_max(F.filter("heavy", lambda x: x <= F.col("share")))
+    part = F.when(F.col("share") > F.col("last"), "~").otherwise(F.substring("key", 1, HEAVY_DIGITS))
+    return (
+        ranks.withColumn("step", step)
+        .join(F.broadcast(heavy), "step", "left")
+        .withColumn("last", last)
+        .withColumn("cell", F.struct("step", F.coalesce("last", F.lit(-1.0)).alias("last"), F.when(F.col("last").isNull(), "").otherwise(part).alias("part")))
+        .drop("step", "heavy", "last")
+    )
 
 
 def interleaved_shards(
@@ -36,7 +61,8 @@ def interleaved_shards(
     gives no rows; columns other than the three named are not read.
 
     Ranks come from sums over buckets (of the shuffle key, then of the rank),
-    so a source with a third of all rows is spread over all tasks.
+    so a source with a third of all rows is spread over all tasks, and so are
+    rows of many small sources that have one rank.
     """
     rows = stage(
         docs.select(
@@ -60,7 +86,7 @@ def interleaved_shards(
     share = (2 * F.col("rank") - 1).cast("double") / (2 * F.col("of")).cast("double")
     narrow = stage(ranked.select("id", "size", "text_crc32", "key", share.alias("share")), "shard-ranks")
     placed = running(
-        narrow.withColumn("cell", F.floor(F.col("share") * BUCKETS)),
+        with_cell(narrow),
         bucket="cell",
         order=("share", "key", "id", "size", "text_crc32"),
         sums={"place": one},
