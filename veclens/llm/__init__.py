@@ -36,6 +36,7 @@ from . import (  # noqa: E402, F401 - registers the queries
     mixing,
     nbsvm,
     pieces,
+    repair,
     sharding,
     substring_dedup,
     toxicity,
