@@ -32,12 +32,14 @@ from . import (  # noqa: E402, F401 - registers the queries
     bitplane,
     exact_dedup,
     line_rules,
+    lm_scoring,
     minhash,
     mixing,
     nbsvm,
     pieces,
     repair,
     sharding,
+    spelling,
     substring_dedup,
     toxicity,
 )

@@ -81,21 +81,37 @@ def white_mask(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and each row's first word number."""
-    solid = np.zeros(len(data) + 1, bool)
-    solid[:-1] = ~white_mask(data)
-    starts = solid[:-1].copy()
-    starts[1:] &= ~solid[:-2]
-    first = offsets[:-1][offsets[:-1] < len(data)]
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes, which end with their row, and each row's first run."""
+    n = len(solid)
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    first = offsets[:-1][offsets[:-1] < n]
     starts[first] = solid[first]
-    ends = solid[:-1] & ~solid[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = solid[last]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and each row's first word number."""
+    return spans(~white_mask(data), offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A copy with A to Z in lower case."""
+    return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+
+
+def packed(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of bytes that lie one after the other."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions ``start .. start + length - 1`` of all segments, one after the other."""
     total = int(lengths.sum())
