@@ -63,7 +63,7 @@ def test_gradients():
     shape = (6, 5)
     inputs, targets = (rng.integers(0, gru.HEAD + gru.TAIL_CLASSES, shape) for _ in range(2))
     targets[:3] = rng.integers(0, 200, (3, 5))
-    fresh, valid, h = rng.random(shape) < 0.2, rng.random(shape) < 0.9, rng.standard_normal((5, gru.HIDDEN))
+    fresh, valid, h = rng.random(shape) < 0.2, rng.random(shape) < 0.9, rng.standard_normal((gru.HIDDEN, 5))
     grad, _, _ = gru.gradients(model, inputs, targets, fresh, valid, h)
     for name, value in model.items():
         places = np.argwhere(np.abs(grad[name]) > 1e-4)

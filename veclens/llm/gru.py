@@ -44,37 +44,72 @@ def class_of(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < HEAD, tokens // CLASS_WORDS, tokens - HEAD + HEAD_CLASSES)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def states(model: Params, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States after each step of ``tokens`` (steps x lanes), from ``h``; a fresh lane begins with zeros.
+    """States (steps x size x lanes) after each of ``tokens`` (steps x lanes), from ``h``; a fresh lane begins with zeros.
 
     With ``keep`` also what the backward pass needs.
     """
-    n = HIDDEN
-    given = model["input"][tokens]
-    out = np.empty((*tokens.shape, n), h.dtype)
-    kept = []
+    n, (steps, lanes) = HIDDEN, tokens.shape
+    given = np.ascontiguousarray(model["input"][tokens].transpose(0, 2, 1))
+    weights = np.ascontiguousarray(model["state"].T)
+    out = np.empty((steps, n, lanes), h.dtype)
+    before, own, new = (np.empty((steps, rows, lanes), h.dtype) for rows in (n, 3 * n, n))
     any_fresh = fresh.any(axis=1)
-    for t in range(len(tokens)):
+    for t in range(steps):
+        b, o, x, g = before[t], own[t], new[t], given[t]
+        b[:] = h
         if any_fresh[t]:
-            h = np.where(fresh[t][:, None], h.dtype.type(0), h)
-        own = h @ model["state"]
-        gates = sigmoid(given[t, :, : 2 * n] + own[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(given[t, :, 2 * n :] + r * own[:, 2 * n :])
-        after = new + z * (h - new)
-        if keep:
-            kept.append((h, gates, own[:, 2 * n :], new))
-        out[t] = h = after
-    return (out, h, kept) if keep else (out, h)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+            b[:, fresh[t]] = 0
+        np.matmul(weights, b, out=o)
+        gates = g[: 2 * n]
+        gates += o[: 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(gates[n:], o[2 * n :], out=x)
+        x += g[2 * n :]
+        np.tanh(x, out=x)
+        h = out[t]
+        np.subtract(b, x, out=h)
+        h *= gates[:n]
+        h += x
+    return (out, h, (before, given[:, : 2 * n], own[:, 2 * n :], new)) if keep else (out, h)
+
+
+#: Tokens whose logits are held at once.
+COLUMNS = 1024
+
+
+def logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Logits less their largest, a column for each row of ``h``."""
+    x = weights.T @ h.T
+    x += bias[:, None]
+    x -= x.max(axis=0)
+    return x
+
+
+def outputs(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, wanted: np.ndarray, into: tuple | None = None) -> np.ndarray:
+    """Log probability of each row's wanted output.
+
+    ``into`` has arrays that gradients are added to: of weights, bias and ``h``.
+    """
+    logs = np.empty(len(wanted))
+    for begin in range(0, len(wanted), COLUMNS):
+        part = h[begin : begin + COLUMNS]
+        x, want = logits(weights, bias, part), wanted[begin : begin + COLUMNS]
+        at = (want, np.arange(len(want)))
+        own = x[at]
+        np.exp(x, out=x)
+        total = x.sum(axis=0)
+        logs[begin : begin + COLUMNS] = own - np.log(total)
+        if into is not None:
+            x /= total
+            x[at] -= 1
+            into[0][:] += (x @ part).T
+            into[1][:] += x.sum(axis=1)
+            into[2][begin : begin + COLUMNS] += x.T @ weights.T
+    return logs
 
 
 def by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,66 +123,72 @@ def by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[begin:end]
 
 
+def own_words(c: int) -> slice:
+    return slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+
+
 def token_logs(model: Params, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log probabilities of tokens after states: their class, and for head words the word in its class."""
-    out = log_softmax(h @ model["classes"] + model["class_bias"])[np.arange(len(tokens)), class_of(tokens)].astype(float)
+    out = outputs(model["classes"], model["class_bias"], h, class_of(tokens))
     for c, at in by_class(tokens):
-        own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        logs = log_softmax(h[at] @ model["words"][:, own] + model["word_bias"][own])
-        out[at] += logs[np.arange(len(at)), tokens[at] - c * CLASS_WORDS]
+        own = own_words(c)
+        out[at] += outputs(model["words"][:, own], model["word_bias"][own], h[at], tokens[at] - own.start)
     return out
 
 
 def gradients(model: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray):
     """Summed gradients of the window's negative log probability, the state after it, and the loss."""
-    n = HIDDEN
-    out, last, kept = states(model, inputs, fresh, h, keep=True)
+    n, (steps, lanes) = HIDDEN, inputs.shape
+    out, last, (before, gates, own, new) = states(model, inputs, fresh, h, keep=True)
+    rows = np.ascontiguousarray(out.transpose(0, 2, 1)).reshape(-1, n)
     at = np.flatnonzero(valid)
-    flat, want = out.reshape(-1, n)[at], targets.reshape(-1)[at]
+    whole = len(at) == len(rows)
+    flat, want = rows if whole else rows[at], targets.reshape(-1)[at]
     grad = {name: np.zeros_like(value) for name, value in model.items()}
-    logs = log_softmax(flat @ model["classes"] + model["class_bias"])
-    rows, classes = np.arange(len(at)), class_of(want)
-    loss = -float(logs[rows, classes].sum(dtype=np.float64))
-    d = np.exp(logs)
-    d[rows, classes] -= 1
-    grad["classes"], grad["class_bias"] = flat.T @ d, d.sum(axis=0)
-    dflat = d @ model["classes"].T
-    for c, own_at in by_class(want):
-        own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        words = model["words"][:, own]
-        logs = log_softmax(flat[own_at] @ words + model["word_bias"][own])
-        inside = (np.arange(len(own_at)), want[own_at] - c * CLASS_WORDS)
-        loss -= float(logs[inside].sum(dtype=np.float64))
-        d = np.exp(logs)
-        d[inside] -= 1
-        grad["words"][:, own], grad["word_bias"][own] = flat[own_at].T @ d, d.sum(axis=0)
-        dflat[own_at] += d @ words.T
-    dout = np.zeros((out.shape[0] * out.shape[1], n), h.dtype)
-    dout[at] = dflat
-    dout = dout.reshape(out.shape)
-    dgiven = np.empty((*inputs.shape, 3 * n), h.dtype)
-    down = np.empty_like(dgiven)
-    dh = np.zeros_like(h)
-    back = np.ascontiguousarray(model["state"].T)
-    for t in range(len(inputs) - 1, -1, -1):
-        before, gates, own, new = kept[t]
-        z, r = gates[:, :n], gates[:, n:]
-        dh = dh + dout[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dgiven[t, :, :n] = dh * (before - new) * z * (1 - z)
-        dgiven[t, :, n : 2 * n] = dnew * own * r * (1 - r)
-        dgiven[t, :, 2 * n :] = dnew
-        down[t, :, : 2 * n] = dgiven[t, :, : 2 * n]
-        down[t, :, 2 * n :] = dnew * r
-        dh = dh * z + down[t] @ back
+    dflat = np.zeros_like(flat)
+    loss = -outputs(model["classes"], model["class_bias"], flat, class_of(want), (grad["classes"], grad["class_bias"], dflat)).sum()
+    for c, those in by_class(want):
+        words = own_words(c)
+        d = np.zeros((len(those), n), h.dtype)
+        into = (grad["words"][:, words], grad["word_bias"][words], d)
+        loss -= outputs(model["words"][:, words], model["word_bias"][words], flat[those], want[those] - words.start, into).sum()
+        dflat[those] += d
+    if not whole:
+        rows[:] = 0
+        rows[at] = dflat
+        dflat = rows
+    dout = np.ascontiguousarray(dflat.reshape(steps, lanes, n).transpose(0, 2, 1))
+    dgiven, down = (np.empty((steps, 3 * n, lanes), h.dtype) for _ in range(2))
+    dh = np.zeros((n, lanes), h.dtype)
+    for t in range(steps - 1, -1, -1):
+        z, r = gates[t, :n], gates[t, n:]
+        dh += dout[t]
+        dz, dr, dx = dgiven[t, :n], dgiven[t, n : 2 * n], dgiven[t, 2 * n :]
+        np.subtract(before[t], new[t], out=dz)
+        dz *= dh
+        keep = dh * z
+        dx[:] = dh
+        dx -= keep
+        dz *= z
+        dz *= 1 - z
+        dx *= 1 - new[t] * new[t]
+        np.multiply(dx, own[t], out=dr)
+        dr *= r
+        dr *= 1 - r
+        down[t, : 2 * n] = dgiven[t, : 2 * n]
+        np.multiply(dx, r, out=down[t, 2 * n :])
+        dh = model["state"] @ down[t]
+        dh += keep
         if fresh[t].any():
-            dh[fresh[t]] = 0
-    grad["state"] = np.concatenate([k[0] for k in kept]).T @ down.reshape(-1, 3 * n)
+            dh[:, fresh[t]] = 0
+    for t in range(steps):
+        grad["state"] += before[t] @ down[t].T
     flat_in = inputs.reshape(-1)
-    order = np.argsort(flat_in, kind="stable")
+    order = np.argsort(flat_in.astype(np.uint16), kind="stable")
     begins = np.flatnonzero(np.diff(flat_in[order], prepend=-1))
-    grad["input"][flat_in[order[begins]]] = np.add.reduceat(dgiven.reshape(-1, 3 * n)[order], begins, axis=0)
-    return grad, last, loss
+    by_token = dgiven.transpose(0, 2, 1).reshape(-1, 3 * n)
+    grad["input"][flat_in[order[begins]]] = np.add.reduceat(by_token[order], begins, axis=0)
+    return grad, last, float(loss)
 
 
 class Trainer:
@@ -172,7 +213,7 @@ class Trainer:
         fresh = np.pad(fresh, (0, pad)).reshape(lanes, length).T
         valid = (np.arange(lanes * length) < len(ids)).reshape(lanes, length).T
         inputs = np.where(fresh, END, before)
-        h = np.zeros((lanes, HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, lanes), np.float32)
         for t in range(0, length, WINDOW):
             part = slice(t, t + WINDOW)
             if not valid[part].any():
@@ -222,16 +263,16 @@ def document_logs(model: Params, ids: np.ndarray, offsets: np.ndarray, lanes: in
     fresh[begin] = True
     logs = np.zeros(len(stream))
     inputs = np.where(fresh, END, np.concatenate([[END], stream[:-1]])).astype(np.int32)
-    h = np.zeros((len(loads), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(loads)), np.float32)
     t, longest = 0, int(loads[0])
     while t < longest:
         n = int(np.searchsorted(-loads, -t, side="left"))
         steps = min(max(WINDOW, 16_384 // n), 512, longest - t)
         at = np.minimum(lane_begin[:n] + t + np.arange(steps)[:, None], len(stream) - 1)
         valid = (t + np.arange(steps)[:, None]) < loads[:n]
-        found, h = states(model, inputs[at], fresh[at], h[:n])
+        found, h = states(model, inputs[at], fresh[at], h[:, :n])
         good = at[valid]
-        logs[good] = token_logs(model, found[valid], stream[good])
+        logs[good] = token_logs(model, found.transpose(0, 2, 1)[valid], stream[good])
         t += steps
     out[listed] = np.add.reduceat(logs, begin)
     return out
