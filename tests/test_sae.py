@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions import vectors
+from veclens.operators import copies
 from veclens.operators.interpret import top_tokens
-from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, normalize_decoder
+from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, TopCells, normalize_decoder
 from veclens.plans.train import Adam, Sae, batch_gradients, next_mean, write_report
 
 D, S, N = 6, 20, 90
@@ -178,6 +179,78 @@ def test_a_model_kept_as_a_table_gives_the_same_results(spark, data, tmp_path):
     np.testing.assert_array_equal(again.w_dec, params.w_dec)
 
 
+def test_a_table_is_read_once_by_all_workers(spark, data, tmp_path):
+    """Many tasks in several workers map one copy; the decoder is a second read, a changed table a new copy."""
+    import pyarrow as pa
+
+    rows, _ = data
+    params = replace(some_params(), **{k: v.astype(np.float32) for k, v in some_params().arrays().items()})
+    SaeModel(params).save(str(tmp_path / "model"))
+    assert dict(spark.read.parquet(str(tmp_path / "model" / "weights")).dtypes)["w_enc"] == "array<float>"
+
+    def shares(path):
+        table = SaeModel.load(path, spark, driver_limit=0).parameters
+        return table.share(spark, None, False, 0), table.share(spark, None, True, 0)
+
+    def seen(load):
+        def run(batches):
+            for batch in batches:
+                w = load()
+                sums = float(w["w_enc"].sum()) + float(w.get("w_dec", np.zeros(1)).sum())
+                yield pa.RecordBatch.from_pydict({"s": [sums], "kind": [str(w["w_enc"].dtype)], "mapped": [isinstance(w["w_enc"], np.memmap)]})
+        return spark.range(0, 64, 1, 16).mapInArrow(run, "s double, kind string, mapped boolean").distinct().collect()
+
+    encoder, both = shares(str(tmp_path / "model"))
+    found = seen(encoder)
+    assert encoder.reads.value == 1
+    assert [tuple(r) for r in found] == [(float(params.w_enc.sum()), "float32", True)]
+    seen(both)
+    seen(both)
+    assert both.reads.value == 1
+    SaeModel(replace(params, w_enc=params.w_enc + 1)).save(str(tmp_path / "model"))
+    again, _ = shares(str(tmp_path / "model"))
+    assert seen(again)[0].s == pytest.approx(float((params.w_enc + 1).sum()), rel=1e-5)
+
+
+def test_old_copies_go(tmp_path):
+    def one(arrays):
+        arrays["a"][:] = 1
+
+    held = copies.mapped("0", {"a": (4,)}, np.float32, one, tmp_path)
+    for i in range(1, 6):
+        copies.mapped(str(i), {"a": (4,)}, np.float32, one, tmp_path)
+    assert len(list(tmp_path.glob("copy-*"))) <= copies.KEPT_COPIES + 2
+    assert held["a"].tolist() == [1] * 4  # what is mapped stays
+
+    def broken(arrays):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        copies.mapped("9", {"a": (4,)}, np.float32, broken, tmp_path)
+    assert copies.mapped("9", {"a": (4,)}, np.float32, one, tmp_path)["a"].tolist() == [1] * 4
+
+
+def test_a_task_sends_k_cells_per_feature(spark, monkeypatch):
+    """However many batches a task has; ties and merges change nothing."""
+    monkeypatch.setattr("veclens.operators.sae.ROWS_PER_STEP", 7)
+    x = np.round(np.random.default_rng(8).normal(size=(500, D)), 1)[np.random.default_rng(1).integers(0, 90, 500)]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "token_idx BIGINT, activation ARRAY<DOUBLE>").coalesce(1)
+    params, k = some_params("none", False), 4
+    model = SaeModel(params)
+    sent = model.top_cells(rows, "token_idx", k)
+    assert sent.groupBy("feature_id").count().agg(F.max("count")).first()[0] == k
+    acts, _ = forward(params, x)
+    exact = {(r["feature_id"], r["token_idx"]): r["act"] for r in model.cells(rows, ["token_idx"]).collect()}
+    for f in range(S):
+        expected = sorted((-v, i) for (g, i), v in exact.items() if g == f)[:k]
+        got = sorted((-r["act"], r["token_idx"]) for r in sent.where(F.col("feature_id") == f).collect()) if f % 5 == 0 else expected
+        assert [v for v, _ in got] == pytest.approx([v for v, _ in expected])
+    buffer = TopCells(1, 2)
+    buffer.take(np.zeros(4, int), np.array([1.0, 2.0, 2.0, 2.0]), np.array([0, 9, 3, 5]))
+    buffer.merge()
+    assert (buffer.index.tolist(), buffer.bar.tolist()) == ([3, 5], [2.0])
+
+
 def loss(params, x, l1):
     acts, rebuilt = forward(params, x)
     return ((rebuilt - x) ** 2).mean() + l1 * acts.mean()

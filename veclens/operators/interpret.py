@@ -68,8 +68,8 @@ def top_tokens(
     """
     order = (F.desc("act"), F.asc(index))
     if feature_id is None:
-        cells = model.cells(df, [index], top=k)
-        return top_k_per_group(cells, ["feature_id"], order, k)
+        # a task sends k rows per feature at most, however many vectors it has
+        return top_k_per_group(model.top_cells(df, index, k), ["feature_id"], order, k)
     cells = model.cells(df, [index], feature_ids=[feature_id], top=k)
     if pad:
         encoded = model.encode(df, [index], feature_ids=[feature_id])

@@ -4,12 +4,13 @@ Vectors stay in the Spark partitions that hold them and meet the weights in
 Arrow batches; only active features leave a task. Weights are bounded by the
 model and do not grow with the data. Models in driver memory (``SaeParams``)
 are broadcast up to a size and shipped as mapped files beyond it; models too
-large for the driver stay tables in shared storage (``SaeTable``) that tasks
-read themselves.
+large for the driver stay tables in shared storage (``SaeTable``), of which
+every executor makes one copy that its tasks map into memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import uuid
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import LAYER_NORM_EPS, NORM_FLOOR, unit
-from ..session import as_uri, staging_path, task_filesystem
+from ..session import as_uri, fingerprint, staging_path, task_filesystem
+from .copies import mapped
 
 NORMALIZATIONS = ("none", "expected_average_only_in", "layer_norm")
 BROADCAST_LIMIT_BYTES = 256 << 20
@@ -74,6 +76,11 @@ class SaeParams:
     def dtype(self):
         return self.w_enc.dtype
 
+    @property
+    def stored(self):
+        """The type of weights in a saved table: float32 stays float32."""
+        return np.float32 if self.dtype == np.float32 else np.float64
+
     def arrays(self) -> dict[str, np.ndarray]:
         return {
             "w_enc": self.w_enc, "b_enc": self.b_enc, "w_dec": self.w_dec, "b_dec": self.b_dec,
@@ -97,9 +104,9 @@ class SaeParams:
             stop = min(start + width, self.d_sae)
             yield spark.createDataFrame(pa.table({
                 "feature_id": pa.array(np.arange(start, stop, dtype=np.int32)),
-                "w_enc": to_vectors(self.w_enc[start:stop]),
-                "b_enc": pa.array(self.b_enc[start:stop].astype(np.float64)),
-                "w_dec": to_vectors(self.w_dec[start:stop]),
+                "w_enc": to_vectors(self.w_enc[start:stop], self.stored),
+                "b_enc": pa.array(self.b_enc[start:stop].astype(self.stored)),
+                "w_dec": to_vectors(self.w_dec[start:stop], self.stored),
             })).coalesce(1)
 
 
@@ -107,8 +114,8 @@ class SaeParams:
 class SaeTable:
     """Parameters whose feature rows stay a Parquet table at ``path``.
 
-    Only vectors as wide as the model pass through the driver. Tasks read the
-    columns and features they need from shared storage.
+    Only vectors as wide as the model pass through the driver. Each executor
+    makes one copy of the columns and features it needs, which its tasks map.
     """
 
     path: str
@@ -123,27 +130,41 @@ class SaeTable:
     metadata: dict = field(default_factory=dict)
 
     def share(self, spark: SparkSession, feature_ids: Sequence[int] | None, decoder: bool, limit: int):
+        """A function that returns the weights inside a task, mapped from the executor's copy.
+
+        The table is read once per executor, whatever its number of tasks and
+        workers, and once more for the decoder if a later job needs it. The
+        function's ``reads`` counts these reads.
+        """
         location, d_sae, d_model, dtype = as_uri(self.path), self.d_sae, self.d_model, self.dtype
         common = {"b_dec": self.b_dec.astype(dtype), "activation_mean": self.activation_mean.astype(dtype)}
-        ids = None if feature_ids is None else np.asarray(feature_ids, dtype=np.int64)
-        names = ["w_enc", "w_dec"] if decoder else ["w_enc"]
-
-        def load():
+        found = np.arange(d_sae) if feature_ids is None else np.asarray(feature_ids, dtype=np.int64)
+        subset = None if feature_ids is None else found
+        key = fingerprint(self.path) + ("" if subset is None else "-" + hashlib.md5(found.tobytes()).hexdigest())
+        shapes = {"w_enc": (len(found), d_model), "b_enc": (len(found),)}
+        if decoder:
+            shapes["w_dec"] = (len(found), d_model)
+        reads = spark.sparkContext.accumulator(0)
+
+        def build(arrays: dict[str, np.ndarray]) -> None:
+            reads.add(1)
             filesystem, root = task_filesystem(location)
-            wanted = None if ids is None else dataset.field("feature_id").isin(ids.tolist())
-            found = np.arange(d_sae) if ids is None else ids
-            place = {int(f): i for i, f in enumerate(found)}
-            arrays = {name: np.zeros((len(found), d_model), dtype=dtype) for name in names}
-            arrays["b_enc"] = np.zeros(len(found), dtype=dtype)
+            wanted = None if subset is None else dataset.field("feature_id").isin(subset.tolist())
+            place = np.full(d_sae, -1, dtype=np.int64)
+            place[found] = np.arange(len(found))
             table = dataset.dataset(root, filesystem=filesystem, format="parquet")
-            for batch in table.to_batches(columns=["feature_id", "b_enc", *names], filter=wanted):
-                at = [place[f] for f in batch.column("feature_id").to_pylist()]
-                arrays["b_enc"][at] = batch.column("b_enc").to_numpy()
-                for name in names:
-                    if len(at):
-                        arrays[name][at] = to_matrix(batch.column(name), d_model, dtype)
-            return {**arrays, **common, "feature_ids": found}
+            for batch in table.to_batches(columns=["feature_id", *arrays], filter=wanted, batch_size=ROWS_PER_STEP):
+                at = place[batch.column("feature_id").to_numpy()]
+                for name, array in arrays.items():
+                    if not len(at):
+                        continue
+                    column = batch.column(name)
+                    array[at] = column.to_numpy() if name == "b_enc" else to_matrix(column, d_model, dtype)
 
+        def load():
+            return {**mapped(key, shapes, dtype, build), **common, "feature_ids": found}
+
+        load.reads = reads
         return load
 
     def rows(self, spark: SparkSession) -> Iterator[DataFrame]:
@@ -292,6 +313,48 @@ def active_cells(
     return rows, features, values
 
 
+class TopCells:
+    """The ``k`` largest positive activations of every feature, ties to the smaller index; at most k cells each.
+
+    Cells arrive unordered and are merged into the sorted buffer when as many
+    wait as it may hold. A value below its feature's k-th largest so far can't
+    be among the largest and isn't taken.
+    """
+
+    def __init__(self, d_sae: int, k: int):
+        self.k, self.limit = k, max(k * d_sae, 1)
+        self.bar = np.zeros(d_sae)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+        self.features, self.values, self.index = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, index: np.ndarray, acts: np.ndarray, begin: int) -> None:
+        """Activations of rows (with their indices) for the features from ``begin`` on."""
+        bar = self.bar[begin : begin + acts.shape[1]]
+        if len(acts) > self.k:
+            bar = np.maximum(bar, np.partition(acts, len(acts) - self.k, axis=0)[len(acts) - self.k])
+        rows, features = np.nonzero((acts >= bar) & (acts > 0))
+        self.take(features + begin, acts[rows, features].astype(float), index[rows])
+
+    def take(self, features: np.ndarray, values: np.ndarray, index: np.ndarray) -> None:
+        self.waiting.append((features, values, index))
+        self.n_waiting += len(features)
+        if self.n_waiting > self.limit:
+            self.merge()
+
+    def merge(self) -> None:
+        parts = zip((self.features, self.values, self.index), *self.waiting, strict=True)
+        features, values, index = (np.concatenate(part) for part in parts)
+        order = np.lexsort((index, -values, features))
+        features = features[order]
+        place = np.arange(len(features)) - np.searchsorted(features, features, side="left")
+        order = order[place < self.k]
+        self.features, self.values, self.index = features[place < self.k], values[order], index[order]
+        full = np.flatnonzero(place == self.k - 1)
+        self.bar[features[full]] = np.maximum(self.bar[features[full]], self.values[np.searchsorted(self.features, features[full], side="right") - 1])
+        self.waiting, self.n_waiting = [], 0
+
+
 def to_feature_lists(n_rows: int, rows: np.ndarray, features: np.ndarray, values: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)
     cells = pa.StructArray.from_arrays(
@@ -301,10 +364,10 @@ def to_feature_lists(n_rows: int, rows: np.ndarray, features: np.ndarray, values
     return pa.ListArray.from_arrays(pa.array(offsets), cells)
 
 
-def to_vectors(matrix: np.ndarray) -> pa.Array:
+def to_vectors(matrix: np.ndarray, dtype=np.float64) -> pa.Array:
     n, width = matrix.shape
     offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix, dtype=np.float64).reshape(-1)))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix, dtype=dtype).reshape(-1)))
 
 
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +447,33 @@ class SaeModel(Model):
         fields = [T.StructField("feature_id", T.IntegerType()), T.StructField("act", T.DoubleType())]
         return self._run(df, keys, column, fields, emit, feature_ids)
 
+    def top_cells(self, df: DataFrame, index: str, k: int, column: str = "activation") -> DataFrame:
+        """``index, feature_id, act`` of each task's ``k`` largest cells per feature, whatever its number of rows.
+
+        A top-k of the result equals the top-k of all cells. ``index`` holds whole numbers.
+        """
+        load = self._shared(df.sparkSession)
+        width, dtype, d_sae = self.parameters.d_model, self.parameters.dtype, self.parameters.d_sae
+        normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
+        narrow = df.select(F.col(index).cast("bigint").alias(index), column)
+
+        def run(batches):
+            weights, top = load(), TopCells(d_sae, k)
+            for batch in steps(batches):
+                if batch.num_rows:
+                    x = centre(to_matrix(batch.column(1), width, dtype), weights, normalize, apply_b_dec)
+                    for block, acts in feature_blocks(x, weights):
+                        top.add(batch.column(0).to_numpy(), acts, block.start)
+            top.merge()
+            for start in range(0, len(top.features), ROWS_PER_STEP * 16):
+                part = slice(start, start + ROWS_PER_STEP * 16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(top.index[part]), pa.array(top.features[part].astype(np.int32)), pa.array(top.values[part])],
+                    [index, "feature_id", "act"],
+                )
+
+        return narrow.mapInArrow(run, f"`{index}` BIGINT, feature_id INT, act DOUBLE")
+
     def feature_partials(self, df: DataFrame, column: str = "activation") -> DataFrame:
         """Per task and active feature: ``max_act, sum_act, n_active``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import tempfile
@@ -87,6 +88,13 @@ def exists(path: str) -> bool:
     return store.exists(place)
 
 
+def fingerprint(path: str) -> str:
+    """A name for the present state of a folder: its files with their sizes and times."""
+    store, place = on_store(path)
+    files = [(file.getPath().getName(), file.getLen(), file.getModificationTime()) for file in store.listStatus(place)]
+    return hashlib.md5(repr((path, sorted(files))).encode()).hexdigest()
+
+
 def discard(path: str) -> None:
     """Deletes a staged table that nothing reads any more."""
     if "/staged/" not in path:
