@@ -1,3 +1,4 @@
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from veclens.functions import vectors
 from veclens.operators import copies
 from veclens.operators.interpret import top_tokens
-from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, TopCells, normalize_decoder
+from veclens.operators.sae import NORMALIZATIONS, SaeModel, SaeParams, SaeTable, TopCells, normalize_decoder, running_mean
+from veclens.operators.split import epoch_batches, train_val_split
+from veclens.plans import train
 from veclens.plans.train import Adam, Sae, batch_gradients, next_mean, write_report
 
 D, S, N = 6, 20, 90
@@ -309,6 +312,50 @@ def test_fit_equals_a_plain_training_loop(spark, data):
     assert [found[1]["recon_loss"], found[3]["recon_loss"]] == pytest.approx([history[1][0], history[3][0]])
 
 
+def moved(df, column):
+    """Exchanges of the plan that carry the column."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return len(re.findall(rf"\) Exchange\s*\nInput \[\d+\]: \[[^\]]*\b{column}#", text))
+
+
+def test_an_epoch_moves_vectors_once(spark, data, monkeypatch):
+    """Batches of an epoch are laid out, and validation read, with one shuffle of vectors in all."""
+    rows, _ = data
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vectors_only = rows.select("token_idx", "activation")
+        split = train_val_split(vectors_only.select("token_idx"), 0.8)
+        placed = epoch_batches(split, 1, 10)
+        with train.bucketed(vectors_only, "token_idx", 3) as stored:
+            own = placed.where("split = 'train'")
+            laid = train.in_ranges(train.in_batches(stored, own), own, 4)
+            assert moved(train.in_batches(stored, own), "activation") == 0
+            assert moved(laid, "activation") == 1
+            assert moved(train.in_batches(vectors_only, own), "activation") == 1 + moved(vectors_only, "activation")  # what buckets save
+            read = laid.withColumn("part", F.spark_partition_id()).collect()
+        expected = {r["token_idx"]: r["batch_id"] for r in own.collect()}
+        assert {r["token_idx"]: r["batch_id"] for r in read} == expected
+        parts = {}
+        for r in read:
+            parts.setdefault(r["batch_id"], set()).add(r["part"])
+        assert all(len(p) == 1 for p in parts.values()) and len(set.union(*parts.values())) == 4
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("veclens_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+@pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 3000])
+def test_running_mean_of_groups(spark, n, monkeypatch):
+    monkeypatch.setattr("veclens.operators.sae.MEAN_GROUP", 100)
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "batch_id BIGINT, batch_mean ARRAY<DOUBLE>")
+    mean = x[0]
+    for v in x[1:]:
+        mean = 0.99 * mean + 0.01 * v
+    assert running_mean(rows).first()[0] == pytest.approx(mean.tolist())
+
+
 @pytest.mark.parametrize("steps_per_job", [1, 3])
 def test_fit_lowers_the_loss_and_keeps_unit_norms(spark, data, tmp_path, steps_per_job):
     rows, _ = data

@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ CELLS_PER_STEP = 4 << 20
 ROWS_PER_STEP = 2048
 MODEL_BLOCK_BYTES = 64 << 20
 ALL_ROWS = -1
+MEAN_GROUP = 1024
 
 FEATURES = T.ArrayType(
     T.StructType([T.StructField("feature_id", T.IntegerType()), T.StructField("act", T.DoubleType())])
@@ -709,11 +710,22 @@ def running_mean(batch_means: DataFrame, momentum: float = 0.01, batch: str = "b
     """The exponentially weighted mean after the last batch, as one row.
 
     The first batch starts the mean; each later one enters with ``momentum``.
-    Unrolled, batch t of T+1 weighs ``(1-m)^(T-t)``, times m except for t = 0,
-    so the recurrence is a weighted sum that combines in any order.
+    A run of batches is an affine map of the mean before it: it keeps
+    ``(1-m) ** n`` of that and adds its own weighted sum. Maps of batches that
+    follow one another compose, so tasks combine what they read and one row
+    per group of batches is left: one pass, and no look at the last batch first.
     """
-    last = batch_means.agg(F.max(batch)).first()[0]
-    decay = F.pow(F.lit(1.0 - momentum), F.lit(last) - F.col(batch))
-    weight = F.when(F.col(batch) == 0, decay).otherwise(decay * momentum)
     vector = array_to_vector("batch_mean")
-    return batch_means.agg(vector_to_array(Summarizer.sum(vector, weight)).alias("activation_mean"))
+    start = F.col(batch) == 0
+    group = F.expr(f"`{batch}` div {MEAN_GROUP}")
+    # weights count from the end of the group, so none depends on what comes later
+    left = F.lit(MEAN_GROUP - 1) - F.pmod(F.col(batch), F.lit(MEAN_GROUP))
+    weight = F.pow(F.lit(1.0 - momentum), left) * F.when(start, 1.0).otherwise(momentum)
+    groups = batch_means.groupBy(group.alias("_group")).agg(
+        Summarizer.sum(vector, weight).alias("_sum"), F.max(batch).alias("_last")
+    )
+    # one row per group; only the last may be short, which the last batch of all tells
+    last = F.max("_last").over(Window.partitionBy())
+    after = (last - (F.col("_group") + 1) * MEAN_GROUP + 1).cast("double")
+    scaled = groups.withColumn("_decay", F.pow(F.lit(1.0 - momentum), after))
+    return scaled.agg(vector_to_array(Summarizer.sum(F.col("_sum"), F.col("_decay"))).alias("activation_mean"))

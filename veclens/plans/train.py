@@ -15,7 +15,9 @@ storage that tasks read and Spark rewrites; the driver sees no weight matrix.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -256,6 +258,43 @@ def best_epoch(history: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def bucketed(rows: DataFrame, key: str, buckets: int | None = None) -> Iterator[DataFrame]:
+    """The rows as a table bucketed by ``key``, for as long as the block runs.
+
+    A join on ``key`` then takes each bucket from its files, without a shuffle
+    of these rows. The files lie in the shared folder.
+    """
+    spark = rows.sparkSession
+    path, name = staging_path(spark, "bucketed"), f"veclens_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, key)  # as the buckets are: each is one file
+    dealt.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(path)
+
+
+def in_batches(vectors: DataFrame, placed: DataFrame) -> DataFrame:
+    """Bucketed vectors with their batch; only the narrow side is shuffled."""
+    return vectors.join(placed.select("token_idx", "batch_id"), "token_idx").select(*BATCHED_NAMES)
+
+
+def in_ranges(joined: DataFrame, placed: DataFrame, parts: int | None) -> DataFrame:
+    """Rows dealt to consecutive batches, in order, by the only shuffle of vectors.
+
+    The ranges follow from the number of batches, so nothing is sampled and the
+    join runs once. The minimum and maximum batch of each file let a scan skip
+    the rest.
+    """
+    n_batches = (placed.agg(F.max("batch_id")).first()[0] or 0) + 1
+    n = parts or int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("batch_id") * n / n_batches).cast("int")
+    return joined.withColumn("part", part).repartitionById(n, "part").sortWithinPartitions("batch_id", "token_idx").drop("part")
+
+
 @dataclass
 class TrainingConfig:
     d_sae: int
@@ -269,6 +308,12 @@ class TrainingConfig:
     apply_b_dec_to_input: bool = False
     steps_per_job: int = 1
     tasks_per_job: int = 8
+    buckets: int | None = None  # of the vectors; the number of shuffle partitions by default
+
+    @property
+    def window(self) -> int:
+        """Batches of one job of local steps."""
+        return self.steps_per_job * self.tasks_per_job
 
 
 class Sae(Estimator):
@@ -286,16 +331,22 @@ class Sae(Estimator):
             raise ValueError("no activations to train on")
         params = self.start(spark, d_model)
         split = stage(train_val_split(rows.select("token_idx"), config.train_split, seed=config.seed), "split")
+        with bucketed(rows, "token_idx", config.buckets) as vectors:
+            return self.train(vectors, split, params, d_model)
+
+    def train(self, rows: DataFrame, split: DataFrame, params: SaeParams | SaeTable, d_model: int) -> SaeModel:
+        """All epochs over bucketed vectors; keeps the best parameters."""
+        config, spark = self.config, rows.sparkSession
         optimizer = Adam(params, config.lr) if isinstance(params, SaeParams) else None
         history, best = [], None
         for epoch in range(1, config.epochs + 1):
             placed = epoch_batches(split, epoch, config.batch_size)
             path = self.lay_out(rows, placed.where(F.col("split") == "train"), epoch)
-            train = spark.read.schema(BATCHED).parquet(path)
+            train = spark.read.schema(WINDOWED if config.steps_per_job > 1 else BATCHED).parquet(path)
             kept = best[2] if best else None
             params, train_figures = self.train_epoch(train, params, optimizer, kept)
             discard(path)
-            val = rows.join(placed.where(F.col("split") == "val").select("token_idx", "batch_id"), "token_idx")
+            val = in_batches(rows, placed.where(F.col("split") == "val"))
             val_figures = validate(SaeModel(params), val)
             history += [(epoch, "train", *train_figures), (epoch, "val", *val_figures)]
             loss = val_figures[0]
@@ -324,15 +375,21 @@ class Sae(Estimator):
         return params_from_rows(stage(weights, "start"), d_model, config.d_sae, **options)
 
     def lay_out(self, rows: DataFrame, placed: DataFrame, epoch: int) -> str:
-        """Writes one epoch's train rows on disk in batch order, so a step reads only its batch.
+        """Writes one epoch's train rows on disk, so that a step reads only its batch, or a job only its window.
 
-        Rows move once per epoch. Batches are range-partitioned and the
-        minimum and maximum batch of each file let the scan skip the rest.
+        The vectors lie in buckets of ``token_idx``; the narrow batch numbers are
+        shuffled to them. Single steps get whole batches in one or two files:
+        vectors move once, to ranges of batches. Jobs of local steps shuffle
+        their window themselves, so here vectors stay in their buckets and only
+        go to the folder of their window.
         """
         path = staging_path(rows.sparkSession, f"epoch{epoch}")
-        joined = rows.join(placed.select("token_idx", "batch_id"), "token_idx")
-        ordered = joined.repartitionByRange("batch_id", "token_idx").sortWithinPartitions("batch_id", "token_idx")
-        ordered.select("token_idx", "batch_id", "activation").write.parquet(path)
+        if self.config.steps_per_job > 1:
+            window = F.expr(f"batch_id div {self.config.window}").alias("window")
+            joined = in_batches(rows, placed).select(window, *BATCHED_NAMES)
+            joined.sortWithinPartitions("window", "batch_id", "token_idx").write.partitionBy("window").parquet(path)
+            return path
+        in_ranges(in_batches(rows, placed), placed, self.config.buckets).write.parquet(path)
         return path
 
     def train_epoch(self, train: DataFrame, params: SaeParams, optimizer: Adam | None, kept):
@@ -365,11 +422,12 @@ class Sae(Estimator):
 
     def train_epoch_locally(self, train: DataFrame, params: SaeTable, n_batches: int, kept):
         config = self.config
-        figures, counted, width = np.zeros(3), 0, config.steps_per_job * config.tasks_per_job
-        for start in range(0, n_batches, width):
-            window = train.where(F.col("batch_id").between(start, start + width - 1))
-            placed = window.withColumn("task", F.expr(f"(batch_id - {start}) div {config.steps_per_job}"))
-            whole = placed.repartition(config.tasks_per_job, "task").sortWithinPartitions("batch_id", "token_idx")
+        figures, counted = np.zeros(3), 0
+        for number in range(-(-n_batches // config.window)):
+            placed = train.where(F.col("window") == number).withColumn(
+                "task", F.expr(f"(batch_id - {number * config.window}) div {config.steps_per_job}").cast("int")
+            )
+            whole = placed.repartitionById(config.tasks_per_job, "task").sortWithinPartitions("batch_id", "token_idx")
             before = params
             params, sums, n = averaged(local_training(whole, before, config.lr, config.l1_coeff), before)
             if before is not kept:
@@ -407,7 +465,9 @@ class Sae(Estimator):
         }
 
 
+BATCHED_NAMES = ("token_idx", "batch_id", "activation")
 BATCHED = "token_idx BIGINT, batch_id BIGINT, activation ARRAY<FLOAT>"
+WINDOWED = f"{BATCHED}, window BIGINT"
 HISTORY = "epoch INT, split STRING, recon_loss DOUBLE, l1_loss DOUBLE, l0 DOUBLE"
 
 
