@@ -118,6 +118,15 @@ def test_repeated_strings_with_hot_keys_and_small_blocks(spark, monkeypatch):
     assert all(hashlib.sha256(row.kept).hexdigest() == row.kept_sha256 for row in got)
 
 
+def test_distinct_texts_under_one_id_stay_apart(spark):
+    """Rows are known by their number: of many texts under one id, or none, each loses only its own repeats."""
+    shared = brute.long_text(50, 50)
+    rows = [(doc_id, brute.long_text(100 + i, 60) + (shared if i % 40 == 0 else "")) for i in range(400) for doc_id in (None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = substring_dedup.drop_repeats(frame).collect()
+    assert ordered(tuple(row) for row in got) == ordered(repeats_by_hand(rows, 200))
+
+
 def test_repeated_strings_of_an_empty_table(spark):
     assert substring_dedup.drop_repeats(brute.empty(spark)).count() == 0
 

@@ -193,42 +193,39 @@ def true_runs(flags: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> tupl
 
 # ---- the operator
 
-PLACE = "id bigint, th bigint"
+PLACE = "row bigint"
 
 
 def _unpack(df: DataFrame) -> DataFrame:
-    return df.withColumns({"th": F.expr("sn >> 39"), "start": F.expr("(sn >> 8) & 2147483647"), "n": F.expr("sn & 255")})
+    return df.withColumns({"start": F.expr("sn >> 8"), "n": F.expr("sn & 255")})
 
 
 def repeated_spans(source: DataFrame, length: int) -> DataFrame:
-    """``id, th, start, n``: runs of n strings from byte ``start`` on that occur elsewhere; rows ``id, th, text``."""
+    """``row, start, n``: runs of n strings from byte ``start`` on that occur elsewhere; ``source`` has ``row, text``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(2))
-            ids, hashes = batch.column(0), batch.column(1).to_numpy()
+            data, offsets = flat(batch.column(1))
+            rows = batch.column(0).to_numpy()
             for first, last in runs(offsets, RUN_BYTES):
                 own = offsets[first : last + 1] - offsets[first]
                 row, start, n, keys, content = segments(data[offsets[first] : offsets[last]], own, length)
                 yield pa.RecordBatch.from_pydict({
-                    "key": keys.view(np.int64), "sh": content.view(np.int64), "id": ids.take(pa.array(row + first)),
-                    "sn": (hashes[row + first] << 39) | (start << 8) | n,
+                    "key": keys.view(np.int64), "sh": content.view(np.int64), "row": rows[row + first], "sn": (start << 8) | n,
                 })
 
-    found = stage(small_batches(source).mapInArrow(cut, "key bigint, sh bigint, id bigint, sn bigint"), "segments")
+    found = stage(small_batches(source.select("row", "text")).mapInArrow(cut, "key bigint, sh bigint, row bigint, sn bigint"), "segments")
     # what is frequent in a sample is dealt by content as well, or known to repeat;
-    # at most 1 / HOT_SHARE keys and pairs pass, so both tables can be broadcast
-    sample = found.where(F.pmod(F.xxhash64("id", "sn"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000))
-    least = F.greatest(F.lit(HOT_LEAST), F.col("all") * HOT_SHARE)
-    pairs = sample.groupBy("key", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "sn")).alias("rep"))
+    # at most 1 / HOT_SHARE keys and contents pass, so both lists are constants of the plan
+    sample = found.where(F.pmod(F.xxhash64("row", "sn"), F.lit(1_000_000)) < int(SAMPLE * 1_000_000))
+    pairs = sample.groupBy("key", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "sn")).alias("rep"))
     pairs = stage(pairs, "sampled")
-    total = pairs.agg(F.sum("c").alias("all"))
-    keys = pairs.groupBy("key").agg(F.sum("c").alias("c")).crossJoin(total).where(F.col("c") >= least)
-    hot_keys = F.broadcast(stage(keys.select("key", F.lit(True).alias("hot")), "hot-keys"))
-    hot_pairs = F.broadcast(stage(pairs.crossJoin(total).where(F.col("c") >= least).select("key", "sh", F.lit(True).alias("certain")), "hot-pairs"))
-    marked = found.join(hot_pairs, ["key", "sh"], "left").join(hot_keys, "key", "left").withColumns(
-        {"hot": F.coalesce("hot", F.lit(False)), "certain": F.coalesce("certain", F.lit(False))}
-    )
+    least = max(HOT_LEAST, (pairs.agg(F.sum("c")).first()[0] or 0) * HOT_SHARE)
+    hot_keys = [row.key for row in pairs.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).collect()]
+    hot_pairs = [tuple(row) for row in pairs.where(F.col("c") >= least).select("key", "sh").collect()]
+    # a content has its anchor and so its key within it: both lists together name the pairs
+    often = F.col("key").isin(sorted({key for key, _ in hot_pairs})) & F.col("sh").isin(sorted({sh for _, sh in hot_pairs}))
+    marked = found.withColumns({"hot": F.col("key").isin(sorted(hot_keys)), "certain": often})
     certain = marked.where("certain")  # seen twice in the sample
     others = marked.where("NOT certain")
     dealt = others.withColumn("deal", F.when(F.col("hot"), F.xxhash64("key", "sh")).otherwise(F.col("key"))).repartition("deal")
@@ -236,42 +233,40 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
     group = Window.partitionBy("deal", "key")
     counted = (
         dealt.withColumn("c", F.count(F.lit(1)).over(same))
-        .withColumn("rep", F.row_number().over(same.orderBy("id", "sn")) == 1)
+        .withColumn("rep", F.row_number().over(same.orderBy("row", "sn")) == 1)
         .withColumn("m", F.sum(F.col("rep").cast("int")).over(group))
         .where("c > 1 OR m > 1 OR hot")
-        .select("key", "id", "sn", "c", "rep", F.when(F.col("hot"), MANY + 1).otherwise(F.col("m")).alias("m"))
+        .select("key", "row", "sn", "c", "rep", F.when(F.col("hot"), MANY + 1).otherwise(F.col("m")).alias("m"))
     )
-    known = pairs.join(hot_pairs, ["key", "sh"]).select(
-        "key", "rep.id", "rep.sn", F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("rep"), F.lit(MANY + 1).alias("m")
+    known = pairs.where(often).select(
+        "key", "rep.row", "rep.sn", F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("rep"), F.lit(MANY + 1).alias("m")
     )
     repeats = stage(_unpack(counted.unionByName(known)), "repeats")
-    whole_runs = repeats.where("c > 1").select("id", "th", "start", "n").union(_unpack(certain).select("id", "th", "start", "n"))
+    whole_runs = repeats.where("c > 1").select("row", "start", "n").union(_unpack(certain).select("row", "start", "n"))
 
     # one segment of each content, where contents with the same key differ
-    open_ = repeats.where("rep AND m > 1").select("key", "id", "th", "start", "n", "c", (F.col("m") > MANY).alias("many"))
-    places = open_.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n", "c", "many")).alias("places"))
-    texts = source.join(places, source.id.eqNullSafe(places.id) & (source.th == places.th)).select(
-        source.id, source.th, "text", "places"
-    )
+    open_ = repeats.where("rep AND m > 1").select("key", "row", "start", "n", "c", (F.col("m") > MANY).alias("many"))
+    places = open_.groupBy("row").agg(F.collect_list(F.struct("key", "start", "n", "c", "many")).alias("places"))
+    texts = source.select("row", "text").join(places, "row")
     cut_out = texts.withColumn("bytes", F.col("text").cast("binary")).select(
-        "id", "th", F.explode("places").alias("p"), "bytes"
-    ).select("id", "th", "p.*", F.expr(f"substring(bytes, int(p.start) + 1, int(p.n) + {length - 1})").alias("piece"))
+        "row", F.explode("places").alias("p"), "bytes"
+    ).select("row", "p.*", F.expr(f"substring(bytes, int(p.start) + 1, int(p.n) + {length - 1})").alias("piece"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            keys = batch.column(3).to_numpy()
+            keys = batch.column(2).to_numpy()
             at = 0
             while at < len(batch):
-                data = flat(batch.column(5))[1]
+                data = flat(batch.column(4))[1]
                 stop = int(np.searchsorted(data, data[at] + BLOCK_BYTES - size, side="left"))
                 stop = min(max(stop, at + 1), len(batch))
                 while stop < len(batch) and keys[stop] == keys[stop - 1]:
                     stop += 1
                 # a block ends only where the key changes
                 if held and size >= BLOCK_BYTES:
-                    last = held[-1].column(3)[len(held[-1]) - 1].as_py()
+                    last = held[-1].column(2)[len(held[-1]) - 1].as_py()
                     if keys[at] != last:
                         yield solve(held)
                         held, size = [], 0
@@ -290,15 +285,13 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
         counts = block.column("n").to_numpy()
         begins = np.cumsum(counts) - counts
         owner, offset, n = true_runs(twice, begins, counts)
-        picked = pa.array(owner)
         return pa.RecordBatch.from_pydict({
-            "id": block.column("id").combine_chunks().take(picked),
-            "th": block.column("th").combine_chunks().take(picked),
+            "row": block.column("row").to_numpy()[owner],
             "start": block.column("start").to_numpy()[owner] + offset,
             "n": n,
         })
 
-    few = cut_out.where("NOT many").select("id", "th", "start", "key", "n", "piece")
+    few = cut_out.where("NOT many").select("row", "start", "key", "n", "piece")
     if repeats.where(f"rep AND m > {MANY}").isEmpty():
         rest = None
     else:
@@ -316,21 +309,21 @@ def strings_twice(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), 2048):
                 part = batch.slice(first, 2048)
-                data, offsets = flat(part.column(4))
-                counts = part.column(3).to_numpy()
+                data, offsets = flat(part.column(3))
+                counts = part.column(2).to_numpy()
                 at = ranges(offsets[:-1], counts)
                 owner = pa.array(np.repeat(np.arange(len(part)), counts))
                 yield pa.RecordBatch.from_pydict({
-                    "id": part.column(0).take(owner), "th": part.column(1).take(owner),
-                    "start": np.repeat(part.column(2).to_numpy() - offsets[:-1], counts) + at,
-                    "key": part.column(5).take(owner), "wh": span_hashes(data, at, at + length).view(np.int64),
+                    "row": part.column(0).take(owner),
+                    "start": np.repeat(part.column(1).to_numpy() - offsets[:-1], counts) + at,
+                    "key": part.column(4).take(owner), "wh": span_hashes(data, at, at + length).view(np.int64),
                 })
 
-    rows = pieces.select("id", "th", "start", "n", "piece", "key")
+    rows = pieces.select("row", "start", "n", "piece", "key")
     strings = stage(rows.mapInArrow(explode, f"{PLACE}, start bigint, key bigint, wh bigint"), "strings")
     twice = strings.groupBy("key", "wh").count().where("count > 1").select("key", "wh")
     return strings.join(twice, ["key", "wh"], "left_semi").select(
-        "id", "th", "start", F.lit(1).cast("bigint").alias("n")
+        "row", "start", F.lit(1).cast("bigint").alias("n")
     )
 
 
@@ -355,16 +348,12 @@ def drop_repeats(
     by string by Spark instead, which is exact too, and keys that a sample shows
     to be hot are dealt by content, so no task gathers them.
     """
-    source = docs.select(
-        F.col(id_column).cast("bigint").alias("id"),
-        F.xxhash64(whole(text)).bitwiseAND(F.lit(16777215)).alias("th"),
-        whole(text).alias("text"),
-    )
+    source = docs.select(F.col(id_column).cast("bigint").alias("id"), whole(text).alias("text"))
+    # a row is known by its number, as ids may repeat; written, so that the number stays
+    source = stage(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     spans = repeated_spans(source, length)
-    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = source.join(listed, source.id.eqNullSafe(listed.id) & (source.th == listed.th), "left").select(
-        source.id, "text", "spans.start", "spans.n"
-    )
+    listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = source.join(listed, "row", "left").select("id", "text", "spans.start", "spans.n")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
