@@ -20,8 +20,10 @@ from veclens.session import stage, staging_path, task_filesystem
 
 from . import query
 from .chunks import ChunkEncoder
-from .texts import RUN_BYTES, documents, flat, ranges, runs, small_batches, white_mask, whole, worker_cache
+from .texts import documents, flat, ranges, runs, small_batches, white_mask, whole, worker_cache
 
+#: Bytes of text that are cut into chunks at once, and chunks whose ids a worker remembers; few of a corpus' words are rare.
+RUN_BYTES, REMEMBERED = 8 << 20, 500_000
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 TRAILER = "<QQQ8s"
@@ -208,7 +210,7 @@ def encoder_of(path: str) -> ChunkEncoder:
     kept = worker_cache()
     if ("bitplane", path) not in kept:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        kept["bitplane", path] = ChunkEncoder(library_encoder(path))
+        kept["bitplane", path] = ChunkEncoder(library_encoder(path), REMEMBERED)
     return kept["bitplane", path]
 
 
