@@ -126,7 +126,7 @@ def lm_scoring_name(word):
     return b" " + hashlib.sha256(word.encode()).hexdigest().encode()
 
 
-@pytest.mark.parametrize("known", [20, 1 << 17])
+@pytest.mark.parametrize("known", [20, 1 << 18])
 def test_scores_of_awkward_rows(spark, monkeypatch, known):
     """Nulls, empty and long texts and words, repeated rows, clashing columns; most words counted by a join, or few."""
     monkeypatch.setattr(lm_scoring, "KNOWN", known)

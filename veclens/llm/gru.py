@@ -13,6 +13,8 @@ HEAD = CLASS_WORDS * HEAD_CLASSES
 END = 0
 #: Steps of one window; gradients end at its beginning, the state goes on.
 WINDOW = 20
+#: Documents that are read side by side at most.
+LANES = 512
 RATE = 0.08
 UNUSED = -30.0
 
@@ -45,36 +47,39 @@ def class_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def states(model: Params, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States (steps x size x lanes) after each of ``tokens`` (steps x lanes), from ``h``; a fresh lane begins with zeros.
+    """States (steps x lanes x size) after each of ``tokens`` (steps x lanes), and the last as size x lanes.
 
-    With ``keep`` also what the backward pass needs.
+    Begins with ``h``, size x lanes; a fresh lane begins with zeros. With
+    ``keep`` also what the backward pass needs. Steps work on columns, one for
+    each lane, and stay in the processor's cache.
     """
     n, (steps, lanes) = HIDDEN, tokens.shape
-    given = np.ascontiguousarray(model["input"][tokens].transpose(0, 2, 1))
     weights = np.ascontiguousarray(model["state"].T)
-    out = np.empty((steps, n, lanes), h.dtype)
-    before, own, new = (np.empty((steps, rows, lanes), h.dtype) for rows in (n, 3 * n, n))
+    out = np.empty((steps, lanes, n), h.dtype)
+    kept = steps if keep else 1
+    before, own, gate, new = (np.empty((kept, rows, lanes), h.dtype) for rows in (n, 3 * n, 2 * n, n))
     any_fresh = fresh.any(axis=1)
     for t in range(steps):
-        b, o, x, g = before[t], own[t], new[t], given[t]
+        k = t if keep else 0
+        b, o, gates, x = before[k], own[k], gate[k], new[k]
         b[:] = h
         if any_fresh[t]:
             b[:, fresh[t]] = 0
+        given = np.take(model["input"], tokens[t], axis=0).T
         np.matmul(weights, b, out=o)
-        gates = g[: 2 * n]
-        gates += o[: 2 * n]
+        np.add(given[: 2 * n], o[: 2 * n], out=gates)
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         np.multiply(gates[n:], o[2 * n :], out=x)
-        x += g[2 * n :]
+        x += given[2 * n :]
         np.tanh(x, out=x)
-        h = out[t]
-        np.subtract(b, x, out=h)
+        h = b - x
         h *= gates[:n]
         h += x
-    return (out, h, (before, given[:, : 2 * n], own[:, 2 * n :], new)) if keep else (out, h)
+        out[t] = h.T
+    return (out, h, (before, gate, own[:, 2 * n :], new)) if keep else (out, h)
 
 
 #: Tokens whose logits are held at once.
@@ -140,7 +145,7 @@ def gradients(model: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.
     """Summed gradients of the window's negative log probability, the state after it, and the loss."""
     n, (steps, lanes) = HIDDEN, inputs.shape
     out, last, (before, gates, own, new) = states(model, inputs, fresh, h, keep=True)
-    rows = np.ascontiguousarray(out.transpose(0, 2, 1)).reshape(-1, n)
+    rows = out.reshape(-1, n)
     at = np.flatnonzero(valid)
     whole = len(at) == len(rows)
     flat, want = rows if whole else rows[at], targets.reshape(-1)[at]
@@ -157,37 +162,37 @@ def gradients(model: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.
         rows[:] = 0
         rows[at] = dflat
         dflat = rows
-    dout = np.ascontiguousarray(dflat.reshape(steps, lanes, n).transpose(0, 2, 1))
-    dgiven, down = (np.empty((steps, 3 * n, lanes), h.dtype) for _ in range(2))
+    dout = dflat.reshape(steps, lanes, n)
+    by_token = np.empty((steps, lanes, 3 * n), h.dtype)
+    dgiven, down = (np.empty((3 * n, lanes), h.dtype) for _ in range(2))
     dh = np.zeros((n, lanes), h.dtype)
     for t in range(steps - 1, -1, -1):
         z, r = gates[t, :n], gates[t, n:]
-        dh += dout[t]
-        dz, dr, dx = dgiven[t, :n], dgiven[t, n : 2 * n], dgiven[t, 2 * n :]
+        dh += dout[t].T
+        dz, dr, dx = dgiven[:n], dgiven[n : 2 * n], dgiven[2 * n :]
         np.subtract(before[t], new[t], out=dz)
         dz *= dh
         keep = dh * z
-        dx[:] = dh
-        dx -= keep
+        np.subtract(dh, keep, out=dx)
         dz *= z
         dz *= 1 - z
         dx *= 1 - new[t] * new[t]
         np.multiply(dx, own[t], out=dr)
         dr *= r
         dr *= 1 - r
-        down[t, : 2 * n] = dgiven[t, : 2 * n]
-        np.multiply(dx, r, out=down[t, 2 * n :])
-        dh = model["state"] @ down[t]
+        down[: 2 * n] = dgiven[: 2 * n]
+        np.multiply(dx, r, out=down[2 * n :])
+        dh = model["state"] @ down
         dh += keep
+        grad["state"] += before[t] @ down.T
+        by_token[t] = dgiven.T
         if fresh[t].any():
             dh[:, fresh[t]] = 0
-    for t in range(steps):
-        grad["state"] += before[t] @ down[t].T
     flat_in = inputs.reshape(-1)
     order = np.argsort(flat_in.astype(np.uint16), kind="stable")
     begins = np.flatnonzero(np.diff(flat_in[order], prepend=-1))
-    by_token = dgiven.transpose(0, 2, 1).reshape(-1, 3 * n)
-    grad["input"][flat_in[order[begins]]] = np.add.reduceat(by_token[order], begins, axis=0)
+    sorted_rows = np.take(by_token.reshape(-1, 3 * n), order, axis=0)
+    grad["input"][flat_in[order[begins]]] = np.add.reduceat(sorted_rows, begins, axis=0)
     return grad, last, float(loss)
 
 
@@ -203,9 +208,9 @@ class Trainer:
         """Learns from documents in a row, cut into lanes of equal length that are read side by side.
 
         ``fresh`` marks the first token of each document. Lanes number such that
-        there are some 60 steps or more, and 8 to 256.
+        there are some 60 steps or more, and 8 to 512.
         """
-        lanes = int(np.clip(len(ids) // (WINDOW * 60), 8, 256))
+        lanes = int(np.clip(len(ids) // (WINDOW * 60), 8, LANES))
         length = -(-len(ids) // lanes)
         pad = lanes * length - len(ids)
         targets = np.pad(ids.astype(np.int32), (0, pad)).reshape(lanes, length).T
@@ -231,7 +236,7 @@ def start_squares(model: Params) -> Params:
     return {name: np.full_like(value, 1e-7) for name, value in model.items()}
 
 
-def document_logs(model: Params, ids: np.ndarray, offsets: np.ndarray, lanes: int = 256) -> np.ndarray:
+def document_logs(model: Params, ids: np.ndarray, offsets: np.ndarray, lanes: int = LANES // 2) -> np.ndarray:
     """Each document's log probability; the state goes from window to window until its end.
 
     Documents are dealt to lanes, long ones first, each to the shortest lane;
@@ -267,12 +272,12 @@ def document_logs(model: Params, ids: np.ndarray, offsets: np.ndarray, lanes: in
     t, longest = 0, int(loads[0])
     while t < longest:
         n = int(np.searchsorted(-loads, -t, side="left"))
-        steps = min(max(WINDOW, 16_384 // n), 512, longest - t)
+        steps = min(max(WINDOW, 64 * LANES // n), 512, longest - t)
         at = np.minimum(lane_begin[:n] + t + np.arange(steps)[:, None], len(stream) - 1)
         valid = (t + np.arange(steps)[:, None]) < loads[:n]
         found, h = states(model, inputs[at], fresh[at], h[:, :n])
         good = at[valid]
-        logs[good] = token_logs(model, found.transpose(0, 2, 1)[valid], stream[good])
+        logs[good] = token_logs(model, found.reshape(-1, HIDDEN)[valid.reshape(-1)], stream[good])
         t += steps
     out[listed] = np.add.reduceat(logs, begin)
     return out

@@ -21,7 +21,7 @@ from .texts import documents, flat, lowered, packed, runs, small_batches, white_
 #: Bytes of text whose words are counted together in a task.
 RUN = 8 << 20
 #: Frequent words that tasks know by heart; the counts of all others are joined.
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 #: Words longer than this are known by a space, which no word has, and their hash.
 LONG = 64
 SMOOTH = 0.1
@@ -218,10 +218,10 @@ def train_round(rows: DataFrame, model: gru.Params, squares: gru.Params) -> tupl
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(range(len(parts)), pa.int32()), "spread": pa.array([spread] * len(parts), pa.int32()),
                 "weight": pa.array([float(trainer.tokens)] * len(parts)), "loss": pa.array([trainer.loss] * len(parts)),
-                "sums": pa.array([(p.astype("<f8") * trainer.tokens).tobytes() for p in parts], pa.binary()),
+                "sums": pa.array([p.tobytes() for p in parts], pa.binary()),
             })
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], models: bool = False) -> Iterator[pa.RecordBatch]:
         key, weight, loss, sums = None, 0.0, 0.0, None
 
         def done() -> pa.RecordBatch:
@@ -236,14 +236,17 @@ def train_round(rows: DataFrame, model: gru.Params, squares: gru.Params) -> tupl
                     if key is not None:
                         yield done()
                     key, weight, loss, sums = (part, spread), 0.0, 0.0, 0.0
-                weight, loss, sums = weight + w, loss + lost, sums + np.frombuffer(s, "<f8")
+                own = np.frombuffer(s, "<f4").astype("<f8") * w if models else np.frombuffer(s, "<f8")
+                weight, loss, sums = weight + w, loss + lost, sums + own
         if key is not None:
             yield done()
 
     schema = "part int, spread int, weight double, loss double, sums binary"
     order = ["part", "spread", "weight", "loss", F.xxhash64("sums")]  # sums in one order, whatever task ended first
     learned = rows.select("ids").mapInArrow(learn, schema)
-    first = learned.repartition("part", "spread").sortWithinPartitions(*order).mapInArrow(add, schema)
+    first = learned.repartition("part", "spread").sortWithinPartitions(*order).mapInArrow(
+        lambda batches: add(batches, models=True), schema
+    )
     second = first.withColumn("spread", F.lit(0)).repartition("part").sortWithinPartitions(*order).mapInArrow(add, schema)
     found = sorted(second.collect(), key=lambda row: row.part)  # one row per block of the model
     shared.destroy()
