@@ -89,6 +89,25 @@ def test_interrupted_run_equals_one_run(spark, tmp_path):
     assert rows(spark, parts) == rows(spark, whole)
 
 
+@pytest.mark.parametrize("tokens_per_round", [15, 60])
+def test_rounds_read_the_corpus_once(spark, tmp_path, tokens_per_round):
+    """Texts are counted and dealt to rounds; no round goes back to the corpus, failures or not."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = make_corpus(spark, bad={4, 17, 30})
+    parts, whole = config(tmp_path / "parts", tokens_per_round=tokens_per_round), config(tmp_path / "whole")
+    collect(plain.mapInArrow(count, plain.schema), tokenizer, make_encoder, parts)
+    assert seen.value == 2 * 60
+    collect(plain, tokenizer, make_encoder, whole)
+    assert saved_checkpoints(spark, parts).select("round").distinct().count() >= 2
+    assert sorted(r[3:] for r in rows(spark, parts)) == sorted(r[3:] for r in rows(spark, whole))
+
+
 def test_a_round_that_was_not_committed_is_replaced(spark, tmp_path):
     """Rows written without their checkpoint are written over by the next run."""
     corpus, cfg = make_corpus(spark), config(tmp_path / "run", tokens_per_round=30)

@@ -86,6 +86,25 @@ def test_blank_documents_take_a_place_but_no_number(spark):
     assert found == {0: [0, 0, 1]}
 
 
+def test_chunk_numbers_read_their_source_once(spark):
+    """Token counts can be costly: every row is evaluated once, and the numbering scans what was written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("shard_id"), (F.col("id") / 3).cast("bigint").alias("pos_in_shard"),
+        F.lpad(F.col("id").cast("string"), 5, "0").alias("order_key"), F.lpad((F.col("id") / 20).cast("int").cast("string"), 3, "0").alias("bucket"),
+        (F.col("id") % 7).alias("n_tokens"),
+    )
+    chunked = assign_chunks(df.mapInArrow(count, df.schema), chunk_size=50)
+    assert chunked.where("chunk_id >= 0").count() == chunked.count() == 200 - 29
+    assert seen.value == 200
+
+
 def test_top_k_beyond_the_group_limit(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 < 2, 0).otherwise(1).alias("g"), F.pmod(F.hash("id"), F.lit(997)).alias("v"), "id"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .ordering import running
 
 CHUNK_SIZE = 100_000
@@ -79,34 +80,37 @@ def assign_chunks(
     else:
         start_tokens = start_chunk = F.lit(0).cast("bigint")
 
-    usable = sharded.where(F.col("n_tokens") > 0)
-    order = ("order_key", "doc_id")
-    summed = running(
-        usable,
-        bucket="bucket",
-        order=order,
-        by=("shard_id",),
-        sums={"new_tokens": F.col("n_tokens"), "doc_number": F.lit(1).cast("bigint")},
+    # Written once: token counts come from whole texts, and both scans below read narrow rows instead.
+    usable = stage(sharded.where(F.col("n_tokens") > 0), "usable")
+    keys, order = ("shard_id", "bucket"), ("order_key", "doc_id")
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("shard_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = usable.groupBy(*keys).agg(F.sum("n_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_docs"))
+    # One row per shard and bucket.
+    carried = totals.select(
+        *keys,
+        F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)).alias("_tokens_before"),
+        F.coalesce(F.sum("_docs").over(earlier), F.lit(0)).alias("_docs_before"),
     )
-    before = start_tokens + F.col("new_tokens") - F.col("n_tokens")
-    numbered = summed.withColumns({
-        "tokens_before": before,
-        "doc_number": F.col("doc_number") - 1,
-        "full_chunks": F.greatest(F.floor(before / chunk_size).cast("bigint"), start_chunk),
+    before = start_tokens + F.col("_tokens_before") + F.col("_new_tokens") - F.col("n_tokens")
+    placed = usable.select(
+        "*", F.sum("n_tokens").over(inside).alias("_new_tokens"), F.row_number().over(inside).cast("bigint").alias("_number")
+    ).join(carried, list(keys)).withColumns({
+        "tokens_before": before, "doc_number": F.col("_docs_before") + F.col("_number") - 1,
     })
-    slack = running(
-        numbered,
-        bucket="bucket",
-        order=order,
-        by=("shard_id",),
-        mins={"slack": F.col("full_chunks") - F.col("doc_number")},
-    )
-    chunked = slack.withColumn(
-        "chunk_id", F.col("doc_number") + F.least(start_chunk, F.col("slack"))
-    ).withColumn("cum_tokens", F.col("tokens_before") + F.col("n_tokens"))
+    full_chunks = F.greatest(F.floor(F.col("tokens_before") / chunk_size).cast("bigint"), start_chunk)
+    # The least slack of a bucket depends on the tokens before it only through the sum that was carried,
+    # so one more scan gives it for all buckets at once.
+    slack = full_chunks - F.col("doc_number")
+    least = placed.groupBy(*keys).agg(F.min(slack).alias("_least"))
+    least = least.select(*keys, F.min("_least").over(earlier).alias("_least_before"))
+    chunked = placed.withColumn("_slack", F.min(slack).over(inside)).join(least, list(keys)).withColumns({
+        "chunk_id": F.col("doc_number") + F.least(start_chunk, "_slack", "_least_before"),
+        "cum_tokens": F.col("tokens_before") + F.col("n_tokens"),
+    }).drop("_new_tokens", "_number", "_tokens_before", "_docs_before", "_slack", "_least_before")
     if tokens_per_shard is not None:
         chunked = chunked.where(F.col("tokens_before") < tokens_per_shard)
-    return chunked.drop("new_tokens", "full_chunks", "slack", *RESUME_COLUMNS[1:])
+    return chunked.drop(*RESUME_COLUMNS[1:])
 
 
 def chunk_memory_plan(

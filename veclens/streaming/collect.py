@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunking import check_chunk_size, document_counts
 from ..operators.corpus import shard_documents, shuffle_documents
 from ..operators.encode import Encoder
-from ..plans.collect import CollectConfig, metadata_rows, now, run_round, saved_checkpoints
+from ..plans.collect import CollectConfig, Texts, metadata_rows, now, run_round, saved_checkpoints
 from ..session import stage
 from ..sources.state import write_json
 
@@ -41,7 +41,7 @@ def stream_collect(
         counts = document_counts(batch, config.count(count))
         counted = stage(counts.select("doc_id", "n_tokens"), "counts")
         sharded = stage(shard_documents(shuffle_documents(counted, seed=config.seed), config.num_shards), "sharded")
-        run_round(session, config, batch, sharded, tokenizer, make_encoder, number, whole_input=True)
+        run_round(session, config, Texts(batch), sharded, tokenizer, make_encoder, number, whole_input=True)
 
     writer = corpus.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     trigger = {"processingTime": refresh} if refresh else {"availableNow": True}
