@@ -9,7 +9,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 
 
-@pytest.mark.parametrize("missing", ["veclens.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("missing", ["veclens.llm", "corpus_pipeline", "zstandard"])
 def test_entry_without_the_optional_part(missing):
     code = (
         f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e;"

@@ -103,15 +103,24 @@ def discard(path: str) -> None:
     store.delete(place, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a narrow intermediate table to the shared folder and read it back.
+def stage(df: DataFrame, name: str, *, compression: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
 
     Three effects: the work behind ``df`` runs once although several branches
     use it, a lost executor costs no recomputation, and Catalyst knows the
     table's true size, so it broadcasts the table only while it is under
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``. ``release`` deletes it.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Deletes tables that ``stage`` returned and that nothing reads any more."""
+    for df in staged:
+        discard(df.staged_at)
