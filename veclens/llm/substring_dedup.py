@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclens.session import stage
+from veclens.session import release, stage
 
 from . import query
 from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, ranges, runs, small_batches, span_hashes, whole
@@ -241,8 +241,10 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
     known = pairs.where(often).select(
         "key", "rep.row", "rep.sn", F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("rep"), F.lit(MANY + 1).alias("m")
     )
-    repeats = stage(_unpack(counted.unionByName(known)), "repeats")
-    whole_runs = repeats.where("c > 1").select("row", "start", "n").union(_unpack(certain).select("row", "start", "n"))
+    sure = certain.select("key", "row", "sn", F.lit(2).cast("bigint").alias("c"), F.lit(False).alias("rep"), F.lit(0).cast("bigint").alias("m"))
+    repeats = stage(_unpack(counted.unionByName(known).unionByName(sure)), "repeats")
+    release(found, pairs)
+    whole_runs = repeats.where("c > 1").select("row", "start", "n")
 
     # one segment of each content, where contents with the same key differ
     open_ = repeats.where("rep AND m > 1").select("key", "row", "start", "n", "c", (F.col("m") > MANY).alias("many"))
@@ -350,7 +352,7 @@ def drop_repeats(
     """
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), whole(text).alias("text"))
     # a row is known by its number, as ids may repeat; written, so that the number stays
-    source = stage(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    source = stage(source.withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
     spans = repeated_spans(source, length)
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = source.join(listed, "row", "left").select("id", "text", "spans.start", "spans.n")
