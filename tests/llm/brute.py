@@ -9,7 +9,7 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WHITE = " \t\n\x0b\x0c\r"
-CLASHES = ["id", "n", "h", "key", "th", "row", "size", "bytes", "bucket", "label", "node", "score", "name", "cell", "text_hash"]
+CLASHES = ["id", "n", "h", "key", "th", "row", "size", "bytes", "bucket", "label", "node", "score", "name", "cell", "text_hash", "_hash", "_n", "_copy", "_id", "_h", "_sha"]
 
 
 def long_text(seed: int, n: int) -> str:
@@ -34,7 +34,7 @@ def awkward_rows() -> list[tuple]:
 
 def awkward(spark):
     frame = spark.createDataFrame(awkward_rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    return frame.selectExpr("*", *[f"'clash' AS {name}" for name in CLASHES]).repartition(3)
+    return frame.selectExpr("*", *[f"'clash' AS {name}" for name in CLASHES], "map('k', 'v') AS tags").repartition(3)
 
 
 def empty(spark):

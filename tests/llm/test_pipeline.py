@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from test_mix_shard_rules import targets_by_hand
-from test_tokens import encode_by_hand, table  # noqa: F401 - a fixture
+from test_tokens import MODEL, encode_by_hand, table  # noqa: F401 - a fixture
 
-from veclens.llm import mixing, nbsvm
+from veclens.llm import mixing, nbsvm, pieces
 from veclens.llm.texts import flat
 
 
@@ -67,9 +67,12 @@ def test_pipeline_equals_plain_stages(spark, sf_dir, table):  # noqa: F811
     assert len(good) < len(rows)
     mixed = kept_of_near(kept_exactly(good))
     times = times_by_hand(mixed, labels)
+    taken = spark.createDataFrame([(row[1],) for row in mixed for _ in range(times[row[0]])], "text string")
+    scores = pieces.unigram_scores(taken, MODEL)
+    fitted = {piece: (i, scores[i]) for piece, (i, _) in table.items()}
     expected = []
     for row in mixed:
-        ids = encode_by_hand(row[1] or "", table)
+        ids = encode_by_hand(row[1] or "", fitted)
         one = (row[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((row[1] or "").encode()).hexdigest(), True, ids)
         expected += [one] * times[row[0]]
     got = [tuple(row) for row in corpus_pipeline.run(spark, sf_dir).collect()]
@@ -87,6 +90,17 @@ def test_stages_take_awkward_and_empty_tables(spark, sf_dir, number):
     assert function(spark, brute.empty(spark), sf_dir).count() == 0
 
 
+def test_extra_columns_keep_their_values(spark, sf_dir):
+    """Columns with the names a stage uses, and maps, come out as they went in."""
+    docs = brute.awkward(spark)
+    kept = {(row.doc_id, row.text) for row in docs.collect()}
+    for number in range(4):
+        out = corpus_pipeline.STAGES[number][1](spark, docs, sf_dir)
+        for row in out.collect():
+            assert (row.doc_id, row.text) in kept
+            assert all(row[name] == "clash" for name in brute.CLASHES) and row["tags"] == {"k": "v"}
+
+
 def test_one_row_of_repeated_rows_stays(spark, sf_dir):
     docs = brute.awkward(spark)
     kept = corpus_pipeline.exact(spark, docs, sf_dir).select("doc_id", "text").collect()
