@@ -3,6 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veclens.operators import corpus
 from veclens.operators.chunking import assign_chunks
 from veclens.operators.ordering import running, seeded_rank, top_k_per_group, with_order_key
 
@@ -105,6 +106,22 @@ def test_chunk_numbers_read_their_source_once(spark):
     assert seen.value == 200
 
 
+def test_vocabulary_of_many_rare_tokens(spark, monkeypatch):
+    """Tokens of one count and one beginning are ranked in blocks, and looked up whether frequent or rare."""
+    monkeypatch.setattr(corpus, "RANK_BLOCK", 256)
+    monkeypatch.setattr(corpus, "HEAD_TOKENS", 100)
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("aa"), F.md5(F.col("id").cast("string"))).alias("token"))
+    often = spark.range(900).select((F.col("id") + 60_000).alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("w"), (F.col("id") % 150).cast("string")).alias("token"))
+    both = rows.unionByName(often)
+    ids = {r["token"]: r["token_id"] for r in corpus.build_vocabulary(both).collect()}
+    counts = {r["token"]: r["count"] for r in both.groupBy("token").count().collect()}
+    assert [t for t, _ in sorted(ids.items(), key=lambda x: x[1])] == sorted(counts, key=lambda t: (-counts[t], t))
+    table = spark.createDataFrame([(t, i) for t, i in ids.items() if i % 7], "token STRING, token_id INT")
+    coded = corpus.encode_tokens(both, table, -1).select("token", "token_id").distinct().collect()
+    assert {r["token"]: r["token_id"] for r in coded} == {t: i if i % 7 else -1 for t, i in ids.items()}
+    assert corpus.encode_tokens(both, table, -1).count() == 60_900
+
+
 def test_top_k_beyond_the_group_limit(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 < 2, 0).otherwise(1).alias("g"), F.pmod(F.hash("id"), F.lit(997)).alias("v"), "id"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veclens.functions.text import chunk_name, human_readable_size
 from veclens.operators import chunking, corpus, monitor, verify
-from veclens.sources import npy, state, tables
+from veclens.sources import logs, npy, state, tables
 
 
 def write_shard(root, shard, chunks, dtype=np.float16):
@@ -106,13 +106,44 @@ def test_logs_in_file_order(spark, tmp_path):
     (tmp_path / "shard0.log").write_bytes(b"fine\nERROR one\nall good\nWarning two \t\nException \xff three\nfine\n")
     (tmp_path / "shard1.log").write_text("nothing\n")
     (tmp_path / "other.txt").write_text("error\n")
-    lines = state.read_logs(spark, str(tmp_path))
+    lines = logs.read_logs(spark, str(tmp_path))
+    assert sorted((r["shard_id"], r["line_no"]) for r in lines.collect()) == [(0, i) for i in range(6)] + [(1, 0)]
     assert [r["line"] for r in monitor.error_tail(lines).collect()] == ["Warning two", "Exception  three"]
     assert monitor.any_errors(lines).first()[0] is True
     assert monitor.any_errors(lines.where("shard_id = 1")).first()[0] is False
     assert monitor.any_errors(lines.where("shard_id = 9")).first()[0] is False
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_logs_in_blocks_and_from_the_end(spark, tmp_path, monkeypatch, block):
+    """Blocks of any size give every line once with its number, and the same last problems as a whole read."""
+    rng = np.random.default_rng(block)
+    words = ["fine", "ERROR x", "", "a warning \t", "é" * 9, "Exception", "long " * 30]
+    bodies = {
+        0: "\n".join(rng.choice(words, 60)) + "\n", 1: "no end", 2: "", 3: "\n\n\n", 4: "error first\n" + "x\n" * 200, 5: "\n".join(rng.choice(words, 9)),
+    }
+    for shard, body in bodies.items():
+        (tmp_path / f"shard{shard}_run.log").write_text(body)
+    monkeypatch.setattr(logs, "STEP_BYTES", 5)
+    expected, tail = [], []
+    for shard, body in bodies.items():
+        lines = body.split("\n")[:-1] if body.endswith("\n") or not body else body.split("\n")
+        expected += [(shard, i, line) for i, line in enumerate(lines)]
+        bad = [line.rstrip() for line in lines if any(w in line.lower() for w in monitor.ERROR_WORDS)]
+        tail += [(shard, n, line) for n, line in enumerate(reversed(bad[-2:]), 1)]
+    got = logs.read_logs(spark, str(tmp_path), block_bytes=block).collect()
+    assert sorted(map(tuple, got)) == expected
+    found = logs.log_tail(spark, str(tmp_path), block_bytes=block).collect()
+    assert sorted((r["shard_id"], r["from_end"], r["line"]) for r in found) == tail
+    for r in found:
+        assert bodies[r["shard_id"]].encode()[r["position"] :].decode().startswith(r["line"])
+
+
+def test_no_logs(spark, tmp_path):
+    assert logs.read_logs(spark, str(tmp_path / "none")).count() == 0
+    assert logs.log_tail(spark, str(tmp_path)).count() == 0
+
+
 def test_sizes(spark, tmp_path):
     for shard, size in ((0, 100), (1, 2048)):
         (tmp_path / f"shard{shard}").mkdir()
@@ -159,3 +190,58 @@ def test_arrays_are_cut_to_the_shorter(spark):
     df = spark.createDataFrame([([[1.0], [2.0], [3.0]], [7, 8])], "vectors ARRAY<ARRAY<DOUBLE>>, token_ids ARRAY<INT>")
     row = df.withColumns(chunking.align_arrays()).first()
     assert (len(row["vectors"]), row["token_ids"]) == (2, [7, 8])
+
+
+def test_files_are_split_by_size_alone(tmp_path, monkeypatch):
+    """The listing opens no file; parts of a file hold all its rows once, and a bad file is one error row."""
+    folder = tmp_path / "shard3" / "activations"
+    folder.mkdir(parents=True)
+    x = np.arange(700, dtype=np.float16).reshape(100, 7)
+    np.save(folder / "chunk_0000.npy", x)
+    np.save(folder / "chunk_0001.npy", x[:0])
+    (folder / "chunk_0002.npy").write_bytes(b"no array" * 100)
+    (folder / "chunk_0003.npy.part1").write_bytes(b"left over")
+    monkeypatch.setattr(npy, "SLICE_BYTES", 400)
+    reader = npy.NpyReader([str(tmp_path / "shard3")], "activations")
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "load", None)
+        patch.setattr("builtins.open", None)
+        slices = reader.partitions()
+    assert [s.chunk_id for s in slices] == [0] * 4 + [1] + [2] * 2
+    rows = [row for s in slices for batch in reader.read(s) for row in batch.to_pylist()]
+    good = [row for row in rows if row["error"] is None]
+    assert [row["row_in_chunk"] for row in good] == list(range(100))
+    assert [row["activation"] for row in good] == x.astype(float).tolist()
+    assert [row["chunk_id"] for row in rows if row["error"] is not None] == [2]
+
+
+def test_chunks_grow_by_batches(tmp_path):
+    """Both files of a chunk grow with every batch; a task that fails leaves no file."""
+    import pyarrow as pa
+
+    x = np.arange(60, dtype=np.float32).reshape(20, 3)
+    chunks = [0] * 7 + [1] * 6 + [2] * 7
+
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({
+            "shard_id": pa.array([4] * len(rows), pa.int32()), "chunk_id": pa.array([chunks[i] for i in rows], pa.int32()),
+            "token_id": pa.array(list(rows), pa.int32()), "activation": pa.array([x[i] for i in rows], pa.list_(pa.float32())),
+        })
+
+    writer = npy.NpyWriter(str(tmp_path))
+    batches = [batch(range(5)), batch(range(0)), batch(range(5, 9)), batch(range(9, 20))]
+    writer.commit([writer.write(iter(batches)), None])
+    for chunk in range(3):
+        rows = [i for i in range(20) if chunks[i] == chunk]
+        stored = np.load(tmp_path / "shard4" / "activations" / f"chunk_{chunk:04d}.npy")
+        assert stored.dtype == np.float16 and stored.tolist() == x[rows].tolist()
+        ids = np.load(tmp_path / "shard4" / "token_ids" / f"chunk_{chunk:04d}.npy")
+        assert ids.dtype == np.int32 and ids.tolist() == rows
+
+    def broken():
+        yield batch(range(5))
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        npy.NpyWriter(str(tmp_path / "again")).write(broken())
+    assert not [file for file in (tmp_path / "again").rglob("*") if file.is_file()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from ..functions.vectors import to_half
@@ -22,7 +24,10 @@ WITH {fx.ROWS_SQL} SELECT shard_id, chunk_id, row_in_chunk, unnest(embedding)::D
                           generate_subscripts(embedding, 1) - 1 AS dim FROM rows
 """)
 def activation_scan(spark, sf_dir):
-    rows = fx.chunk_rows(spark, sf_dir)
+    """Vectors of several shard folders, read as one table."""
+    path = staging_path(spark, "vectors")
+    fx.chunk_rows(spark, sf_dir).select("shard_id", "chunk_id", "row_in_chunk", "activation").write.partitionBy("shard_id").parquet(path)
+    rows = tables.read_shards(spark, [f"{path}/shard_id={shard}" for shard in range(fx.NUM_SHARDS)])
     values = rows.select("shard_id", "chunk_id", "row_in_chunk", F.posexplode("activation").alias("dim", "value"))
     return wide(values.withColumn("value", F.col("value").cast("double")))
 
@@ -118,6 +123,33 @@ def chunk_catalog(spark, sf_dir):
     return wide(chunking.chunk_catalog(fx.chunk_rows(spark, sf_dir)))
 
 
+@check("chunk_catalog_paths", f"""
+WITH {fx.ROWS_SQL}, {fx.CATALOG_SQL}
+SELECT shard_id, chunk_id, 'shard_id=' || shard_id || '/chunk_id=' || chunk_id AS path, size FROM catalog
+""")
+def chunk_catalog_paths(spark, sf_dir):
+    """The catalog of stored chunks with the file of each."""
+    path = staging_path(spark, "chunks")
+    tables.write_chunks(fx.chunk_rows(spark, sf_dir).drop("vec_id", "label"), path)
+    catalog = chunking.chunk_catalog(tables.read_chunks(spark, path), path=F.col("_metadata.file_path"))
+    folder = F.regexp_extract("path", r"(shard_id=\d+/chunk_id=\d+)/[^/]+\.parquet$", 1)
+    return wide(catalog.select("shard_id", "chunk_id", folder.alias("path"), "size"))
+
+
+@check("missing_shards", f"""
+WITH {fx.ROWS_SQL} SELECT shard_id, chunk_id, row_in_chunk, token_id FROM rows WHERE shard_id <> 1
+""")
+def missing_shards(spark, sf_dir):
+    """All shards are asked for, one of them was never written; the others are read."""
+    path = staging_path(spark, "shards")
+    rows = fx.chunk_rows(spark, sf_dir).where("shard_id <> 1").select("shard_id", "chunk_id", "row_in_chunk", "token_id")
+    rows.write.partitionBy("shard_id").parquet(path)
+    asked = [f"{path}/shard_id={shard}" for shard in range(fx.NUM_SHARDS)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return wide(tables.read_shards(spark, asked).select("shard_id", "chunk_id", "row_in_chunk", "token_id"))
+
+
 @check("global_index", f"WITH {fx.ROWS_SQL} SELECT vec_id, token_idx FROM rows")
 def global_index(spark, sf_dir):
     return fx.activations(spark, sf_dir).select("vec_id", "token_idx")

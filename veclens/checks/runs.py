@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import to_half
 from ..operators import monitor, verify
 from ..session import staging_path
-from ..sources import npy, tables
+from ..sources import logs, npy, tables
 from . import check
 from . import fixtures as fx
 from .chunks import wide
@@ -263,6 +264,43 @@ def error_tail(spark, sf_dir):
     return wide(monitor.error_tail(log_lines(spark, sf_dir)))
 
 
+TAIL_SQL = f"""
+WITH {LINES_SQL}
+SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY line_no DESC) AS from_end, rtrim(line) AS line FROM problems
+QUALIFY from_end <= {monitor.TAIL}
+"""
+
+
+def log_folder(spark, sf_dir):
+    """The events as shard log files."""
+    path = staging_path(spark, "shard-logs")
+    logs.write_logs(log_lines(spark, sf_dir), path)
+    return path
+
+
+@check("error_tail_logs", TAIL_SQL)
+def error_tail_logs(spark, sf_dir):
+    """The last problems of shard logs that many tasks read in blocks."""
+    tail = monitor.error_tail(logs.read_logs(spark, log_folder(spark, sf_dir), block_bytes=256 << 10))
+    newest = Window.partitionBy("shard_id").orderBy(F.desc("line_no"))  # a few lines per shard
+    return wide(tail.select("shard_id", F.row_number().over(newest).alias("from_end"), "line"))
+
+
+@check("log_tail", TAIL_SQL)
+def log_tail(spark, sf_dir):
+    """The same from the ends of the files, which are read backward until enough is found."""
+    return wide(logs.log_tail(spark, log_folder(spark, sf_dir)).select("shard_id", "from_end", "line"))
+
+
+@check("log_lines", f"""
+WITH {LINES_SQL}
+SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY line_no) - 1 AS line_no, line FROM lines
+""")
+def numbered_log_lines(spark, sf_dir):
+    """Every line of the logs with its number in the file."""
+    return wide(logs.read_logs(spark, log_folder(spark, sf_dir), block_bytes=256 << 10))
+
+
 @check("any_errors", f"WITH {LINES_SQL} SELECT count(*) > 0 AS any_errors FROM problems")
 def any_errors(spark, sf_dir):
     return monitor.any_errors(log_lines(spark, sf_dir))

@@ -132,13 +132,16 @@ def check_chunk_size(chunk_size: int, d_model: int, limit: int = MAX_CHUNK_TOKEN
         )
 
 
-def chunk_catalog(rows: DataFrame) -> DataFrame:
+def chunk_catalog(rows: DataFrame, path: Column | None = None) -> DataFrame:
     """Size and index range of every chunk, shards and chunks in order.
 
+    ``path`` gives the file of a row, such as ``_metadata.file_path``; the
+    catalog then has each chunk's, the first one of a chunk in several files.
     ``chunk_number`` counts chunks over all shards. The windows run over one
     row per chunk, per shard first, then over one row per shard.
     """
-    sizes = rows.groupBy("shard_id", "chunk_id").agg(F.count("*").alias("size"))
+    named = [] if path is None else [F.min(path).alias("path")]
+    sizes = rows.groupBy("shard_id", "chunk_id").agg(F.count("*").alias("size"), *named)
     inside = Window.partitionBy("shard_id").orderBy("chunk_id")
     shard_sizes = sizes.groupBy("shard_id").agg(
         F.sum("size").alias("shard_rows"), F.count("*").alias("shard_chunks")
@@ -161,6 +164,7 @@ def chunk_catalog(rows: DataFrame) -> DataFrame:
         "size",
         (F.col("shard_start") + F.col("upto") - F.col("size")).alias("start_idx"),
         (F.col("shard_start") + F.col("upto")).alias("end_idx"),
+        *([] if path is None else ["path"]),
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .ordering import BUCKET_DIGITS, running, seeded_rank
 
+#: Tokens that are ranked together, a power of two, and frequent ones that are looked up from a broadcast.
+RANK_BLOCK, HEAD_TOKENS = 4096, 50_000
+
 
 def read_corpus(
     spark: SparkSession,
@@ -95,31 +98,53 @@ def build_vocabulary(token_rows: DataFrame, size: int | None = None) -> DataFram
     """All tokens, numbered from 0 by count, then text; or the ``size`` most frequent.
 
     The count combines before its shuffle, so a token that makes up a third of
-    the corpus costs one row per map task. All tokens are ranked inside buckets
-    of equal counts and first characters, so no task ranks the vocabulary;
-    ``size`` kept rows are ranked in one.
+    the corpus costs one row per map task. All tokens are put in order by
+    ranges and ranked in blocks of ``RANK_BLOCK`` of them, whatever their counts
+    and letters; ``size`` kept rows are ranked in one task.
     """
     counted = token_rows.groupBy("token").agg(F.count("*").alias("n"))
     if size is None:
-        rare_last = F.lpad((F.lit(1 << 62) - F.col("n")).cast("string"), 19, "0")
-        first = F.hex(F.encode(F.substring("token", 1, 2), "UTF-8"))
-        counted = stage(counted.withColumn("bucket", F.concat(rare_last, first)), "token-counts")
-        ranked = running(counted, bucket="bucket", order=("token",), sums={"rank": F.lit(1).cast("bigint")})
+        order = (F.desc("n"), F.asc("token"))
+        parts = int(token_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        placed = stage(ordered.withColumn("place", F.monotonically_increasing_id()), "token-counts")
+        blocks = placed.withColumn("bucket", F.expr(f"shiftright(place, {RANK_BLOCK.bit_length() - 1})"))
+        ranked = running(blocks, bucket="bucket", order=("place",), sums={"rank": F.lit(1).cast("bigint")})
         return ranked.select("token", (F.col("rank") - 1).cast("int").alias("token_id"))
     kept = counted.orderBy(F.desc("n"), "token").limit(size)
     number = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1
     return kept.select("token", number.cast("int").alias("token_id"))
 
 
+def frequent(vocabulary: DataFrame) -> DataFrame:
+    """The head of a vocabulary that is numbered by count; numbers are unique, so ``HEAD_TOKENS`` bounds its broadcast."""
+    return F.broadcast(vocabulary.where(F.col("token_id").between(0, HEAD_TOKENS - 1)))
+
+
+def coded_tokens(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Adds ``token_id``, null for tokens outside the vocabulary.
+
+    Frequent tokens, most of a text, get theirs from a broadcast; only the rare
+    ones are shuffled to the rest of the vocabulary. So no task gets all the
+    rows of a frequent token.
+    """
+    looked_up = token_rows.join(frequent(vocabulary), "token", "left")
+    known = looked_up.where(F.col("token_id").isNotNull())
+    rest = vocabulary.where(~F.col("token_id").between(0, HEAD_TOKENS - 1))
+    rare = looked_up.where(F.col("token_id").isNull()).drop("token_id").join(rest, "token", "left")
+    return known.unionByName(rare)
+
+
 def encode_tokens(token_rows: DataFrame, vocabulary: DataFrame, unknown_id: int) -> DataFrame:
     """Adds ``token_id``; tokens outside the vocabulary get ``unknown_id``."""
-    joined = token_rows.join(vocabulary, "token", "left")
-    return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unknown_id).cast("int")))
+    coded = coded_tokens(token_rows, vocabulary)
+    return coded.withColumn("token_id", F.coalesce("token_id", F.lit(unknown_id).cast("int")))
 
 
 def document_ids(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``doc_id`` and its ``token_ids`` in order, by a join with the vocabulary."""
-    coded = token_rows.join(vocabulary, "token").groupBy("doc_id").agg(
+    known = coded_tokens(token_rows, vocabulary).where(F.col("token_id").isNotNull())
+    coded = known.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("coded")
     )
     return coded.select("doc_id", F.col("coded.token_id").alias("token_ids"))

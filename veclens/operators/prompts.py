@@ -45,13 +45,20 @@ def feature_totals(model: SaeModel, df: DataFrame, prompt: str = "prompt_id") ->
 
 
 def prompt_summary(model: SaeModel, df: DataFrame, prompt: str = "prompt_id") -> DataFrame:
-    """Mean L0, number of different features, and reconstruction error."""
-    errors = model.row_metrics(df, [prompt]).groupBy(prompt).agg(
-        F.avg("l0").alias("mean_l0"),
-        (F.avg("squared_error") / model.parameters.d_model).alias("recon_mse"),
+    """Mean L0, number of different features, and reconstruction error.
+
+    One pass: a task gives sums and a bitmap of the features it has seen, for
+    each of its prompts, and Spark adds the sums and joins the bitmaps. A prompt
+    that holds a third of all tokens sends one row per task.
+    """
+    parts = model.group_partials(df, prompt).groupBy(prompt, "bucket").agg(
+        F.bitmap_or_agg("seen").alias("seen"), *[F.sum(name).alias(name) for name in ("n", "l0", "squared_error")]
+    )
+    return parts.groupBy(prompt).agg(
+        (F.sum("l0") / F.sum("n")).alias("mean_l0"),
+        (F.sum("squared_error") / F.sum("n") / model.parameters.d_model).alias("recon_mse"),
+        F.sum(F.bitmap_count("seen")).alias("n_features"),
     )
-    distinct = feature_totals(model, df, prompt).groupBy(prompt).agg(F.count("*").alias("n_features"))
-    return errors.join(distinct, prompt, "left").fillna(0, ["n_features"])
 
 
 def prompt_top_features(model: SaeModel, df: DataFrame, k: int = TOP_FEATURES, prompt: str = "prompt_id") -> DataFrame:

@@ -40,6 +40,9 @@ ROWS_PER_STEP = 2048
 MODEL_BLOCK_BYTES = 64 << 20
 ALL_ROWS = -1
 MEAN_GROUP = 1024
+#: Fixed value: the features of one of Spark's bitmaps.
+BITMAP_FEATURES = 32_768
+GROUPS_HELD = 512
 
 FEATURES = T.ArrayType(
     T.StructType([T.StructField("feature_id", T.IntegerType()), T.StructField("act", T.DoubleType())])
@@ -558,6 +561,67 @@ class SaeModel(Model):
         ]
         return self._run(df, keys, column, fields, emit, decoder=True)
 
+    def group_partials(self, df: DataFrame, key: str, column: str = "activation") -> DataFrame:
+        """Per task, group and bucket of features: ``bucket, seen``, a bitmap of the active ones, and sums.
+
+        ``n, l0, squared_error`` stand in the row of bucket 0 and are 0 in others.
+        Bitmaps are those of ``bitmap_or_agg``: 32,768 features each. A task
+        hands over what it has after ``GROUPS_HELD`` groups, so it holds a bounded number.
+        """
+        load = self._shared(df.sparkSession, decoder=True)
+        width, dtype, d_sae = self.parameters.d_model, self.parameters.dtype, self.parameters.d_sae
+        normalize, apply_b_dec = self.parameters.normalize_activations, self.parameters.apply_b_dec_to_input
+        narrow = df.select(F.col(key), column)
+        n_buckets = -(-d_sae // BITMAP_FEATURES)
+
+        def emit(groups: dict, key_type) -> pa.RecordBatch:
+            keys, buckets, bitmaps, sums = [], [], [], []
+            for group, (total, seen) in groups.items():
+                bits = np.packbits(seen, bitorder="little").reshape(n_buckets, -1)
+                for b in range(n_buckets):
+                    if b == 0 or bits[b].any():
+                        keys.append(group)
+                        buckets.append(b)
+                        bitmaps.append(bits[b].tobytes())
+                        sums.append(total if b == 0 else np.zeros(3))
+            sums = np.array(sums).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type), pa.array(buckets, pa.int32()), pa.array(bitmaps, pa.binary()),
+                 pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2])],
+                [key, "bucket", "seen", "n", "l0", "squared_error"],
+            )
+
+        def run(batches):
+            weights, groups, key_type = load(), {}, None
+            for batch in steps(batches):
+                if not batch.num_rows:
+                    continue
+                key_type = batch.schema.field(0).type
+                x = to_matrix(batch.column(1), width, dtype)
+                rows, features, values = active_cells(centre(x, weights, normalize, apply_b_dec), weights)
+                error = ((sparse_decode(len(x), rows, features, values, weights) - x).astype(np.float64) ** 2).sum(axis=1)
+                l0 = np.bincount(rows, minlength=len(x))
+                coded = batch.column(0).dictionary_encode("encode")
+                owner = coded.indices.to_numpy()
+                order = np.argsort(owner[rows], kind="stable")
+                ends = np.cumsum(np.bincount(owner[rows], minlength=len(coded.dictionary)))
+                figures = np.stack([np.bincount(owner, w, len(coded.dictionary)) for w in (None, l0, error)], axis=1)
+                for i, group in enumerate(coded.dictionary.to_pylist()):
+                    if group not in groups:
+                        if len(groups) == GROUPS_HELD:
+                            yield emit(groups, key_type)
+                            groups = {}
+                        groups[group] = (np.zeros(3), np.zeros(n_buckets * BITMAP_FEATURES, bool))
+                    total, seen = groups[group]
+                    total += figures[i]
+                    seen[features[order[ends[i - 1] if i else 0 : ends[i]]]] = True
+            if groups:
+                yield emit(groups, key_type)
+
+        schema = T.StructType([narrow.schema[key], *T._parse_datatype_string(
+            "bucket INT, seen BINARY, n BIGINT, l0 BIGINT, squared_error DOUBLE").fields])
+        return narrow.mapInArrow(run, schema)
+
     def decode(self, df: DataFrame, keys: Sequence[str], column: str = "features") -> DataFrame:
         """The keys and ``reconstruction`` from sparse ``features``."""
         load = self._shared(df.sparkSession, decoder=True)

@@ -1,8 +1,10 @@
 """Spark data source for ``.npy`` chunk files.
 
 A shard folder holds ``activations/chunk_NNNN.npy`` (float16 matrices) and
-``token_ids/chunk_NNNN.npy`` (int32 vectors). Files are mapped, not loaded,
-and large ones are split by rows, so a chunk of many GB feeds many tasks.
+``token_ids/chunk_NNNN.npy`` (int32 vectors). The driver lists files and their
+sizes; headers are read by the tasks. Files are mapped, not loaded, and large
+ones are split by rows, so a chunk of many GB feeds many tasks. Rows come and
+go as Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..schemas import NPY_ROWS, NPY_TOKENS, column_names
@@ -26,17 +28,19 @@ from ..schemas import NPY_ROWS, NPY_TOKENS, column_names
 SLICE_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
 FOLDERS = {"activations": NPY_ROWS, "token_ids": NPY_TOKENS}
+CHUNK_NAME = re.compile(r"chunk_(\d+)\.npy")
 DTYPES = {"activations": "float16", "token_ids": "int32"}
 
 
 @dataclass
 class Slice(InputPartition):
+    """Part ``part`` of ``parts`` equal ones of a file; its rows follow from the header, which the task reads."""
+
     path: str
     shard_id: int
     chunk_id: int
-    start: int
-    stop: int
-    error: str | None = None
+    part: int
+    parts: int
 
 
 @dataclass
@@ -68,30 +72,28 @@ class NpyReader(DataSourceReader):
             if not directory.exists():
                 warnings.warn(f"{directory} does not exist, skipping", stacklevel=2)
                 continue
-            for file in sorted(directory.glob("chunk_*.npy")):
-                slices += self.file_slices(file, shard_of(folder))
+            for file in sorted(os.scandir(directory), key=lambda entry: entry.name):
+                if CHUNK_NAME.fullmatch(file.name):
+                    slices += self.file_slices(file, shard_of(folder))
         if not slices:
             raise ValueError(f"no {self.kind} chunks found in {self.folders}")
         return slices
 
-    def file_slices(self, file: Path, shard_id: int) -> list[Slice]:
-        """Row ranges of a file, from its header alone."""
-        chunk_id = int(file.stem.split("_")[1])
-        try:
-            mapped = np.load(file, mmap_mode="r")
-            wanted = 2 if self.kind == "activations" else 1
-            if mapped.ndim != wanted:
-                raise ValueError(f"expected {wanted}D, got {mapped.ndim}D")
-            if self.kind == "token_ids" and mapped.dtype.kind not in "iu":
-                raise ValueError(f"expected integers, got {mapped.dtype}")
-        except Exception as problem:  # noqa: BLE001 - a bad file becomes an error row
-            return [Slice(str(file), shard_id, chunk_id, 0, 0, str(problem) or type(problem).__name__)]
-        rows = len(mapped)
-        step = max(1, SLICE_BYTES // max(1, mapped.nbytes // max(1, rows)))
-        return [
-            Slice(str(file), shard_id, chunk_id, start, min(start + step, rows))
-            for start in range(0, rows, step)
-        ]
+    def file_slices(self, file: os.DirEntry, shard_id: int) -> list[Slice]:
+        """Parts of a file by its size alone; nothing is opened."""
+        parts = max(1, -(-file.stat().st_size // SLICE_BYTES))
+        chunk_id = int(CHUNK_NAME.fullmatch(file.name).group(1))
+        return [Slice(file.path, shard_id, chunk_id, part, parts) for part in range(parts)]
+
+    def opened(self, partition: Slice) -> np.ndarray:
+        """The mapped file, if it holds what its folder should."""
+        mapped = np.load(partition.path, mmap_mode="r")
+        wanted = 2 if self.kind == "activations" else 1
+        if mapped.ndim != wanted:
+            raise ValueError(f"expected {wanted}D, got {mapped.ndim}D")
+        if self.kind == "token_ids" and mapped.dtype.kind not in "iu":
+            raise ValueError(f"expected integers, got {mapped.dtype}")
+        return mapped
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         names = column_names(FOLDERS[self.kind])
@@ -108,14 +110,17 @@ class NpyReader(DataSourceReader):
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        if partition.error is not None:
-            yield rows(1, pa.nulls(1, vector), 0, None, partition.error)
+        try:
+            mapped = self.opened(partition)
+        except Exception as problem:  # noqa: BLE001 - a bad file becomes one error row
+            if partition.part == 0:
+                yield rows(1, pa.nulls(1, vector), 0, None, str(problem) or type(problem).__name__)
             return
-        mapped = np.load(partition.path, mmap_mode="r")
+        first, last = (len(mapped) * part // partition.parts for part in (partition.part, partition.part + 1))
         per_row = max(1, mapped.nbytes // max(1, len(mapped)))
         step = max(1, BATCH_BYTES // per_row)
-        for start in range(partition.start, partition.stop, step):
-            block = np.asarray(mapped[start:min(start + step, partition.stop)])
+        for start in range(first, last, step):
+            block = np.asarray(mapped[start:min(start + step, last)])
             n = len(block)
             if self.kind == "activations":
                 width = block.shape[1]
@@ -127,47 +132,77 @@ class NpyReader(DataSourceReader):
             yield rows(n, values, start, str(mapped.dtype), None)
 
 
-class NpyWriter(DataSourceWriter):
-    """Writes each chunk a task receives to one file; see ``write_npy``."""
+class ChunkFile:
+    """One ``.npy`` file that grows by blocks of rows; its name and row count come last."""
+
+    def __init__(self, target: Path, dtype: str):
+        target.parent.mkdir(parents=True, exist_ok=True)
+        self.target, self.dtype = target, np.dtype(dtype)
+        self.partial = target.with_suffix(f".part{os.getpid()}-{os.urandom(4).hex()}")
+        self.sink, self.rows, self.shape = open(self.partial, "wb"), 0, None
+
+    def header(self) -> None:
+        # numpy leaves room for a longer first axis, so the header can be written again in place
+        described = {"descr": np.lib.format.dtype_to_descr(self.dtype), "fortran_order": False, "shape": (self.rows, *(self.shape or ()))}
+        self.sink.seek(0)
+        np.lib.format.write_array_header_1_0(self.sink, described)
 
-    def __init__(self, root: str, kind: str):
-        self.root, self.kind = root, kind
+    def add(self, block: np.ndarray) -> None:
+        if self.shape is None:
+            self.shape = block.shape[1:]
+            self.header()
+        if block.shape[1:] != self.shape:
+            raise ValueError(f"{self.target.name}: rows of {block.shape[1:]} after rows of {self.shape}")
+        self.sink.write(np.ascontiguousarray(block, dtype=self.dtype).data)
+        self.rows += len(block)
 
-    def write(self, iterator: Iterator) -> Written:
-        files, current, sink, count, shape = [], None, None, 0, ()
+    def close(self) -> tuple[str, str]:
+        self.header()
+        self.sink.close()
+        return str(self.partial), str(self.target)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; all its rows have one width."""
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or len(np.unique(widths)) > 1:
+        raise ValueError("the vectors of a chunk must have one width")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Writes both files of each chunk that a task receives, batch by batch; see ``write_npy``."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        done: list[tuple[str, str]] = []
+        current, files = None, {}
         try:
-            for row in iterator:
-                chunk = (row["shard_id"], row["chunk_id"])
-                if chunk != current:
-                    if sink is not None:
-                        self.close(sink, count, shape)
-                    current, count = chunk, 0
-                    target = local_path(self.root) / f"shard{chunk[0]}" / self.kind / f"chunk_{chunk[1]:04d}.npy"
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    partial = target.with_suffix(f".part{os.getpid()}-{os.urandom(4).hex()}")
-                    files.append((str(partial), str(target)))
-                    sink = open(partial, "wb")
-                    self.header(sink, 0, ())
-                values = np.asarray(row["activation" if self.kind == "activations" else "token_id"])
-                shape = values.shape
-                sink.write(values.astype(DTYPES[self.kind]).tobytes())
-                count += 1
-            if sink is not None:
-                self.close(sink, count, shape)
+            for batch in iterator:
+                shards, chunks = (batch.column(name).to_numpy() for name in ("shard_id", "chunk_id"))
+                edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(chunks) != 0)) + 1
+                for first, last in zip([0, *edges], [*edges, len(batch)]):
+                    if first == last:
+                        continue
+                    chunk = (int(shards[first]), int(chunks[first]))
+                    if chunk != current:
+                        done += [file.close() for file in files.values()]
+                        current, files = chunk, {kind: self.file(chunk, kind) for kind in FOLDERS}
+                    part = batch.slice(first, last - first)
+                    files["activations"].add(matrix_of(part.column("activation")))
+                    files["token_ids"].add(part.column("token_id").to_numpy())
+            done += [file.close() for file in files.values()]
+            files = {}
         finally:
-            if sink is not None:
-                sink.close()
-        return Written(files)
+            for file in files.values():
+                file.sink.close()
+                file.partial.unlink(missing_ok=True)
+        return Written(done)
 
-    def header(self, sink, count: int, shape: tuple) -> None:
-        """A version 1 header of fixed length, so the row count can be set last."""
-        described = f"{{'descr': '{np.dtype(DTYPES[self.kind]).str}', 'fortran_order': False, 'shape': {(count, *shape)!r}, }}"
-        sink.seek(0)
-        sink.write(b"\x93NUMPY\x01\x00" + (118).to_bytes(2, "little") + described.ljust(117).encode("latin1") + b"\n")
-
-    def close(self, sink, count: int, shape: tuple) -> None:
-        self.header(sink, count, shape)
-        sink.close()
+    def file(self, chunk: tuple[int, int], kind: str) -> ChunkFile:
+        return ChunkFile(local_path(self.root) / f"shard{chunk[0]}" / kind / f"chunk_{chunk[1]:04d}.npy", DTYPES[kind])
 
     def commit(self, messages) -> None:
         for message in messages:
@@ -195,7 +230,7 @@ class NpyDataSource(DataSource):
         return NpyReader(shards.split(","), self.options.get("kind", "activations"))
 
     def writer(self, schema: StructType, overwrite: bool) -> NpyWriter:
-        return NpyWriter(self.options["path"], self.options.get("kind", "activations"))
+        return NpyWriter(self.options["path"])
 
 
 def read_npy(spark: SparkSession, shards: list[str], kind: str = "activations") -> DataFrame:
@@ -207,15 +242,12 @@ def read_npy(spark: SparkSession, shards: list[str], kind: str = "activations")
 def write_npy(df: DataFrame, root: str) -> None:
     """Writes ``activation`` and ``token_id`` as aligned chunk files.
 
-    The two sides are written from one clustering: a chunk's rows meet in one
-    task in row order, are appended to the file one by one, and the file gets
-    its name only when the job commits.
+    Both come from one shuffle: a chunk's rows meet in one task in row order,
+    are appended to its two files block by block, and the files get their names
+    only when the job commits.
     """
-    spark = df.sparkSession
-    spark.dataSource.register(NpyDataSource)
+    df.sparkSession.dataSource.register(NpyDataSource)
     ordered = df.repartition("shard_id", "chunk_id").sortWithinPartitions("shard_id", "chunk_id", "row_in_chunk")
-    for kind, column in (("activations", "activation"), ("token_ids", "token_id")):
-        (
-            ordered.select(F.col("shard_id").cast("int"), F.col("chunk_id").cast("int"), column)
-            .write.format("npychunks").option("kind", kind).mode("append").save(root)
-        )
+    columns = [F.col(name).cast("int").alias(name) for name in ("shard_id", "chunk_id", "token_id")]
+    vectors = F.col("activation").cast("array<float>").alias("activation")
+    ordered.select(*columns, vectors).write.format("npychunks").mode("append").save(root)
