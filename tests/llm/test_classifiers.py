@@ -112,3 +112,61 @@ def test_longer_texts_score_lower():
     automaton = lexicon.automaton()
     short, long = (np.array([lexicon.features("idiot " + "word " * n, automaton)]) for n in (5, 5000))
     assert lexicon.score(short)[0] > lexicon.score(long)[0]
+
+
+def plain_score(lexicon, text):
+    """The score of one text by looking at every word and every phrase, without an automaton."""
+    import unicodedata
+
+    table = toxicity.HOMOGLYPHS | toxicity.DIGITS
+    text = unicodedata.normalize("NFKC", text or "").lower()
+    text = "".join("" if c in toxicity.INVISIBLE else " " if c in toxicity.SEPARATORS else table.get(c, c) for c in text)
+    words = text.split()
+    spared = set()
+    for phrase in lexicon.exceptions:
+        own = phrase.split(" ")
+        spared |= {(i, i + len(own)) for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own}
+    total = 0.0
+    for i, word in enumerate(words):
+        fitting = [t for t in lexicon.terms if (t[:-1] == word if t.endswith(" ") else word.startswith(t))]
+        if fitting and not any(a <= i < b for a, b in spared):
+            total += lexicon.terms[max(fitting, key=len)]
+    bias, one, share = lexicon.curve
+    per_word = np.log1p(100 * total / max(len(words), 1)) if total else 0.0
+    return 1 / (1 + np.exp(-(bias + one * np.log1p(total) + share * per_word)))
+
+
+def test_toxicity_equals_a_plain_scorer(spark):
+    """All rows of the table and the awkward rows, under a learned lexicon and under one with short words and phrases."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet").where(nbsvm.id_fold(3) != 1)
+    learned = toxicity.learn_lexicon(docs, labels)
+    assert learned.terms
+    made = toxicity.Lexicon(
+        {"one ": 1.0, "chang": 2.0, "tail": 0.5, "line ": 0.7, "zzzz": 1.5}, ["one two", "line a", "x one"], (-1.0, 0.6, 0.2)
+    )
+    for lexicon, frame in ((learned, docs), (learned, brute.awkward(spark)), (made, brute.awkward(spark))):
+        rows = [(row.doc_id, row.text) for row in frame.select("doc_id", "text").collect()]
+        expected = sorted(((i, plain_score(lexicon, text)) for i, text in rows), key=repr)
+        got = sorted(((row.doc_id, row.score) for row in toxicity.score_toxicity(frame, lexicon).collect()), key=repr)
+        assert [i for i, _ in got] == [i for i, _ in expected]
+        assert sorted(s for _, s in got) == pytest.approx(sorted(s for _, s in expected))
+
+
+def test_terms_are_chosen_over_all_candidates(spark):
+    """Short words and rare terms are found beside any number of ordinary words; exception phrases of any length."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        words = [f"word{j}x" for j in rng.integers(0, 6000, 60)]
+        if i % 4 == 0:
+            words[5:5] = ["ugh"] if i % 8 else ["b4dlyquitelongword" + "o" * 200, "vile"]
+        elif i % 4 == 1:
+            words[5:5] = ["k" * 90, "vile"]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels)
+    assert "ugh " in lexicon.terms
+    assert any("badiyquiteiongword".startswith(term.rstrip()) for term in lexicon.terms)
+    assert "vile" not in lexicon.terms  # as frequent in clean rows

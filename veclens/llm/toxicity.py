@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from .texts import documents, seeded, small_batches, whole
 
 #: Labelled rows of each class that the lexicon is learned from at most; smallest seeded hashes first.
 FIT_TOXIC, FIT_CLEAN = 4_000, 6_000
-#: Candidates, terms and exception phrases that are kept at most.
-MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = 50_000, 4_000, 2_000
+#: Clean rows of the sample that an exception phrase is in at least.
+LEAST_CLEAN = 3
 #: A term is in so many toxic rows at least, and so many times likelier there.
 LEAST_ROWS, LEAST_RATIO = 4, 6.0
 SHORTEST, LONGEST = 4, 14
@@ -45,14 +47,18 @@ def folding() -> dict[int, str | None]:
 
 
 def fold(text: str, table: dict[int, str | None]) -> str:
-    """Lower-case, look-alikes folded, separators as spaces, with a space at both ends."""
+    """Lower-case, look-alikes folded, one space between words and at both ends."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return f" {text.lower().translate(table)} "
+    return f" {' '.join(text.lower().translate(table).split())} "
 
 
 def prefixes(words: Iterable[str]) -> set[str]:
-    return {word[:n] for word in words for n in range(SHORTEST, min(len(word), LONGEST) + 1)}
+    """Beginnings that may be terms; a word too short for one is a term as a whole, with its space."""
+    words = set(words)
+    return {word[:n] for word in words for n in range(SHORTEST, min(len(word), LONGEST) + 1)} | {
+        f"{word} " for word in words if len(word) < SHORTEST
+    }
 
 
 @dataclass
@@ -88,10 +94,17 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or length > best[start][0]:
                 best[start] = (length, weight)
-        return [
-            (start, weight) for start, (length, weight) in best.items()
-            if not any(a <= start and start + length - 1 <= b for a, b in spared)
-        ]
+        if not spared:
+            return [(start, weight) for start, (_, weight) in best.items()]
+        spared.sort()
+        begins = [a for a, _ in spared]
+        reach = list(accumulate((b for _, b in spared), max))  # how far phrases go that begin so early
+        found = []
+        for start, (length, weight) in best.items():
+            before = bisect_right(begins, start)
+            if not before or reach[before - 1] < start + length - 1:
+                found.append((start, weight))
+        return found
 
     def features(self, text: str, automaton) -> tuple[float, float]:
         """Sum of the weights found and the same per 100 words, both as ``log(1 + x)``."""
@@ -106,28 +119,29 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(bias + features[:, 0] * total + features[:, 1] * share, -30, 30)))
 
 
-def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log ratios of the terms that mark toxic rows.
+def marking(counted: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """``term, toxic, weight``: terms that are ``LEAST_RATIO`` times likelier in toxic rows, by their log ratio.
 
-    Of beginnings that stand for the same words the longest is taken (``trash``
-    for ``tra``); beyond that a longer term is left out if a beginning of it
-    marks toxic rows as well.
+    ``counted`` has ``term, toxic, clean``, the rows of each class with it. Of
+    beginnings that stand for the same words only the longest is taken
+    (``trash`` for ``tra``): one that a longer one nearly always follows goes.
     """
-    weights = {}
-    longer = {term[:-1] for term, count in toxic.items() if count >= 0.95 * toxic.get(term[:-1], count + count)}
-    for term, count in toxic.items():
-        if term in longer:
-            continue
-        ratio = ((count + 0.5) / (n_toxic + 1)) / ((clean.get(term, 0) + 0.5) / (n_clean + 1))
-        if count >= LEAST_ROWS and ratio >= LEAST_RATIO:
-            weights[term] = float(np.log(ratio))
+    ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    parent = F.expr("left(term, char_length(term) - 1)")
+    followed = counted.groupBy(parent.alias("term")).agg(F.max("toxic").alias("longer"))
+    marked = counted.where((F.col("toxic") >= LEAST_ROWS) & (ratio >= LEAST_RATIO))
+    alone = F.coalesce(F.col("longer") < 0.95 * F.col("toxic"), F.lit(True))
+    return marked.join(followed, "term", "left").where(alone).select("term", "toxic", F.log(ratio).alias("weight"))
+
+
+def without_longer(weights: dict[str, float]) -> dict[str, float]:
+    """Leaves out longer terms if a beginning of theirs marks toxic rows as well."""
     kept: dict[str, float] = {}
     for term in sorted(weights, key=lambda t: (len(t), t)):
         shorter = max((kept[term[:n]] for n in range(SHORTEST, len(term)) if term[:n] in kept), default=None)
         if shorter is None or weights[term] > shorter + 0.7:
             kept[term] = weights[term]
-    strongest = sorted(kept, key=lambda t: (-kept[t] * np.sqrt(toxic[t]), t))[:MAX_TERMS]
-    return {term: kept[term] for term in strongest}
+    return kept
 
 
 def fit_curve(features: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float, float]:
@@ -167,7 +181,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", i
     """Learns terms, exceptions and curve from bounded samples of the labelled rows of each class.
 
     Rows without label or id are left out; of several labels the largest counts.
-    Everything that comes to the driver is bounded by the constants above.
+    Both classes are counted in Spark and terms and phrases are chosen there by
+    how many rows of each have them; none is cut off. What comes to the driver
+    marks at least ``LEAST_ROWS`` of the sample's toxic rows, or spares
+    ``LEAST_CLEAN`` clean ones, so the sample bounds it.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(
         F.col(id_column).alias("id")).agg(F.max(label).alias("y"))
@@ -184,29 +201,26 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", i
     def own(body: str) -> set[str]:
         return prefixes(fold(body, table).split())
 
-    top = _counted(toxic, own).where(F.col("c") >= LEAST_ROWS).orderBy(F.desc("c"), "term").limit(MAX_CANDIDATES)
-    in_toxic = {row.term: row.c for row in top.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(set(in_toxic))  # at most MAX_CANDIDATES
-
-    def candidates(body: str) -> set[str]:
-        return own(body) & shared.value
-
-    in_clean = {row.term: row.c for row in _counted(clean, candidates).collect()}
-    lexicon = Lexicon(weigh(in_toxic, in_clean, toxic.count(), clean.count()))
+    both = _counted(toxic, own).withColumnRenamed("c", "toxic").join(
+        _counted(clean, own).withColumnRenamed("c", "clean"), "term", "left"
+    ).fillna(0, ["clean"])
+    n_toxic, n_clean = toxic.count(), clean.count()
+    marked = marking(stage(both, "toxic-terms"), n_toxic, n_clean)
+    lexicon = Lexicon(without_longer({row.term: row.weight for row in marked.collect()}))
 
     def phrases(body: str) -> set[str]:
         folded = fold(body, table)
-        found = set()
+        words, found = folded.split(), set()
+        starts = list(accumulate((len(word) + 1 for word in words), initial=0))
         for start, _ in lexicon.hits(folded, automaton_of(lexicon)):
-            before, after = folded[max(0, start - 40) : start].split()[-1:], folded[start : start + 80].split()[:2]
-            found.add(" ".join(before + after[:1]))
-            found.add(" ".join(after))
+            at = bisect_right(starts, start) - 1  # the word that the term begins
+            found.add(" ".join(words[max(at - 1, 0) : at + 1]))
+            found.add(" ".join(words[at : at + 2]))
         return {phrase for phrase in found if " " in phrase}
 
-    spared = _counted(clean, phrases).where("c >= 3")
+    spared = _counted(clean, phrases).where(F.col("c") >= LEAST_CLEAN)
     against = _counted(toxic, phrases).select("term")
-    top = spared.join(against, "term", "left_anti").orderBy(F.desc("c"), "term").limit(MAX_EXCEPTIONS)
-    lexicon.exceptions = [row.term for row in top.collect()]
+    lexicon.exceptions = sorted(row.term for row in spared.join(against, "term", "left_anti").collect())
     seen = rows.select("id", "y", "text").mapInArrow(measure(lexicon), f"y int, total double, share double").toArrow()
     columns = [seen.column(name).to_numpy() for name in ("total", "share", "y")]
     order = np.lexsort(columns)
