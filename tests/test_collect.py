@@ -1,5 +1,7 @@
 import json
+import shutil
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from veclens.operators.corpus import words
+from veclens.plans import collect as plan
 from veclens.plans.collect import CollectConfig, collect, quarantine, resume_state, saved_checkpoints, tokens_table
+from veclens.schemas import METADATA
 from veclens.streaming.collect import stream_collect
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -200,6 +204,34 @@ def test_repeated_batch_writes_the_same_rows(spark, tmp_path):
     assert rows(spark, cfg) == first
 
 
+def test_a_stream_reads_one_state_and_closes_itself(spark, tmp_path, monkeypatch):
+    """Batches never read the history; the metadata has the totals after the last; a lost state is made up for."""
+    source, cfg = tmp_path / "source", config(tmp_path / "run")
+
+    def no_history(*args, **options):
+        raise AssertionError("the history was read")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "saved_checkpoints", no_history)
+        for number in range(4):
+            write_file(source, number, 6)
+            stream(spark, source, cfg, tmp_path / "offsets")
+            assert len(plan.state_rounds(cfg)) <= 2
+    found = rows(spark, cfg)
+    state = {r["shard_id"]: r for r in plan.saved_state(spark, cfg).collect()}
+    whole = {r["shard_id"]: r for r in resume_state(saved_checkpoints(spark, cfg)).collect()}
+    assert state == whole
+    closed = spark.read.schema(METADATA).json(f"{cfg.path}/metadata").collect()
+    assert sum(r["tokens_collected"] for r in closed) == len(found) and all(r["end_time"] for r in closed)
+    assert {r["shard_id"]: r["chunks_saved"] for r in closed if r["chunks_saved"]} == {k: r["chunks_saved"] for k, r in whole.items()}
+    # a crash after the checkpoints of the last batch, before its state
+    shutil.rmtree(f"{cfg.state_path}/round=3")
+    Path(cfg.pending(3)).parent.mkdir(exist_ok=True)
+    Path(cfg.pending(3)).touch()
+    assert plan.settle_state(spark, cfg, 3) and not plan.settle_state(spark, cfg, 4)
+    assert {r["shard_id"]: r for r in plan.saved_state(spark, cfg).collect()} == whole
+
+
 def test_whole_texts_are_collected_in_windows(spark, tmp_path):
     corpus, cfg = make_corpus(spark), config(tmp_path / "run", truncate=False, max_length=4, tokens_per_shard=None)
     assert all(r["passed"] for r in collect(corpus, tokenizer, make_encoder, cfg).collect())

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunking import check_chunk_size, document_counts
 from ..operators.corpus import shard_documents, shuffle_documents
 from ..operators.encode import Encoder
-from ..plans.collect import CollectConfig, Texts, metadata_rows, now, run_round, saved_checkpoints
-from ..session import stage
-from ..sources.state import write_json
+from ..plans.collect import CollectConfig, Texts, metadata_rows, now, run_round, settle_state
+from ..session import exists, stage
+from ..sources.state import read_metadata, write_json
 
 
 def stream_collect(
@@ -27,21 +27,29 @@ def stream_collect(
     rounds only, so a batch that Spark repeats after a failure writes the same
     rows to the same place. Budgets, chunk numbers and rows of an open chunk
     carry over. Documents are shuffled within their micro-batch.
+
+    What a batch reads of earlier ones is the state after the last, one row per
+    shard, however many came before. After every batch the metadata has the
+    totals and the time, so a stream that ends has closed itself; ``finish``
+    adds the audit.
     """
     check_chunk_size(config.chunk_size, config.d_model)
     spark = corpus.sparkSession
-    write_json(metadata_rows(spark, config, now()), f"{config.path}/metadata")
+    metadata = f"{config.path}/metadata"
+    if not exists(metadata):
+        write_json(metadata_rows(spark, config, now()), metadata)
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        committed = saved_checkpoints(session, config).where(F.col("round") == number)
-        if not committed.isEmpty():
+        if settle_state(session, config, number):
             return
         count = token_count(F.col("text")) if token_count else F.size(tokenizer(F.col("text")))
         counts = document_counts(batch, config.count(count))
         counted = stage(counts.select("doc_id", "n_tokens"), "counts")
         sharded = stage(shard_documents(shuffle_documents(counted, seed=config.seed), config.num_shards), "sharded")
         run_round(session, config, Texts(batch), sharded, tokenizer, make_encoder, number, whole_input=True)
+        started = read_metadata(session, metadata).first()["start_time"]
+        write_json(stage(metadata_rows(session, config, started, now()), "metadata"), metadata)
 
     writer = corpus.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     trigger = {"processingTime": refresh} if refresh else {"availableNow": True}
