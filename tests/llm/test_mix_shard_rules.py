@@ -118,7 +118,10 @@ def test_rows_of_small_sources_are_spread_and_keep_their_order(spark):
     assert largest < 300  # 200 sources of three share 1/6, too few to be cut; 4,200 rows have 1/2
 
 
-def rules_by_hand(rows, max_docs):
+def rules_by_hand(rows, max_docs, least_docs=3):
+    hosts = Counter(row[3] for row in rows)
+    limit = {host: min(max_docs, max(least_docs, n // 100)) for host, n in hosts.items()}
+
     def lines(text):
         return [line for line in (text or "").split("\n") if brute.WORD.search(line)]
 
@@ -133,7 +136,7 @@ def rules_by_hand(rows, max_docs):
         words, own = brute.WORD.findall(text), lines(text)
         grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
         covered = {k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(i, i + 3)}
-        cut = sum(len(brute.WORD.findall(line)) for line in own if seen[row[3], plain(line)] > max_docs)
+        cut = sum(len(brute.WORD.findall(line)) for line in own if seen[row[3], plain(line)] > limit[row[3]])
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         kept = not failed and 100 * (len(words) - cut) >= 50 * len(words)
         out.append((row[0], len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(own) - len(set(own)),
@@ -155,3 +158,26 @@ def test_line_rules_reject_depleted_documents(spark):
     expected = rules_by_hand(rows, 10)
     assert sorted(map(tuple, got)) == sorted(expected)
     assert {row[7] for row in expected} == {True, False}
+
+
+def test_line_limits_follow_the_size_of_the_host(spark):
+    # 1 % of 1,000 documents is 10, a small host has 3, no host more than 12 here; a null host is one of its own
+    rows, host_of = [], [("large", 1000), ("small", 40), ("huge", 2000), (None, 30)]
+    for host, size in host_of:
+        for i in range(size):
+            shared = [f"{host} line of {n} documents" for n in (3, 4, 10, 11, 12, 13) if i < n]
+            text = "\n".join([brute.long_text(len(rows), 8 if i % 2 else 60), *shared])
+            rows.append((len(rows), text, "en", host, 0))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = line_rules.line_rules(frame, max_docs=12).collect()
+    expected = rules_by_hand(rows, 12)
+    assert sorted(map(tuple, got)) == sorted(expected)
+    touched = Counter(rows[row[0]][3] for row in expected if row[8])
+    assert touched == {"large": 13, "small": 13, "huge": 13, None: 13}
+    cut = {host: max(row[8] for row in expected if rows[row[0]][3] == host) for host, _ in host_of}
+    assert cut["small"] == cut[None] == 5 * 5 and cut["large"] == 3 * 5 and cut["huge"] == 5
+
+
+def test_lines_are_removed_on_the_whole_table(spark):
+    got = llm.QUERIES["op10_line_rules"](spark, "/root/testdata/sf0.01")
+    assert got.where("n_common_words > 0").count() >= 80

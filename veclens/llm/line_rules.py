@@ -76,6 +76,8 @@ def line_rules(
     docs: DataFrame,
     *,
     max_docs: int = 100,
+    least_docs: int = 3,
+    max_percent: int = 1,
     min_left: int = 50,
     id_column: str = "doc_id",
     text: str = "text",
@@ -84,10 +86,12 @@ def line_rules(
     """Counts of each text, and whether it stands without its host's common lines.
 
     Lines are normalised (A-Z lowered, white space runs to one space, trimmed)
-    and hashed. A line found in more than ``max_docs`` distinct documents of one
-    host is removed; a document that keeps less than ``min_left`` percent of its
-    words is rejected. ``base_failed`` marks texts of under 50 words or with
-    more than half their words in repeated 3-word windows.
+    and hashed. A line is removed where it stands in more distinct documents of
+    one host than the host's limit: ``max_percent`` of the host's documents, but
+    ``least_docs`` for small hosts and never over ``max_docs``. A document that
+    keeps less than ``min_left`` percent of its words is rejected.
+    ``base_failed`` marks texts of under 50 words or with more than half their
+    words in repeated 3-word windows.
 
     A null text has no words, null is a host of its own, rows that repeat an id
     are documents of their own, an empty table gives no rows, and columns other
@@ -95,8 +99,8 @@ def line_rules(
 
     The counts are staged once, so text is scanned once. Lines are counted with
     partial sums per task, so a line of every document costs one row per task;
-    lines above the limit are at most a ``max_docs``-th of all lines, and only
-    their occurrences are summed per document.
+    lines above ``least_docs`` meet the limits, one row per host, and only
+    occurrences of lines above the limit are summed per document.
     """
     counted = stage(
         base_counts(docs, id_column, text, host).withColumn("row", F.monotonically_increasing_id()), "line-rules"
@@ -106,7 +110,11 @@ def line_rules(
         "row", "host", F.col("line.h").alias("h"), F.col("line.words").alias("words")
     )
     distinct = counted.select(name.alias("host"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    common = distinct.groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h")
+    share = F.floor(F.count(F.lit(1)) * max_percent / 100)
+    limit = F.least(F.lit(max_docs), F.greatest(F.lit(least_docs), share))
+    limits = stage(counted.groupBy(name.alias("host")).agg(limit.alias("limit")), "line-limits")
+    often = distinct.groupBy("host", "h").count().where(F.col("count") > min(least_docs, max_docs))
+    common = often.join(limits, "host").where(F.col("count") > F.col("limit")).select("host", "h")
     removed = lines.join(common, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("words").alias("cut"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     cut = F.coalesce("cut", F.lit(0))
@@ -141,10 +149,14 @@ WITH d AS (
   SELECT row, source, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[\x20\x09-\x0D]+', ' ', 'g')) AS h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT row, source, unnest(lines) AS x FROM w)
+), s AS (
+  SELECT source, least(100, greatest(3, count(*) // 100)) AS most FROM documents GROUP BY source
 ), c AS (
   SELECT row, sum(n) AS cut FROM (
     SELECT l.row, l.n FROM l JOIN (
-      SELECT source, h FROM (SELECT DISTINCT row, source, h FROM l) GROUP BY 1, 2 HAVING count(*) > 100
+      SELECT k.source, k.h FROM (
+        SELECT source, h, count(*) AS n_docs FROM (SELECT DISTINCT row, source, h FROM l) GROUP BY 1, 2
+      ) k JOIN s ON k.source IS NOT DISTINCT FROM s.source WHERE n_docs > most
     ) o ON l.source IS NOT DISTINCT FROM o.source AND l.h = o.h)
   GROUP BY row
 ), b AS (
