@@ -22,10 +22,11 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     only the two named columns are read, so others may have any name.
 
     Rows are grouped by the md5 of the normalised bytes (``key`` replaces it in
-    tests). Only members of groups then send their bytes, to be compared with
-    the bytes of the row that stays; keys whose bytes differ are grouped again
-    by the bytes themselves. A large group is a join of many rows to one row,
-    which Spark splits; no task gathers a group.
+    tests). The bytes under a key are compared by their least and greatest: a
+    task sends two texts for each key that it has, so copies collapse before the
+    only exchange that carries texts, and a large group is a few rows per task.
+    Keys whose least and greatest differ are grouped again by the bytes
+    themselves.
     """
     plain = without_white(text)
     rows = stage(
@@ -44,15 +45,11 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return df.groupBy(*by).agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
     found = groups(rows, "h")
-    several = found.where("group_size > 1").select("h", "keep_id")
     bytes_of = docs.select(
         F.col(id_column).alias("doc_id"), (F.md5(plain) if key is None else key).alias("h"), plain.alias("bytes")
     )
-    members = bytes_of.join(several, "h")
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("bytes").alias("of_kept"))
-    differing = stage(
-        members.join(stays, "h").where(F.col("bytes") != F.col("of_kept")).select("h").distinct(), "collisions"
-    )
+    ends = bytes_of.groupBy("h").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
+    differing = stage(ends.where("least < greatest").select("h"), "collisions")
     if differing.isEmpty():
         result = rows.join(found, "h")
     else:
