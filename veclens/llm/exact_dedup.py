@@ -26,7 +26,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     task sends two texts for each key that it has, so copies collapse before the
     only exchange that carries texts, and a large group is a few rows per task.
     Keys whose least and greatest differ are grouped again by the bytes
-    themselves.
+    themselves. Rows learn of their group from a staged table of the groups of
+    two or more, so Spark can split the rows of a large group over tasks.
     """
     plain = without_white(text)
     rows = stage(
@@ -44,21 +45,29 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         best = F.min_by("doc_id", F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id"))
         return df.groupBy(*by).agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
-    found = groups(rows, "h")
+    several = stage(groups(rows, "h").where("group_size > 1"), "exact-groups")
+
+    def named(df: DataFrame) -> DataFrame:
+        one = F.col("group_size").isNull()
+        return df.join(several, "h", "left").withColumns({
+            "keep_id": F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")),
+            "group_size": F.when(one, F.lit(1).cast("bigint")).otherwise(F.col("group_size")),
+        })
+
     bytes_of = docs.select(
         F.col(id_column).alias("doc_id"), (F.md5(plain) if key is None else key).alias("h"), plain.alias("bytes")
     )
     ends = bytes_of.groupBy("h").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
     differing = stage(ends.where("least < greatest").select("h"), "collisions")
     if differing.isEmpty():
-        result = rows.join(found, "h")
+        result = named(rows)
     else:
         apart = bytes_of.join(differing, "h", "left_semi").select("doc_id", "bytes").distinct()
         apart = apart.select(F.col("doc_id").alias("_id"), "bytes", F.sha2("bytes", 256).alias("_sha"))
         again = rows.join(differing, "h", "left_semi")
         again = again.join(apart, again.doc_id.eqNullSafe(apart._id) & (again.text_sha256 == apart._sha)).drop("_id", "_sha")
         exact = again.join(groups(again, "h", "bytes"), ["h", "bytes"]).drop("bytes")
-        result = rows.join(differing, "h", "left_anti").join(found, "h").unionByName(exact)
+        result = named(rows.join(differing, "h", "left_anti")).unionByName(exact)
     return result.select(
         F.col("doc_id").alias(id_column),
         "keep_id",
