@@ -1,5 +1,7 @@
 """Quality and toxicity: held-out accuracy, and defined results on awkward rows."""
 
+import math
+import re
 import zlib
 
 import brute
@@ -63,14 +65,81 @@ def test_fitting_without_labels(spark):
     assert toxicity.score_toxicity(brute.empty(spark), lexicon).count() == 0
 
 
-def test_shape_features_do_not_cross_rows():
+def test_features_do_not_cross_rows():
     texts = ["One two three.", "", "One two three.", "three. One", None]
-    rows = nbsvm.shape_features(*flat(pa.array(texts)))
+    rows = nbsvm.gram_features(*flat(pa.array(texts)))
     assert rows[0].tolist() == rows[2].tolist() and len(rows[1]) == len(rows[4]) == 0
-    alone = nbsvm.shape_features(*flat(pa.array(["three. One"])))[0]
+    alone = nbsvm.gram_features(*flat(pa.array(["three. One"])))[0]
     assert rows[3].tolist() == alone.tolist()
 
 
+MASK = 2**64 - 1
+
+
+def mixed_by_hand(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & MASK
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & MASK
+    return x ^ x >> 33
+
+
+def word_by_hand(word):
+    odd = 0x9E3779B97F4A7C15
+    total = sum(mixed_by_hand((byte + 1) * odd & MASK) * pow(odd, i, 1 << 64) for i, byte in enumerate(word))
+    return mixed_by_hand(total + len(word) * odd & MASK)
+
+
+def shape_by_hand(word, before):
+    ups = sum(65 <= byte <= 90 for byte in word)
+    lows = sum(97 <= byte <= 122 or byte >= 128 for byte in word)
+    case = 0 if not ups + lows else 1 if not ups else 2 if ups == 1 and 65 <= word[0] <= 90 else 3 if not lows else 4
+    last = chr(word[-1])
+    ending = 1 if last in "0123456789" else nbsvm.ENDINGS.index(last) + 2 if last in nbsvm.ENDINGS else 0
+    size = sum(len(word) >= least for least in (2, 4, 8, 16))
+    return ((case * 32 + ending) * 5 + size) * 2 + (word == before)
+
+
+def score_by_hand(model, text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    names = [word_by_hand(bytes(b + 32 if 65 <= b <= 90 else b for b in word)) for word in words]
+    shapes = [shape_by_hand(word, before) for word, before in zip(words, [None, *words], strict=False)]
+    found = set()
+    for kind, numbers in enumerate((names, shapes)):
+        for i in range(len(numbers)):
+            rolled = 0
+            for n, number in enumerate(numbers[i : i + 3]):
+                rolled = mixed_by_hand(rolled + number + 1 + 3 * kind + n & MASK)
+                found.add(rolled % nbsvm.FEATURES)
+    margin = sum(model.weights[i] for i in sorted(found)) / math.sqrt(max(len(found), 1)) + model.bias
+    return 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+
+
+def test_quality_scores_equal_a_plain_scorer(spark, sf_dir):
+    """Every row of a table, and awkward rows, under the fitted model."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = nbsvm.fit_quality(docs, nbsvm.train_labels(spark, sf_dir))
+    assert np.count_nonzero(model.weights) > 1000
+    for frame in (docs, brute.awkward(spark).select("doc_id", "text")):
+        expected = sorted((repr(row.doc_id), round(score_by_hand(model, row.text), 9)) for row in frame.collect())
+        got = sorted((repr(row.doc_id), round(row.score, 9)) for row in nbsvm.score_quality(frame, model).collect())
+        assert [row[0] for row in got] == [row[0] for row in expected]
+        assert [row[1] for row in got] == pytest.approx([row[1] for row in expected], abs=1e-8)
+
+
+def test_words_alone_tell_texts_apart(spark):
+    """Two vocabularies with the same shapes, which shapes alone cannot part; and a bound on n-grams takes fewer rows."""
+    rng = np.random.default_rng(5)
+    vocabulary = [["abcd", "efgh", "ijkl", "mnop"], ["dcba", "hgfe", "lkji", "ponm"]]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2], 12))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, quality int")
+    for bound in (nbsvm.FIT_GRAMS, 1500):
+        model = nbsvm.fit_quality(docs, labels, grams=bound)
+        scores = {row.doc_id: row.score for row in nbsvm.score_quality(docs, model).collect()}
+        assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(100, 200))
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(2)
     rows, target = [], []

@@ -20,7 +20,7 @@ from veclens.llm.texts import flat
 def kept_by_quality(spark, rows, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = nbsvm.fit_quality(docs, nbsvm.train_labels(spark, sf_dir))
-    scores = model.scores(nbsvm.shape_features(*flat(pa.array([row[1] for row in rows], pa.string()))))
+    scores = model.scores(nbsvm.gram_features(*flat(pa.array([row[1] for row in rows], pa.string()))))
     return [row for row, score in zip(rows, scores, strict=True) if score >= 0.3]
 
 

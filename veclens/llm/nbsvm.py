@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors over n-grams of word shapes."""
+"""Quality classifier: naive Bayes support vectors over n-grams of words and of word shapes."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veclens.session import release, stage
+
 from . import query
-from .texts import RUN_BYTES, documents, flat, mix64, runs, seeded, small_batches, span_hashes, whole, word_bounds
+from .texts import RUN_BYTES, documents, flat, lowered, mix64, runs, seeded, small_batches, span_hashes, whole, word_bounds
 
-#: Labelled rows that are fitted on at most; smallest seeded hashes first.
+#: Labelled rows that are fitted on at most, and n-grams in them; smallest seeded hashes first, texts whole.
 FIT_ROWS = 16_000
+FIT_GRAMS = 6_000_000
 FEATURES = 1 << 18
 ORDER = 3
 #: Final bytes of a word that n-grams tell apart; all others are one class.
@@ -40,20 +43,26 @@ def word_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: n
     return ((case * 32 + classes[data[ends - 1]]) * 5 + size) * 2 + again
 
 
-def shape_features(data: np.ndarray, offsets: np.ndarray, features: int = FEATURES) -> list[np.ndarray]:
-    """Each row's distinct n-grams of 1 to 3 word shapes, as numbers under ``features``."""
+def rolling(numbers: np.ndarray, features: int, salt: int) -> list[np.ndarray]:
+    """The n-grams of 1 to ``ORDER`` numbers that begin at each place, as numbers under ``features``."""
+    grams = []
+    rolled = np.zeros(len(numbers), np.uint64)
+    for n in range(ORDER):
+        rolled = mix64(rolled[: len(numbers) - n] + numbers[n:] + np.uint64(salt + n))
+        grams.append((rolled % np.uint64(features)).astype(np.int32))
+    return grams
+
+
+def gram_features(data: np.ndarray, offsets: np.ndarray, features: int = FEATURES) -> list[np.ndarray]:
+    """Each row's distinct n-grams of 1 to 3 words, A-Z lowered, and of 1 to 3 word shapes, as numbers under ``features``."""
     starts, ends, first = word_bounds(data, offsets)
     if not len(starts):
-        return [np.zeros(0, np.int64)] * (len(offsets) - 1)
+        return [np.zeros(0, np.int32)] * (len(offsets) - 1)
     shapes = word_shapes(data, starts, ends, first).astype(np.uint64)
-    grams = []
-    rolled = np.zeros(len(shapes), np.uint64)
-    for n in range(ORDER):
-        rolled = rolled[: len(shapes) - n] * np.uint64(1 << 11) + shapes[n:] + np.uint64(1)
-        grams.append((mix64(rolled + np.uint64(n << 60)) % np.uint64(features)).astype(np.int64))
+    grams = [*rolling(span_hashes(lowered(data), starts, ends), features, 1), *rolling(shapes, features, 1 + ORDER)]
     rows = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        rows.append(np.unique(np.concatenate([gram[a : max(a, b - n)] for n, gram in enumerate(grams)])))
+        rows.append(np.unique(np.concatenate([gram[a : max(a, b - i % ORDER)] for i, gram in enumerate(grams)])))
     return rows
 
 
@@ -158,30 +167,51 @@ class NbSvm:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", limit: int = FIT_ROWS,
-                id_column: str = "doc_id", text: str = "text") -> NbSvm:
+                grams: int = FIT_GRAMS, id_column: str = "doc_id", text: str = "text") -> NbSvm:
     """Fits on at most ``limit`` labelled rows, those with the smallest seeded hash of the id.
 
-    A row without text or label is not fitted on; of several labels the largest counts.
+    Of these the first are taken whose n-grams are at most ``grams`` together:
+    long texts mean fewer rows, never shorter texts. A row without text or
+    label is not fitted on, rows that repeat an id and a text are one, and of
+    several labels the largest counts.
     """
+    place = ["place", "id", "h"]
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
         .groupBy(F.col(id_column).alias("id")).agg(F.max(label).alias("y"))
-        .orderBy(seeded("id", "fit"), "id").limit(limit)
+        .withColumn("place", seeded("id", "fit")).orderBy("place", "id").limit(limit)
     )
     rows = docs.select(F.col(id_column).alias("id"), whole(text).alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shape_features(*flat(batch.column(2)))
-            yield pa.RecordBatch.from_pydict(
-                {"id": batch.column(0), "y": batch.column(1), "row": pa.array(found, pa.list_(pa.int32()))}
-            )
+            data, offsets = flat(batch.column("text"))
+            for start, end in runs(offsets, RUN_BYTES):
+                found = gram_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_pydict({
+                    **{name: part.column(name) for name in (*place, "y")},
+                    "n": pa.array([len(row) for row in found], pa.int64()), "row": pa.array(found, pa.list_(pa.int32())),
+                })
 
-    made = rows.select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(
-        features, f"id {docs.schema[id_column].dataType.simpleString()}, y int, row array<int>"
+    kind = docs.schema[id_column].dataType.simpleString()
+    read = rows.select("place", "id", F.xxhash64("text").alias("h"), F.col("y").cast("int").alias("y"), "text")
+    made = stage(
+        small_batches(read).mapInArrow(features, f"place string, id {kind}, h bigint, y int, n bigint, row array<int>")
+        .dropDuplicates(place),
+        "quality-rows",
     )
-    table = made.toArrow().sort_by("id")  # at most ``limit`` rows, so the order is the same in every run
-    found = [np.asarray(row, np.int64) for row in table.column("row").to_pylist()]
+    sizes = made.select(*place, "n").orderBy(*place).limit(limit).toArrow()  # three numbers a row
+    taken = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), grams, side="right"))
+    if taken == 0:
+        release(made)
+        return NbSvm.fit([], np.zeros(0, bool))
+    last = F.struct(*[F.lit(sizes.column(name)[taken - 1].as_py()).cast(made.schema[name].dataType).alias(name) for name in place])
+    table = made.where(F.struct(*place) <= last).toArrow()  # at most ``grams`` numbers
+    release(made)
+    table = table.sort_by([(name, "ascending") for name in place]).combine_chunks()  # the same order in every run
+    ends = np.cumsum(table.column("n").to_numpy())
+    found = np.split(table.column("row").combine_chunks().flatten().to_numpy(), ends[:-1])
     order = np.random.default_rng(3).permutation(len(found))
     return NbSvm.fit([found[i] for i in order], table.column("y").to_numpy()[order] == 1)
 
@@ -199,7 +229,7 @@ def score_quality(docs: DataFrame, model: NbSvm, *, id_column: str = "doc_id", t
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for start, end in runs(offsets, RUN_BYTES):
-                found = shape_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+                found = gram_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 yield pa.RecordBatch.from_pydict(
                     {"id": batch.column(0).slice(start, end - start), "score": shared.value.scores(found)}
                 )
@@ -218,7 +248,7 @@ def keep_good(docs: DataFrame, model: NbSvm, threshold: float, *, text: str = "t
         for batch in batches:
             data, offsets = flat(batch.column(at))
             for start, end in runs(offsets, RUN_BYTES):
-                found = shape_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+                found = gram_features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 yield batch.slice(start, end - start).filter(pa.array(shared.value.scores(found) >= threshold))
 
     return small_batches(docs).mapInArrow(keep, docs.schema)
