@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import subprocess
+import sys
 import zlib
 
 import brute
@@ -154,6 +156,64 @@ def test_expected_counts_equal_all_segmentations(model, table):
     assert np.allclose(counts / pieces.SHARE, expected, atol=1e-4) and np.isclose(likelihood, total)
 
 
+def unbroken(n: int, seed: int = 3) -> str:
+    """Letters of several scripts with nothing to cut at."""
+    rng = np.random.default_rng(seed)
+    parts = ["the", "ing", "ation", "e", "q", "xz", "é", "日本", "ゼ", "梦", "\U0001f642", "word", "ſ", "ة"]
+    return "".join(rng.choice(parts, n))
+
+
+def test_long_chunks_equal_plain_viterbi(model, table):
+    """20 KB without a cut, in stretches; also where a long text stands between short ones."""
+    text = unbroken(6000)
+    assert len(text.encode()) > 2 * pieces.STRETCH
+    texts = ["a b", text, "c", "x " + text[:5000] + " y"]
+    for own, (ids, plain) in zip(texts, encode(model, texts), strict=True):
+        assert ids == encode_by_hand(own, table)
+        assert plain.decode() == own
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, 200])
+def test_stretches_of_any_length_give_the_same(model, monkeypatch, stretch):
+    words = [unbroken(n, n).encode() for n in (1, 2, 30, 120, 121)] + [b"e" * 400, "\U0001f642".encode() * 60]
+    times = np.arange(1, len(words) + 1)
+    scores = np.zeros(len(model.score))
+    scores[model.usable()] = -8 - np.arange(len(model.usable())) % 5
+    for own in (model, model.with_scores(scores)):
+        ids, counts = own.best_path(words)
+        expected, logs = own.expected_counts(words, times)
+        with monkeypatch.context() as patch:
+            patch.setattr(pieces, "STRETCH", stretch)
+            again, counts_again = own.best_path(words)
+            found, logs_again = own.expected_counts(words, times)
+        assert (ids == again).all() and (counts == counts_again).all()
+        assert np.abs(found - expected).max() <= times.sum() * 8 and logs_again == pytest.approx(logs)
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+sys.path[:0] = {path!r}
+from test_tokens import MODEL, unbroken
+from veclens.llm import pieces
+model = pieces.PieceModel.load(MODEL)
+model.best_path([unbroken(6000).encode()])
+text = unbroken(1_000_000).encode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids, counts = model.best_path([text])
+plain, _ = model.decode(ids, np.array([0, len(ids)]))
+assert plain.tobytes() == text.removeprefix(b" ")
+found, _ = model.expected_counts([text[:300_000]], np.ones(1, np.int64))
+print(len(text) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_memory_of_a_long_unbroken_text():
+    out = subprocess.run([sys.executable, "-c", MEMORY.format(path=sys.path)], capture_output=True, text=True, check=True).stdout
+    megabytes, grown = map(int, out.split())
+    assert megabytes >= 2 and grown < 40 * megabytes + 60
+
+
 def test_query_uses_log_scores_of_its_texts(spark, sf_dir, model, table):
     import veclens.llm as llm
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -26,8 +28,10 @@ UNKNOWN_SURFACE = " ⁇ "
 ROUNDS, PRIOR = 4, 0.5
 #: Expected counts are whole numbers of this share, so their sum doesn't depend on the order.
 SHARE = 1 << 20
-#: Bytes of distinct chunks whose segmentations are summed at once.
+#: Bytes of distinct chunks whose segmentations are searched or summed at once.
 FIT_BYTES = 1 << 18
+#: A chunk of more bytes is walked alone, in stretches of so many.
+STRETCH = 1 << 13
 
 
 def double_array(pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +76,13 @@ def double_array(pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarra
     return base[:end], check[:end], value[:end]
 
 
+def log_sum(x: float, y: float) -> float:
+    """``log(exp(x) + exp(y))``."""
+    if x < y:
+        x, y = y, x
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
+
 @dataclass
 class PieceModel:
     """The tables of a model; the same size for any corpus."""
@@ -146,12 +157,83 @@ class PieceModel:
     # ---- encoding
 
     def best_path(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the best segmentation of every word, in a row, and their number; all words step by step together.
+        """Ids of the best segmentation of every word, in a row, and their number.
 
         Of segmentations with equal sums the one whose last piece starts first
         wins. A character that no piece covers takes the unknown score and gives
-        its bytes' pieces, or the unknown id if the model has none.
+        its bytes' pieces, or the unknown id if the model has none. Words go step
+        by step together, ``FIT_BYTES`` at a time; one of over ``STRETCH`` bytes
+        is walked alone, with the same sums and so the same ids.
+        """
+        parts = []
+        for words_, is_long in self._groups(words, FIT_BYTES):
+            parts.append(self._long_path(words_[0]) if is_long else self._best_paths(words_))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    @staticmethod
+    def _groups(words: list[bytes], limit: int) -> Iterator[tuple[list[bytes], bool]]:
+        """The words in their order, in groups of bounded size; a long word is a group of its own."""
+        group, size = [], 0
+        for word in words:
+            if group and (size + len(word) > limit or len(word) > STRETCH):
+                yield group, False
+                group, size = [], 0
+            if len(word) > STRETCH:
+                yield [word], True
+            else:
+                group.append(word)
+                size += len(word)
+        if group:
+            yield group, False
+
+    def _stretch(self, data: np.ndarray, a: int) -> tuple[int, zip]:
+        """Bytes of a long word from place ``a`` that pieces from one stretch reach, and these pieces by their start.
+
+        Pieces are ``start, end, id, score``, counted from ``a``.
         """
+        part = data[a : a + STRETCH + self.reach()]
+        starts = np.flatnonzero((part & 0xC0) != 0x80)
+        width = np.diff(np.append(starts, len(part)))
+        here = starts < STRETCH
+        s, e, ids, gain, _ = self._edges(part, starts[here], width[here], np.full(len(part), len(part)))
+        order = np.argsort(s, kind="stable")
+        return len(part), zip(s[order].tolist(), e[order].tolist(), ids[order].tolist(), gain[order].tolist(), strict=True)
+
+    def reach(self) -> int:
+        """Bytes of the longest piece, and of a character at least."""
+        return max(int(self.surface_length[self.usable()].max(initial=1)), 4)
+
+    def _long_path(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``best_path`` of one long word: scores of a stretch, and six bytes for each place, from which the path is read."""
+        data = np.frombuffer(word, np.uint8)
+        piece, width = np.zeros(len(data) + 1, np.int32), np.zeros(len(data) + 1, np.uint16)
+        carried = [0.0]
+        for a in range(0, len(data), STRETCH):
+            n, edges = self._stretch(data, a)
+            best = (carried + [-math.inf] * n)[: n + 1]
+            took, long = piece[a : a + n + 1].tolist(), width[a : a + n + 1].tolist()
+            for s, e, number, gain in edges:
+                score = best[s] + gain
+                if score > best[e]:
+                    best[e], took[e], long[e] = score, number, e - s
+            piece[a : a + n + 1], width[a : a + n + 1] = took, long
+            carried = best[STRETCH:]
+        out, at = array("i"), len(data)
+        in_bytes = self.byte_ids[0] >= 0
+        while at > 0:
+            # bytes that are no UTF-8 can leave a place that no piece ends at
+            number, size = (int(piece[at]), int(width[at])) if width[at] else (self.unknown, 1)
+            if number == self.unknown and in_bytes:
+                out.extend(self.byte_ids[data[at - size : at]][::-1].tolist())
+            else:
+                out.append(number)
+            at -= size
+        ids = np.frombuffer(out, np.int32)[::-1]
+        return ids, np.array([len(ids)], np.int64)
+
+    def _best_paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data, word, sizes, ends, char_end, left, right, ids, gain, steps, last = self._lattice(words)
         n_nodes = len(data) + len(words)
         best = np.full(n_nodes, -np.inf)
@@ -199,6 +281,20 @@ class PieceModel:
         starts = np.flatnonzero(first)
         width = np.diff(np.append(starts, len(data)))
         width = np.minimum(width, stop[starts] - starts)  # of each character
+        s, e, ids, gain, char_end = self._edges(data, starts, width, stop)
+        # nodes: a word of n bytes has n + 1
+        depth = s - begin[s]
+        order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        s, e, ids, gain, depth = s[order], e[order], ids[order], gain[order], depth[order]
+        left, right = s + word[s], e + word[s]
+        steps = np.flatnonzero(np.diff(depth, prepend=-1))
+        return data, word, sizes, ends, char_end, left, right, ids, gain, steps, np.append(steps[1:], len(depth))
+
+    def _edges(self, data: np.ndarray, starts: np.ndarray, width: np.ndarray, stop: np.ndarray) -> tuple:
+        """Start, end, id and score of all pieces from these characters, and of characters that are no piece.
+
+        Also the ends of the characters, by their start.
+        """
         found = self._matches(data, starts, stop)
         char_end = np.zeros(len(data) + 1, np.int64)
         char_end[starts] = starts + width
@@ -209,19 +305,55 @@ class PieceModel:
         e = np.concatenate([found[1], char_end[lone]])
         ids = np.concatenate([found[2], np.full(len(lone), self.unknown)])
         gain = np.concatenate([self.score[found[2]], np.full(len(lone), self.unknown_score)])
-        # nodes: a word of n bytes has n + 1
-        depth = s - begin[s]
-        order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
-        s, e, ids, gain, depth = s[order], e[order], ids[order], gain[order], depth[order]
-        left, right = s + word[s], e + word[s]
-        steps = np.flatnonzero(np.diff(depth, prepend=-1))
-        return data, word, sizes, ends, char_end, left, right, ids, gain, steps, np.append(steps[1:], len(depth))
+        return s, e, ids, gain, char_end
 
     def expected_counts(self, words: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
         """How often each piece stands in the words in ``SHARE``-ths, over all segmentations by their probability.
 
-        Also gives the words' log likelihood. ``times`` says how often each word occurs.
+        Also gives the words' log likelihood. ``times`` says how often each word
+        occurs. A word of over ``STRETCH`` bytes is walked alone.
         """
+        counts, likelihood, at = np.zeros(len(self.score), np.int64), 0.0, 0
+        for group, is_long in self._groups(words, FIT_BYTES):
+            own = times[at : at + len(group)]
+            found, logs = self._long_counts(group[0], int(own[0])) if is_long else self._counts(group, own)
+            counts, likelihood, at = counts + found, likelihood + logs, at + len(group)
+        return counts, likelihood
+
+    def _long_counts(self, word: bytes, times: int) -> tuple[np.ndarray, float]:
+        """``expected_counts`` of one long word: forward with the sums at the borders of stretches kept, then
+        backward, each stretch walked forward again from its border."""
+        data = np.frombuffer(word, np.uint8)
+        places = range(0, len(data), STRETCH)
+        borders, carried = [], [0.0]
+        for a in places:
+            borders.append(carried)
+            n, edges = self._stretch(data, a)
+            ahead = (carried + [-math.inf] * n)[: n + 1]
+            for s, e, _, gain in edges:
+                ahead[e] = log_sum(ahead[e], ahead[s] + gain)
+            carried = ahead[STRETCH:]
+        whole_word = ahead[-1]
+        counts, later = np.zeros(len(self.score), np.int64), [0.0]
+        for a, border in zip(reversed(places), reversed(borders), strict=True):
+            n, edges = self._stretch(data, a)
+            edges = list(edges)
+            ahead = (border + [-math.inf] * n)[: n + 1]
+            for s, e, _, gain in edges:
+                ahead[e] = log_sum(ahead[e], ahead[s] + gain)
+            behind = [-math.inf] * min(STRETCH, n) + later
+            shares = np.zeros(len(edges))
+            for i in range(len(edges) - 1, -1, -1):
+                s, e, _, gain = edges[i]
+                behind[s] = log_sum(behind[s], behind[e] + gain)
+                shares[i] = ahead[s] + gain + behind[e] - whole_word
+            ids = np.fromiter((edge[2] for edge in edges), np.int64, len(edges))
+            np.add.at(counts, ids, np.rint(np.exp(shares) * SHARE).astype(np.int64) * times)
+            later = behind[: self.reach() + 1]
+        counts[self.unknown] = 0
+        return counts, whole_word * times
+
+    def _counts(self, words: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
         data, word, sizes, ends, _, left, right, ids, gain, steps, last = self._lattice(words)
         nodes = np.arange(len(words))
         ahead = np.full(len(data) + len(words), -np.inf)
@@ -308,7 +440,10 @@ def encoded(column: pa.Array, model: PieceModel) -> Iterator[tuple[int, int, np.
 
 
 def chunk_counts(docs: DataFrame, model: PieceModel, *, text: str = "text") -> DataFrame:
-    """``chunk, n``: the distinct stretches of all texts that no piece reaches out of, and how often each occurs."""
+    """``chunk, n``: the distinct stretches of all texts that no piece reaches out of, and how often each occurs.
+
+    A long text without white space can be one chunk.
+    """
     spark = small_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -384,8 +519,9 @@ def encode_documents(
     empty table gives no rows, and other columns are not read.
 
     No shuffle. The model's tables go to each executor once; texts are handled
-    in runs of bounded size, and a text is cut where no piece reaches across,
-    so a long one costs no more than its length.
+    in runs of bounded size, and a text is cut where no piece reaches across.
+    Where nothing cuts it, a long text is walked in stretches: its search needs
+    six bytes for each of its bytes.
     """
     spark = small_batches(docs).sparkSession
     model = PieceModel.load(model_path)
