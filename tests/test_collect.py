@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from veclens.operators.corpus import words
+from veclens.operators.corpus import read_corpus, words
 from veclens.plans import collect as plan
 from veclens.plans.collect import CollectConfig, collect, quarantine, resume_state, saved_checkpoints, tokens_table
 from veclens.schemas import METADATA
@@ -173,6 +173,27 @@ def write_file(folder, number, n=20):
     (folder / f"part{number}.json").write_text("\n".join(lines))
 
 
+def test_stream_over_a_table_that_is_a_folder_or_a_file(spark, tmp_path):
+    corpus = make_corpus(spark)
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "file").mkdir()
+    corpus.write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    corpus.coalesce(1).write.parquet(str(tmp_path / "one"))
+    shutil.copy(next((tmp_path / "one").glob("part-*.parquet")), tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        (tmp_path / kind / "labels.parquet").write_text("another table")
+        cfg = config(tmp_path / f"run-{kind}", truncate=False)
+        for glob in ("documents.parquet", "doc*.parquet"):
+            options = {"glob": glob, "schema": corpus.schema}
+            assert read_corpus(spark, str(tmp_path / kind), **options).count() == 60
+        stream = read_corpus(spark, str(tmp_path / kind), **options, streaming=True)
+        stream_collect(stream, tokenizer, make_encoder, cfg, str(tmp_path / f"offsets-{kind}")).awaitTermination()
+        found = {}
+        for _, _, _, doc, pos, token in rows(spark, cfg):
+            found.setdefault(doc, {})[pos] = token
+        assert {d: [t[i] for i in range(len(t))] for d, t in found.items()} == expected_tokens(corpus, None)
+
+
 def test_stream_over_growing_input(spark, tmp_path):
     source, cfg = tmp_path / "source", config(tmp_path / "run")
     for number in (0, 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import has_folder, stage
 from .ordering import BUCKET_DIGITS, running, seeded_rank
 
 #: Tokens that are ranked together, a power of two, and frequent ones that are looked up from a broadcast.
@@ -24,15 +24,19 @@ def read_corpus(
 ) -> DataFrame:
     """Scan a corpus in batch or as a stream.
 
-    ``split`` names a subfolder and ``glob`` the files to take. A stream needs
+    ``split`` names a subfolder and ``glob`` the files to take; a table that was
+    written as a folder of that name is taken with all its files. A stream needs
     a folder and a schema.
     """
     reader = spark.readStream if streaming else spark.read
-    if glob:
+    folder = f"{path}/{split}" if split else path
+    if glob and has_folder(f"{folder}/{glob}"):
+        folder = f"{folder}/{glob}"  # the filter below would look at the names of the files in it
+    elif glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.format(format).load(f"{path}/{split}" if split else path)
+    return reader.format(format).load(folder)
 
 
 def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
