@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from veclens.operators.corpus import read_corpus, words
+from veclens.operators.verify import audit
 from veclens.plans import collect as plan
 from veclens.plans.collect import CollectConfig, collect, quarantine, resume_state, saved_checkpoints, tokens_table
 from veclens.schemas import METADATA
@@ -173,6 +174,24 @@ def write_file(folder, number, n=20):
     (folder / f"part{number}.json").write_text("\n".join(lines))
 
 
+def test_rows_are_written_without_a_sort_and_audited_in_one_scan(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plan, "audit", lambda pairs, *rest: seen.append(pairs) or audit(pairs, *rest))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    cfg = config(tmp_path / "run")
+    report = collect(make_corpus(spark), tokenizer, make_encoder, cfg)
+    with plan.open_files(spark, cfg):
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 256
+    with plan.open_files(spark, config(tmp_path / "x", chunk_size=100_000, d_model=7168)):
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    (pairs,) = seen
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    # the report's plan reads the small staged table only
+    assert str(tmp_path) not in report._jdf.queryExecution().executedPlan().toString()
+    assert all(r["passed"] for r in report.collect())
+
+
 def test_stream_over_a_table_that_is_a_folder_or_a_file(spark, tmp_path):
     corpus = make_corpus(spark)
     (tmp_path / "folder").mkdir()

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veclens.functions.text import chunk_name, human_readable_size
+from veclens.functions.vectors import fits_half
 from veclens.operators import chunking, corpus, monitor, verify
 from veclens.sources import logs, npy, state, tables
 
@@ -245,3 +247,19 @@ def test_chunks_grow_by_batches(tmp_path):
     with pytest.raises(OSError):
         npy.NpyWriter(str(tmp_path / "again")).write(broken())
     assert not [file for file in (tmp_path / "again").rglob("*") if file.is_file()]
+
+
+def test_half_check_agrees_with_numpy_on_all_halves_and_their_neighbours(spark):
+    halves = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+    between = (halves[:-1].astype(np.float64) + halves[1:]) / 2
+    with np.errstate(all="ignore"):
+        values = np.concatenate([
+            halves, np.nextafter(halves, np.float32(np.inf)), np.nextafter(halves, np.float32(0)), between.astype(np.float32),
+            np.array([1e-45, 1e-38, 65504.01, 65520, 7e4, 3e38, -0.0], np.float32),
+        ])
+        expected = np.isfinite(values) & (np.abs(values) <= 65504) & (values.astype(np.float16).astype(np.float32) == values)
+    rows = spark.createDataFrame(pa.table({"i": np.arange(len(values)), "v": pa.array(values[:, None].tolist(), pa.list_(pa.float32()))}))
+    found = rows.select("i", fits_half("v").alias("ok")).orderBy("i").toArrow().column("ok").to_numpy()
+    assert (found == expected).all()
+    odd = spark.createDataFrame([([1.0, None],), ([],), (None,)], "v ARRAY<DOUBLE>").select(fits_half("v"))
+    assert [r[0] for r in odd.collect()] == [False, True, None]
