@@ -263,3 +263,16 @@ def test_half_check_agrees_with_numpy_on_all_halves_and_their_neighbours(spark):
     assert (found == expected).all()
     odd = spark.createDataFrame([([1.0, None],), ([],), (None,)], "v ARRAY<DOUBLE>").select(fits_half("v"))
     assert [r[0] for r in odd.collect()] == [False, True, None]
+
+
+def test_tokens_without_a_vector_leave_before_rows_move(spark):
+    documents = spark.createDataFrame([(i, "a b c d") for i in range(50)] + [(3, "x y")], "doc_id BIGINT, text STRING")
+    tokens = corpus.flatten_tokens(corpus.tokenize(documents))
+    vectors = spark.createDataFrame(
+        [(3, 0, 10), (3, 1, 11), (3, 9, 12), (4, 0, 13), (4, 0, 14), (99, 0, 15), (None, 0, 16)], "doc_id BIGINT, pos INT, vec_id INT"
+    )
+    found = chunking.align_pairs(vectors, tokens)
+    got = sorted((r["doc_id"], r["pos"], r["vec_id"], r["token"]) for r in found.collect())
+    assert got == [(3, 0, 10, "a"), (3, 0, 10, "x"), (3, 1, 11, "b"), (3, 1, 11, "y"), (4, 0, 13, "a"), (4, 0, 14, "a")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LeftSemi")  # the filter is below the explode

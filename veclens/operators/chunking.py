@@ -233,8 +233,14 @@ def dataset_size(rows: DataFrame, d_model: int) -> DataFrame:
 
 
 def align_pairs(vectors: DataFrame, token_ids: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
-    """Rows that have both a vector and a token id under the same key."""
-    return vectors.join(token_ids, list(keys))
+    """Rows that have both a vector and a token id under the same key.
+
+    Tokens of documents without a vector leave before the join moves rows:
+    Spark takes that filter below an explode, to the texts.
+    """
+    document = list(keys[:1])
+    known = stage(vectors.select(*document).distinct(), "documents")
+    return vectors.join(token_ids.join(known, document, "left_semi"), list(keys))
 
 
 def align_arrays(vectors: str = "vectors", token_ids: str = "token_ids") -> dict:
