@@ -174,6 +174,27 @@ def write_file(folder, number, n=20):
     (folder / f"part{number}.json").write_text("\n".join(lines))
 
 
+def test_rounds_plan_their_own_documents_only(spark, tmp_path, monkeypatch):
+    planned = []
+
+    def counted(sharded, **options):
+        planned.append(sharded.count())
+        return whole(sharded, **options)
+
+    whole = plan.assign_chunks
+    monkeypatch.setattr(plan, "assign_chunks", counted)
+    corpus = make_corpus(spark, 200, bad=(5, 17, 90))
+    corpus = corpus.unionByName(spark.createDataFrame([(7, "a aa aaa"), (7, "a"), (7, "a aa")], corpus.schema))
+    cfg = config(tmp_path / "rounds", tokens_per_round=40)
+    collect(corpus, tokenizer, make_encoder, cfg)
+    assert len(planned) > 6 and sum(planned) < 3 * 203
+    once = config(tmp_path / "once")
+    collect(corpus, tokenizer, make_encoder, once)
+    kinds = [sorted(r[3:] for r in rows(spark, c)) for c in (cfg, once)]
+    assert kinds[0] == kinds[1]
+    assert quarantine(spark, cfg).count() == 3
+
+
 def test_rows_are_written_without_a_sort_and_audited_in_one_scan(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(plan, "audit", lambda pairs, *rest: seen.append(pairs) or audit(pairs, *rest))
