@@ -118,6 +118,52 @@ def test_repeated_strings_with_hot_keys_and_small_blocks(spark, monkeypatch):
     assert all(hashlib.sha256(row.kept).hexdigest() == row.kept_sha256 for row in got)
 
 
+def near_copies(n):
+    """Copies of a text with one letter changed, each elsewhere, and texts that share its middle."""
+    base = brute.long_text(70, 90)
+    texts = [base[: 3 * i] + "#" + base[3 * i + 1 :] for i in range(n)]
+    return [(i, text) for i, text in enumerate(texts + [brute.long_text(300 + i, 5 + i) + base[120:360] for i in range(10)])]
+
+
+@pytest.mark.parametrize("many", [2, 25])
+def test_hot_keys_do_not_become_a_row_per_string(spark, monkeypatch, many):
+    """Segments of a hot key are cut into a few parts each, and a part that has its finer key alone ends there."""
+    made, kept = {}, substring_dedup.stage
+
+    def counting(df, name, **options):
+        made[name] = kept(df, name, **options)
+        return made[name]
+
+    rows = near_copies(150)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for name, value in {"MANY": many, "SAMPLE": 1.0, "HOT_LEAST": 4, "stage": counting}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = substring_dedup.drop_repeats(frame).collect()
+    assert ordered(tuple(row) for row in got) == ordered(repeats_by_hand(rows, 200))
+    strings = made["repeats"].where(f"rep AND m > {many}").agg({"n": "sum"}).first()[0]
+    assert 4 * made["parts"].count() < strings
+    assert ("strings" in made) == (many == 2)
+    assert "strings" not in made or 4 * made["strings"].count() < strings
+
+
+def test_parts_of_segments_keep_equal_strings_together():
+    rng = np.random.default_rng(3)
+    data, offsets = rng.integers(97, 99, 6000).astype(np.uint8), np.array([0, 2500, 6000])
+    data[3000:3400] = data[100:500]
+    row, start, n, keys, _ = substring_dedup.segments(data, offsets, 200)
+    pieces = [data[offsets[r] + s : offsets[r] + s + m + 199] for r, s, m in zip(row, start, n, strict=True)]
+    bounds = np.cumsum([0, *map(len, pieces)])
+    owner, offset, count, finer, content = substring_dedup.segment_parts(np.concatenate(pieces), bounds, n, keys, 200, 16)
+    assert np.bincount(owner, count).astype(int).tolist() == n.tolist() and count.max() <= 16
+    found, contents = {}, {}
+    for i, o, m, key, sh in zip(owner, offset, count, finer, content, strict=True):
+        contents.setdefault(sh, set()).add(pieces[i][o : o + m + 199].tobytes())
+        for k in range(o, o + m):
+            found.setdefault(pieces[i][k : k + 200].tobytes(), set()).add(key)
+    assert all(len(x) == 1 for x in found.values()) and all(len(x) == 1 for x in contents.values())
+    assert len(found) < n.sum()
+
+
 def test_distinct_texts_under_one_id_stay_apart(spark):
     """Rows are known by their number: of many texts under one id, or none, each loses only its own repeats."""
     shared = brute.long_text(50, 50)

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from veclens.session import release, stage
 
 from . import query
-from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, ranges, runs, small_batches, span_hashes, whole
+from .texts import RUN_BYTES, byte_hashes, documents, flat, mix64, packed, ranges, runs, small_batches, span_hashes, whole
 
 #: Bytes of the anchors that bring equal strings together; at most the length that is looked for.
 ANCHOR = 32
 #: Bytes of segments that one suffix array holds, beyond its last key.
 BLOCK_BYTES = 1 << 20
-#: Keys with more distinct segments are compared by hashes of all their strings instead.
+#: Segments of keys with more distinct ones get finer keys; what is still more is compared by hashes of all strings.
 MANY = 20_000
+#: Strings of a segment's part at most, where keys are made finer.
+PART = 16
 #: A key is spread over tasks if a sample of this share of all segments has it in this share of its rows.
 SAMPLE, HOT_SHARE, HOT_LEAST = 0.01, 0.0005, 50
 SYMBOLS = 7  # of 9 bits, in the first sort key
@@ -51,17 +53,22 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return tuple(np.concatenate(part) for part in zip(*parts, strict=True))
 
 
+def anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all ``ANCHOR``-byte strings."""
+    rolled, width, step = byte_hashes(data), 1, 0x9E3779B97F4A7C15
+    while width < ANCHOR:
+        rolled = rolled[:-width] * np.uint64(step) + rolled[width:]
+        step, width = step * step % (1 << 64), 2 * width
+    return mix64(rolled)
+
+
 def _piece_segments(data: np.ndarray, first: int, offsets: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, ...]:
     """Segments of the strings that start in ``data``, which begins at byte ``first`` of the rows."""
     empty = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    rolled, width, step = byte_hashes(data), 1, 0x9E3779B97F4A7C15
-    while width < ANCHOR:
-        rolled = rolled[:-width] * np.uint64(step) + rolled[width:]
-        step, width = step * step % (1 << 64), 2 * width
-    rolled = mix64(rolled)
+    rolled = anchor_hashes(data)
     low = np.uint64((1 << bits) - 1)
     least = (rolled & ~low) | np.arange(len(rolled), dtype=np.uint64)
     span, have = length - ANCHOR + 1, 1
@@ -90,6 +97,36 @@ def _piece_segments(data: np.ndarray, first: int, offsets: np.ndarray, length: i
     return row[starts], starts + first - offsets[:-1][row[starts]], ends - starts, keys, content
 
 
+def segment_parts(
+    data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: np.ndarray, length: int, width: int
+) -> tuple[np.ndarray, ...]:
+    """Parts of at most ``width`` strings of segments: segment, offset in it, strings, finer key and content hash.
+
+    A string is known by its bytes before its anchor, so equal strings have
+    equal distances d to it and come under the same d div ``width``. The finer
+    key also hashes the bytes that all strings of that quotient would share,
+    so segments that differ there come under different keys.
+    """
+    first = offsets[:-1]
+    free = length - ANCHOR + 2 - counts  # places of an anchor that lies in all strings
+    at = ranges(first + counts - 1, free)
+    owner = np.repeat(np.arange(len(counts)), free)
+    hits = np.flatnonzero(anchor_hashes(data)[at] == keys[owner])
+    anchor = at[hits[np.searchsorted(owner[hits], np.arange(len(counts)))]]
+    string = ranges(first, counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    quotient = (anchor[owner] - string) // width
+    fresh = np.ones(len(string), bool)
+    fresh[1:] = (quotient[1:] != quotient[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(fresh)
+    n = np.diff(np.append(starts, len(string)))
+    owner, quotient, starts = owner[starts], quotient[starts], string[starts]
+    core = anchor[owner] - quotient * width
+    shared = span_hashes(data, core, core + length - width + 1)
+    finer = mix64(shared ^ mix64(keys[owner] + quotient.astype(np.uint64)))
+    return owner, starts - first[owner], n, finer, span_hashes(data, starts, starts + n + length - 1)
+
+
 # ---- suffix arrays of segments
 
 
@@ -254,6 +291,15 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
         "row", F.explode("places").alias("p"), "bytes"
     ).select("row", "p.*", F.expr(f"substring(bytes, int(p.start) + 1, int(p.n) + {length - 1})").alias("piece"))
 
+    out = whole_runs.unionByName(settled(cut_out.where("NOT many"), length))
+    if repeats.where(f"rep AND m > {MANY}").isEmpty():
+        return out
+    return out.unionByName(parts_twice(cut_out.where("many"), length))
+
+
+def settled(pieces: DataFrame, length: int) -> DataFrame:
+    """``row, start, n`` of strings that occur in two places of the pieces of a key, by suffix arrays of whole keys."""
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -293,19 +339,48 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
             "n": n,
         })
 
-    few = cut_out.where("NOT many").select("row", "start", "key", "n", "piece")
-    if repeats.where(f"rep AND m > {MANY}").isEmpty():
-        rest = None
-    else:
-        rest = strings_twice(cut_out.where("many"), length)
-    ordered = few.repartition("key").sortWithinPartitions("key")
-    parts = ordered.mapInArrow(settle, f"{PLACE}, start bigint, n bigint")
-    out = whole_runs.unionByName(parts)
-    return out if rest is None else out.unionByName(rest)
+    ordered = pieces.select("row", "start", "key", "n", "piece").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(settle, f"{PLACE}, start bigint, n bigint")
+
+
+def parts_twice(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys with very many segments, which are cut into parts with finer keys.
+
+    A part whose content comes again repeats as a whole; one that shares its
+    finer key with nothing holds no repeat. Only finer keys with very many
+    contents are counted string by string.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 2048):
+                part = batch.slice(first, 2048)
+                data, offsets = flat(part.column(3))
+                keys = part.column(4).to_numpy().view(np.uint64)
+                owner, offset, n, finer, content = segment_parts(data, offsets, part.column(2).to_numpy(), keys, length, PART)
+                sizes = n + length - 1
+                yield pa.RecordBatch.from_pydict({
+                    "row": part.column(0).to_numpy()[owner], "start": part.column(1).to_numpy()[owner] + offset, "n": n,
+                    "piece": packed(data[ranges(offsets[owner] + offset, sizes)], sizes),
+                    "key": finer.view(np.int64), "sh": content.view(np.int64),
+                })
+
+    rows = pieces.select("row", "start", "n", "piece", "key")
+    parts = stage(rows.mapInArrow(cut, f"{PLACE}, start bigint, n bigint, piece binary, key bigint, sh bigint"), "parts")
+    contents = parts.groupBy("key", "sh").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start")).alias("rep"), F.first("n").alias("n"), F.first("piece").alias("piece")
+    )
+    contents = stage(contents.select("key", "sh", "c", "rep.*", "n", "piece"), "contents")
+    again = contents.where("c > 1").select("key", "sh")
+    out = parts.join(again, ["key", "sh"], "left_semi").select("row", "start", "n")
+    sizes = stage(contents.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    out = out.unionByName(settled(contents.join(sizes.where(f"m <= {MANY}"), "key"), length))
+    many = sizes.where(f"m > {MANY}")
+    return out if many.isEmpty() else out.unionByName(strings_twice(contents.join(many, "key"), length))
 
 
 def strings_twice(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys with very many segments: strings are hashed one by one and counted by Spark."""
+    """The same for finer keys with very many contents: strings are hashed one by one and counted by Spark."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,9 +421,10 @@ def drop_repeats(
     a whole; where contents under one key differ, one of each is fetched and a
     suffix array of a bounded block finds the strings they share, by backward
     extension up to ``length``. A text of any length is cut into segments
-    ``RUN_BYTES`` at a time. Keys with very many contents are counted string
-    by string by Spark instead, which is exact too, and keys that a sample shows
-    to be hot are dealt by content, so no task gathers them.
+    ``RUN_BYTES`` at a time. Keys that a sample shows to be hot are dealt by
+    content, so no task gathers them; theirs and other segments of keys with very
+    many contents are cut into parts with finer keys, a few rows each. What still
+    has very many contents is counted string by string by Spark, which is exact too.
     """
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), whole(text).alias("text"))
     # a row is known by its number, as ids may repeat; written, so that the number stays
