@@ -312,6 +312,48 @@ def test_fit_equals_a_plain_training_loop(spark, data):
     assert [found[1]["recon_loss"], found[3]["recon_loss"]] == pytest.approx([history[1][0], history[3][0]])
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and the number of Spark jobs it starts."""
+    context, group = spark.sparkContext, "counted"
+    context.setJobGroup(group, group)
+    try:
+        return run(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("options", [{"batch_size": 4}, {"batch_size": 3, "steps_per_job": 2, "tasks_per_job": 3}])
+def test_small_steps_share_a_job_and_change_nothing(spark, data, monkeypatch, options):
+    """Blocks of steps, or of windows of local steps, against a job for each; batches and windows end short."""
+    rows, _ = data
+    options |= {"lr": 0.02, "epochs": 2, "train_split": 0.83, "l1_coeff": 0.01}
+    fitted, n_jobs = jobs_of(spark, lambda: Sae(S, **options).fit(rows))
+    unit = 1 if options["batch_size"] == 4 else 6
+    work = unit * options["batch_size"] * 1024
+    monkeypatch.setattr(train, "BLOCK_WORK", 3 * work)  # several blocks an epoch, the last one short
+    in_blocks = Sae(S, **options).fit(rows)
+    monkeypatch.setattr(train, "STEP_WORK", 0)
+    alone, n_alone = jobs_of(spark, lambda: Sae(S, **options).fit(rows))
+    kept = [fitted.parameters, in_blocks.parameters, alone.parameters]
+    weights = [next(p.rows(spark)).orderBy("feature_id").collect() for p in kept]
+    for other, found in zip(kept[1:], weights[1:]):
+        for name in ("w_enc", "b_enc", "w_dec"):
+            np.testing.assert_allclose([r[name] for r in found], [r[name] for r in weights[0]], atol=1e-9)
+        np.testing.assert_allclose(other.b_dec, kept[0].b_dec, atol=1e-9)
+        np.testing.assert_allclose(other.activation_mean, kept[0].activation_mean, atol=1e-9)
+    histories = [[tuple(r) for r in m.history.orderBy("epoch", "split").collect()] for m in (fitted, in_blocks, alone)]
+    for history in histories[1:]:
+        assert [r[:2] for r in history] == [r[:2] for r in histories[0]]
+        np.testing.assert_allclose([r[2:] for r in history], [r[2:] for r in histories[0]], atol=1e-9)
+    assert n_jobs < n_alone - 10
+
+
+def test_large_steps_stay_jobs_of_their_own():
+    config = train.TrainingConfig(128, batch_size=256)
+    assert config.block(64) == 512 and replace(config, steps_per_job=4, tasks_per_job=2, batch_size=64).block(64) == 2048
+    assert train.TrainingConfig(57344).block(7168) == 0 and replace(config, batch_size=8192 * 16).block(64) == 0
+
+
 def moved(df, column):
     """Exchanges of the plan that carry the column."""
     text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -6,6 +6,12 @@ aggregation; the driver, which holds the parameters, applies the update. What
 travels and what the driver holds is bounded by the model, never by the data;
 models above ``DRIVER_LIMIT_BYTES`` are refused.
 
+Steps need the result of the step before, so a step whose arithmetic takes less
+time than a job has nothing to gain from more tasks. Such steps run one after
+the other in a task that reads a bounded block of whole batches in order, one
+job per block; parameters and moments travel between jobs. The same holds for
+windows of local steps. Larger steps are jobs of their own.
+
 ``steps_per_job`` above 1 trades exactness for fewer jobs and larger models:
 every task takes that many local steps on whole batches of its own, and the
 parameters are averaged afterwards. There the weights stay a table in shared
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit
 from ..operators.sae import (
     BROADCAST_LIMIT_BYTES, DRIVER_LIMIT_BYTES, SaeModel, SaeParams, SaeTable, batch_metrics, centre,
-    epoch_metrics, initial_weights, mean_by_batch, model_bytes, normalize_decoder, params_from_rows, to_matrix,
-    to_vectors,
+    epoch_metrics, initial_weights, mean_by_batch, model_bytes, normalize_decoder, params_from_rows, share_arrays,
+    to_matrix, to_vectors,
 )
 from ..operators.split import epoch_batches, train_val_split
 from ..session import discard, stage, staging_path
@@ -43,6 +49,9 @@ EPSILON = 1e-8
 COMMON = -1  # feature_id of the row with decoder-bias gradient and batch sums
 TRAINED = ("w_enc", "b_enc", "w_dec", "b_dec")
 MEAN_BLOCK = 64
+#: Work of a step or window, as rows x d_model x d_sae, above which it is a job of its own; the work of a block of smaller ones.
+STEP_WORK = 1 << 26
+BLOCK_WORK = 1 << 30
 
 
 class Adam:
@@ -88,6 +97,95 @@ def batch_gradients(x: np.ndarray, weights: dict, normalize: str, apply_b_dec: b
     return gradients, sums
 
 
+def train_one(x: np.ndarray, params: SaeParams, optimizer: Adam, l1_coeff: float) -> tuple[SaeParams, np.ndarray]:
+    """One step on a whole batch; the new parameters and the batch's mean figures."""
+    mean = next_mean(params, x.mean(axis=0))
+    params = replace(params, activation_mean=mean, mean_initialized=True)
+    gradients, (squared, acts, active, n) = batch_gradients(
+        x, params.arrays(), params.normalize_activations, params.apply_b_dec_to_input, len(x), l1_coeff
+    )
+    figures = np.array([squared / (n * params.d_model), acts / (n * params.d_sae), active / n])
+    return normalize_decoder(optimizer.update(params, gradients)), figures
+
+
+def whole_batches(batches: Iterator[pa.RecordBatch], width: int, dtype) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and matrix of every batch, from rows of ``batch_id, activation`` in batch order."""
+    current, parts = None, []
+    for rows in batches:
+        ids = rows.column(0).to_numpy()
+        x = to_matrix(rows.column(1), width, dtype)
+        edges = np.flatnonzero(np.diff(ids)) + 1
+        for piece in np.split(np.arange(len(ids)), edges):
+            if not len(piece):
+                continue
+            if parts and ids[piece[0]] != current:
+                yield current, np.concatenate(parts)
+                parts = []
+            current = int(ids[piece[0]])
+            parts.append(x[piece])
+    if parts:
+        yield current, np.concatenate(parts)
+
+
+def in_order(block: DataFrame) -> DataFrame:
+    """A bounded block of whole batches, in order, as one task reads it; nothing is shuffled."""
+    return block.coalesce(1).sortWithinPartitions("batch_id", "token_idx")
+
+
+def chained_steps(block: DataFrame, params: SaeParams, optimizer: Adam, l1_coeff: float) -> tuple[SaeParams, np.ndarray, int]:
+    """Exact steps over a block of whole batches, one after the other in one task.
+
+    Takes the optimizer along and returns the parameters, the sums of the
+    batches' figures and their number. What comes back is three times the model.
+    """
+    d, state = params.d_model, params.arrays()
+    state |= {f"first_{name}": array for name, array in optimizer.first.items()}
+    state |= {f"second_{name}": array for name, array in optimizer.second.items()}
+    load = share_arrays(block.sparkSession, state, BROADCAST_LIMIT_BYTES)
+    bare = replace(params, **{name: np.zeros((0, d)) for name in params.arrays()}, metadata={})
+    dtype, lr, done = params.dtype, optimizer.lr, optimizer.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = load()
+        local = replace(bare, **{name: arrays[name] for name in bare.arrays()})
+        steps = Adam(local, lr)
+        steps.step = done
+        for name in TRAINED:  # copies, as moments change in place
+            steps.first[name], steps.second[name] = arrays[f"first_{name}"].copy(), arrays[f"second_{name}"].copy()
+        figures, n = np.zeros(3), 0
+        for _, x in whole_batches(batches, d, dtype):
+            local, found = train_one(x, local, steps, l1_coeff)
+            figures, n = figures + found, n + 1
+        if not n:
+            return
+        sets = [{name: getattr(local, name) for name in TRAINED}, steps.first, steps.second]
+        width = max(1, (8 << 20) // (8 * 3 * (2 * d + 1)))
+        for start in range(0, local.d_sae, width):
+            own = slice(start, min(start + width, local.d_sae))
+            joined = np.hstack([part for x in sets for part in (x["w_enc"][own], x["b_enc"][own, None], x["w_dec"][own])])
+            ids = pa.array(np.arange(own.start, own.stop, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([ids, to_vectors(joined)], ["feature_id", "gradient"])
+        common = np.concatenate([*(x["b_dec"] for x in sets), local.activation_mean, figures, [n]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([COMMON], pa.int32()), to_vectors(common[None, :])], ["feature_id", "gradient"]
+        )
+
+    rows = in_order(block).select("batch_id", "activation").mapInArrow(run, "feature_id INT, gradient ARRAY<DOUBLE>")
+    features, matrix, common = feature_matrix(rows, 3 * (2 * d + 1))
+    matrix = matrix[np.argsort(features)]
+    parts = []
+    for k in range(3):
+        own = matrix[:, k * (2 * d + 1):(k + 1) * (2 * d + 1)]
+        parts.append({
+            "w_enc": own[:, :d].astype(dtype), "b_enc": own[:, d].astype(dtype), "w_dec": own[:, d + 1:].astype(dtype),
+            "b_dec": common[k * d:(k + 1) * d].astype(dtype),
+        })
+    n = int(common[-1])
+    optimizer.first, optimizer.second, optimizer.step = parts[1], parts[2], done + n
+    params = replace(params, **parts[0], activation_mean=common[3 * d:4 * d].astype(dtype), mean_initialized=True)
+    return params, common[4 * d:-1], n
+
+
 def gradient_rows(batch: DataFrame, params: SaeParams, n_rows: int, l1_coeff: float) -> DataFrame:
     """Summed gradients of one batch: ``feature_id`` and ``gradient``.
 
@@ -152,61 +250,61 @@ def feature_matrix(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray,
     return ids[others], values[places], common
 
 
-def local_training(window: DataFrame, params: SaeTable, lr: float, l1_coeff: float) -> DataFrame:
-    """Weighted sums of parameters that tasks trained on whole batches of their own.
+def local_training(
+    window: DataFrame, params: SaeTable, lr: float, l1_coeff: float, steps_per_job: int, batches_per_window: int
+) -> DataFrame:
+    """Weighted sums of parameters that learners trained on whole batches of their own.
 
-    Tasks must hold each of their batches whole, in batch order. A task's
-    weight is its number of batches. The ``COMMON`` row sums decoder bias,
-    running mean, batch figures and weights.
+    A learner is ``steps_per_job`` consecutive batches. Tasks must hold each of
+    their learners whole, in batch order: one of one window, or all of several
+    windows, where each window begins with the mean of the one before. A
+    learner's weight is its number of batches; sums are those of the last window.
+    The ``COMMON`` row sums decoder bias, running mean, batch figures, batches
+    and weights.
     """
     load = params.share(window.sparkSession, None, True, 0)
     width, dtype = params.d_model, params.dtype
     normalize, apply_b_dec = params.normalize_activations, params.apply_b_dec_to_input
     initialized = params.mean_initialized
-
-    def train_one(x, local, optimizer):
-        mean = next_mean(local, x.mean(axis=0))
-        local = replace(local, activation_mean=mean, mean_initialized=True)
-        gradients, sums = batch_gradients(x, local.arrays(), normalize, apply_b_dec, len(x), l1_coeff)
-        return normalize_decoder(optimizer.update(local, gradients)), sums
+    names = (*TRAINED, "activation_mean")
 
     def run(batches):
-        local = SaeParams(
+        start = SaeParams(
             **{name: np.array(array, dtype=dtype) for name, array in load().items() if name != "feature_ids"},
             normalize_activations=normalize, apply_b_dec_to_input=apply_b_dec, mean_initialized=initialized,
         )
-        optimizer, current, parts, metrics = Adam(local, lr), None, [], []
-
-        def finish():
-            nonlocal local
-            if parts:
-                x = np.concatenate(parts)
-                local, (squared, acts, active, n) = train_one(x, local, optimizer)
-                metrics.append([squared / (n * width), acts / (n * local.d_sae), active / n])
-                parts.clear()
-
-        for rows in batches:
-            ids = rows.column(0).to_numpy()
-            x = to_matrix(rows.column(1), width, dtype)
-            edges = np.flatnonzero(np.diff(ids)) + 1
-            for piece in np.split(np.arange(len(ids)), edges):
-                if not len(piece):
-                    continue
-                if ids[piece[0]] != current:
-                    finish()
-                    current = ids[piece[0]]
-                parts.append(x[piece])
-        finish()
+        local = optimizer = learner = None
+        own, held, sums, metrics = 0, 0, {}, []
+
+        def close_learner():
+            nonlocal own, held
+            for name in names:
+                sums[name] = sums.get(name, 0) + getattr(local, name) * float(own)
+            own, held = 0, held + own
+
+        for number, x in whole_batches(batches, width, dtype):
+            if number // steps_per_job != learner:
+                if own:
+                    close_learner()
+                    if number // batches_per_window != learner * steps_per_job // batches_per_window:
+                        mean = {name: sums[name] / held for name in names}
+                        start = normalize_decoder(replace(start, **mean, mean_initialized=True))
+                        held = 0
+                        sums.clear()
+                local, optimizer, learner = start, Adam(start, lr), number // steps_per_job
+            local, figures = train_one(x, local, optimizer, l1_coeff)
+            metrics.append(figures)
+            own += 1
         if not metrics:
             return
-        weight, sums = float(len(metrics)), np.sum(metrics, axis=0)
+        close_learner()
         step = max(1, (8 << 20) // (8 * (2 * width + 2)))
-        for start in range(0, local.d_sae, step):
-            block = slice(start, min(start + step, local.d_sae))
-            joined = np.hstack([local.w_enc[block], local.b_enc[block, None], local.w_dec[block]]) * weight
+        for first in range(0, local.d_sae, step):
+            block = slice(first, min(first + step, local.d_sae))
+            joined = np.hstack([sums["w_enc"][block], sums["b_enc"][block, None], sums["w_dec"][block]])
             ids = pa.array(np.arange(block.start, block.stop, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([ids, to_vectors(joined)], ["feature_id", "gradient"])
-        common = np.concatenate([local.b_dec * weight, local.activation_mean * weight, sums, [weight]])
+        common = np.concatenate([sums["b_dec"], sums["activation_mean"], np.sum(metrics, axis=0), [len(metrics), held]])
         yield pa.RecordBatch.from_arrays(
             [pa.array([COMMON], pa.int32()), to_vectors(common[None, :])], ["feature_id", "gradient"]
         )
@@ -238,7 +336,7 @@ def averaged(sums: DataFrame, params: SaeTable) -> tuple[SaeTable, np.ndarray, i
         params, path=path, b_dec=common[:d] / weight, activation_mean=common[d:2 * d] / weight,
         mean_initialized=True,
     )
-    return updated, common[2 * d:-1], int(weight)
+    return updated, common[2 * d:-2], int(common[-2])
 
 
 def next_mean(params: SaeParams, batch_mean: np.ndarray) -> np.ndarray:
@@ -312,9 +410,17 @@ class TrainingConfig:
 
     @property
     def window(self) -> int:
-        """Batches of one job of local steps."""
+        """Batches between two averages of local steps."""
         return self.steps_per_job * self.tasks_per_job
 
+    def block(self, d_model: int) -> int:
+        """Batches of one job that takes its steps or windows one after the other; 0 if each is work for a job."""
+        unit = self.window if self.steps_per_job > 1 else 1
+        work = unit * self.batch_size * max(d_model * self.d_sae, 1024)
+        if work > STEP_WORK or 3 * model_bytes(d_model, self.d_sae) > BROADCAST_LIMIT_BYTES:
+            return 0
+        return unit * (BLOCK_WORK // work)
+
 
 class Sae(Estimator):
     """Estimator over rows of ``token_idx`` and ``activation``."""
@@ -339,12 +445,13 @@ class Sae(Estimator):
         config, spark = self.config, rows.sparkSession
         optimizer = Adam(params, config.lr) if isinstance(params, SaeParams) else None
         history, best = [], None
+        block = config.block(d_model)
         for epoch in range(1, config.epochs + 1):
             placed = epoch_batches(split, epoch, config.batch_size)
-            path = self.lay_out(rows, placed.where(F.col("split") == "train"), epoch)
-            train = spark.read.schema(WINDOWED if config.steps_per_job > 1 else BATCHED).parquet(path)
+            path = self.lay_out(rows, placed.where(F.col("split") == "train"), epoch, block)
+            train = spark.read.schema(WINDOWED if block or config.steps_per_job > 1 else BATCHED).parquet(path)
             kept = best[2] if best else None
-            params, train_figures = self.train_epoch(train, params, optimizer, kept)
+            params, train_figures = self.train_epoch(train, params, optimizer, kept, block)
             discard(path)
             val = in_batches(rows, placed.where(F.col("split") == "val"))
             val_figures = validate(SaeModel(params), val)
@@ -374,16 +481,22 @@ class Sae(Estimator):
             raise ValueError(f"the model needs {size:,} bytes on the driver; use steps_per_job above 1")
         return params_from_rows(stage(weights, "start"), d_model, config.d_sae, **options)
 
-    def lay_out(self, rows: DataFrame, placed: DataFrame, epoch: int) -> str:
+    def lay_out(self, rows: DataFrame, placed: DataFrame, epoch: int, block: int) -> str:
         """Writes one epoch's train rows on disk, so that a step reads only its batch, or a job only its window.
 
         The vectors lie in buckets of ``token_idx``; the narrow batch numbers are
         shuffled to them. Single steps get whole batches in one or two files:
         vectors move once, to ranges of batches. Jobs of local steps shuffle
         their window themselves, so here vectors stay in their buckets and only
-        go to the folder of their window.
+        go to the folder of their window. Blocks of small steps or windows are
+        ranges of batches as well, in folders of their own.
         """
         path = staging_path(rows.sparkSession, f"epoch{epoch}")
+        if block:
+            window = F.expr(f"batch_id div {block}").alias("window")
+            laid = in_ranges(in_batches(rows, placed), placed, self.config.buckets)
+            laid.select(window, *BATCHED_NAMES).write.partitionBy("window").parquet(path)
+            return path
         if self.config.steps_per_job > 1:
             window = F.expr(f"batch_id div {self.config.window}").alias("window")
             joined = in_batches(rows, placed).select(window, *BATCHED_NAMES)
@@ -392,7 +505,7 @@ class Sae(Estimator):
         in_ranges(in_batches(rows, placed), placed, self.config.buckets).write.parquet(path)
         return path
 
-    def train_epoch(self, train: DataFrame, params: SaeParams, optimizer: Adam | None, kept):
+    def train_epoch(self, train: DataFrame, params: SaeParams, optimizer: Adam | None, kept, block: int):
         """All steps of an epoch; returns parameters and mean batch figures.
 
         ``kept`` are the best parameters so far, which must stay.
@@ -402,8 +515,14 @@ class Sae(Estimator):
         if not n_rows:
             return params, (None, None, None)
         if config.steps_per_job > 1:
-            return self.train_epoch_locally(train, params, last + 1, kept)
+            return self.train_epoch_locally(train, params, last + 1, kept, block)
         figures = np.zeros(3)
+        if block:
+            for number in range(last // block + 1):
+                own = train.where(F.col("window") == number)
+                params, sums, _ = chained_steps(own, params, optimizer, config.l1_coeff)
+                figures += sums
+            return params, tuple((figures / (last + 1)).tolist())
         means: dict[int, tuple[np.ndarray, int]] = {}
         for t in range(last + 1):
             if t not in means:
@@ -420,16 +539,19 @@ class Sae(Estimator):
             params = normalize_decoder(optimizer.update(params, gradients))
         return params, tuple((figures / (last + 1)).tolist())
 
-    def train_epoch_locally(self, train: DataFrame, params: SaeTable, n_batches: int, kept):
+    def train_epoch_locally(self, train: DataFrame, params: SaeTable, n_batches: int, kept, block: int):
         config = self.config
         figures, counted = np.zeros(3), 0
-        for number in range(-(-n_batches // config.window)):
-            placed = train.where(F.col("window") == number).withColumn(
-                "task", F.expr(f"(batch_id - {number * config.window}) div {config.steps_per_job}").cast("int")
-            )
-            whole = placed.repartitionById(config.tasks_per_job, "task").sortWithinPartitions("batch_id", "token_idx")
+        for number in range(-(-n_batches // (block or config.window))):
+            placed = train.where(F.col("window") == number)
+            if block:
+                whole = in_order(placed)
+            else:
+                task = F.expr(f"(batch_id - {number * config.window}) div {config.steps_per_job}").cast("int")
+                whole = placed.withColumn("task", task).repartitionById(config.tasks_per_job, "task").sortWithinPartitions("batch_id", "token_idx")
             before = params
-            params, sums, n = averaged(local_training(whole, before, config.lr, config.l1_coeff), before)
+            trained = local_training(whole, before, config.lr, config.l1_coeff, config.steps_per_job, config.window)
+            params, sums, n = averaged(trained, before)
             if before is not kept:
                 discard(before.path)
             figures, counted = figures + sums, counted + n
