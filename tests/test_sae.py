@@ -348,6 +348,12 @@ def test_small_steps_share_a_job_and_change_nothing(spark, data, monkeypatch, op
     assert n_jobs < n_alone - 10
 
 
+def test_a_null_value_in_a_vector_is_an_error(spark):
+    rows = spark.createDataFrame([(i, [1.0, None if i == 5 else float(i)]) for i in range(20)], "token_idx BIGINT, activation ARRAY<FLOAT>")
+    with pytest.raises(Exception, match="null value"):
+        Sae(3, batch_size=4, epochs=1, train_split=1.0).fit(rows)
+
+
 def test_large_steps_stay_jobs_of_their_own():
     config = train.TrainingConfig(128, batch_size=256)
     assert config.block(64) == 512 and replace(config, steps_per_job=4, tasks_per_job=2, batch_size=64).block(64) == 2048

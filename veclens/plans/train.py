@@ -145,6 +145,12 @@ def chained_steps(block: DataFrame, params: SaeParams, optimizer: Adam, l1_coeff
     bare = replace(params, **{name: np.zeros((0, d)) for name in params.arrays()}, metadata={})
     dtype, lr, done = params.dtype, optimizer.lr, optimizer.step
 
+    def without_nulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.column(1).flatten().null_count:
+                raise ValueError("a vector to train on has a null value")
+            yield rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = load()
         local = replace(bare, **{name: arrays[name] for name in bare.arrays()})
@@ -153,7 +159,7 @@ def chained_steps(block: DataFrame, params: SaeParams, optimizer: Adam, l1_coeff
         for name in TRAINED:  # copies, as moments change in place
             steps.first[name], steps.second[name] = arrays[f"first_{name}"].copy(), arrays[f"second_{name}"].copy()
         figures, n = np.zeros(3), 0
-        for _, x in whole_batches(batches, d, dtype):
+        for _, x in whole_batches(without_nulls(batches), d, dtype):
             local, found = train_one(x, local, steps, l1_coeff)
             figures, n = figures + found, n + 1
         if not n:
