@@ -140,6 +140,24 @@ def test_words_alone_tell_texts_apart(spark):
         assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(100, 200))
 
 
+def test_driver_gets_no_ngrams(spark, monkeypatch):
+    """What the fit brings to the driver is a few numbers a row and the model, however long the texts are."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(map(str, rng.integers(0, 50 + i % 2, 2000)))) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    fetched, frame = [], type(docs)
+    to_arrow = frame.toArrow
+
+    def noted(df):
+        fetched.append(to_arrow(df))
+        return fetched[-1]
+
+    monkeypatch.setattr(frame, "toArrow", noted)
+    model = nbsvm.fit_quality(docs, labels)
+    assert sum(table.nbytes for table in fetched) < 40 * 100
+    assert model.weights.any() and len(model.weights) == nbsvm.FEATURES
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(2)
     rows, target = [], []

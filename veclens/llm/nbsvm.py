@@ -207,13 +207,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", l
         release(made)
         return NbSvm.fit([], np.zeros(0, bool))
     last = F.struct(*[F.lit(sizes.column(name)[taken - 1].as_py()).cast(made.schema[name].dataType).alias(name) for name in place])
-    table = made.where(F.struct(*place) <= last).toArrow()  # at most ``grams`` numbers
+    # at most ``grams`` numbers, which one task takes in this order; the driver gets the model alone
+    taken_rows = made.where(F.struct(*place) <= last).select(*place, "y", "row").repartition(1).sortWithinPartitions(*place)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, y = [], []
+        for batch in batches:
+            lists = batch.column("row")
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            found += np.split(lists.flatten().to_numpy(), ends[:-1]) if len(batch) else []
+            y.append(batch.column("y").to_numpy())
+        order = np.random.default_rng(3).permutation(len(found))
+        model = NbSvm.fit([found[i] for i in order], np.concatenate(y)[order] == 1)
+        numbers = {name: [getattr(model, name)] for name in ("bias", "slope", "shift")}
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), **numbers})
+
+    model = taken_rows.mapInArrow(fit, "weights binary, bias double, slope double, shift double").collect()[0]
     release(made)
-    table = table.sort_by([(name, "ascending") for name in place]).combine_chunks()  # the same order in every run
-    ends = np.cumsum(table.column("n").to_numpy())
-    found = np.split(table.column("row").combine_chunks().flatten().to_numpy(), ends[:-1])
-    order = np.random.default_rng(3).permutation(len(found))
-    return NbSvm.fit([found[i] for i in order], table.column("y").to_numpy()[order] == 1)
+    return NbSvm(np.frombuffer(bytes(model.weights)), model.bias, model.slope, model.shift)
 
 
 def score_quality(docs: DataFrame, model: NbSvm, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
