@@ -9,7 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from veclens.operators.corpus import read_corpus, words
-from veclens.operators.verify import audit
+from veclens.operators.encode import hashed_tokenizer
+from veclens.operators.verify import activation_facts, audit, token_facts, whole_chunks
 from veclens.plans import collect as plan
 from veclens.plans.collect import CollectConfig, collect, quarantine, resume_state, saved_checkpoints, tokens_table
 from veclens.schemas import METADATA
@@ -331,3 +332,43 @@ def test_malformed_matrices_are_quarantined_and_the_run_ends(spark, tmp_path):
     assert rounds < 39
     collect(corpus, tokenizer, make_careless_encoder, cfg, max_rounds=3)
     assert saved_checkpoints(spark, cfg).agg(F.max("round")).first()[0] == rounds
+
+
+def test_tasks_write_and_audit_one_file_per_chunk(spark, tmp_path):
+    """Files that tasks write hold what Spark's reader finds in them, and the audit of files is that of rows."""
+    cfg = config(tmp_path / "run", tokens_per_round=30)
+    collect(make_corpus(spark, bad={4, 17}), tokenizer, make_encoder, cfg)
+    folders = {}
+    for path in Path(cfg.tokens_path).rglob("*.parquet"):
+        folders.setdefault(path.parent, []).append(path.name)
+    assert folders and all(names == ["part-0.parquet"] for names in folders.values())
+    assert not list(Path(cfg.tokens_path).rglob("_*"))
+    counts = {(r.shard_id, r.chunk_id): r["count"] for r in tokens_table(spark, cfg).groupBy("shard_id", "chunk_id").count().collect()}
+    whole = {(r.shard_id, r.chunk_id): r for r in whole_chunks(tokens_table(spark, cfg)).collect()}
+    assert {key: r.act_rows for key, r in whole.items()} == counts
+    assert {(r.shard_id, r.chunk_id): r for r in plan.stored_chunks(spark, cfg).collect()} == whole
+
+
+def test_an_audit_of_files_sees_what_one_of_rows_sees(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    bodies = [
+        [([1.0, 2.0], 5), ([0.5, 65504.0], 6)], [([0.1, 2.0], 5)], [([nan, 2.0], 5), ([1.0, 2.0], 5)], [([inf, 2.0], 5)], [([1.0], 5), ([1.0, 2.0], 6)],
+        [([None, 2.0], 5)], [(None, 5), ([1.0, 2.0], 7)], [(None, None)], [([], 1)], [([1.0, 70000.0], None), ([1.0, 2.0], 3)], [([2.0**-24, 2.0**-25], 1)],
+    ]
+    rows = [("ok", 0, chunk, vector, token) for chunk, body in enumerate(bodies) for vector, token in body]
+    table = spark.createDataFrame(rows, "status STRING, shard_id INT, chunk_id BIGINT, activation ARRAY<FLOAT>, token_id INT")
+    cfg = config(tmp_path)
+    table.coalesce(1).write.partitionBy("status", "shard_id", "chunk_id").parquet(f"{cfg.tokens_path}/round=0")
+    facts = ["chunk_id", "act_rows", "min_width", "max_width", "acts_ok", "tok_rows", "toks_ok"]
+    expected = table.groupBy("shard_id", "chunk_id").agg(*activation_facts(), *token_facts()).select(*facts)
+    for audited in (whole_chunks(table), whole_chunks(table.repartition(3)), plan.stored_chunks(spark, cfg)):
+        assert sorted(map(tuple, audited.select(*facts).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_hashed_ids_are_the_start_of_each_words_md5(spark):
+    texts = [(0, "a bb a ccc"), (1, None), (2, ""), (3, " zwölf\tbb 日本 "), (4, "a")]
+    docs = spark.createDataFrame(texts, "n INT, text STRING")
+    plain = F.transform(words("text"), lambda word: F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int"))
+    found = docs.select("n", hashed_tokenizer(words)(F.col("text")).alias("ids"), plain.alias("plain")).collect()
+    assert len(found) == 5 and all(r.ids == r.plain for r in found)
+    assert found[0].ids[0] == found[0].ids[2] and "ArrowEvalPython" in docs.select(hashed_tokenizer(words)("text"))._jdf.queryExecution().toString()
