@@ -372,3 +372,29 @@ def test_hashed_ids_are_the_start_of_each_words_md5(spark):
     found = docs.select("n", hashed_tokenizer(words)(F.col("text")).alias("ids"), plain.alias("plain")).collect()
     assert len(found) == 5 and all(r.ids == r.plain for r in found)
     assert found[0].ids[0] == found[0].ids[2] and "ArrowEvalPython" in docs.select(hashed_tokenizer(words)("text"))._jdf.queryExecution().toString()
+
+
+def test_rounds_planned_at_once_are_those_planned_singly(spark, tmp_path, monkeypatch):
+    """Nothing fails, so plans reach over many rounds; after a failure the next round is planned anew."""
+    planned = []
+
+    def noted(*args, **options):
+        planned.append(options)
+        return whole(*args, **options)
+
+    whole = plan.assign_chunks
+    monkeypatch.setattr(plan, "assign_chunks", noted)
+    found, n_planned = {}, {}
+    for bad, single in (((), 100), ((), 1), ((40, 90), 100), ((40, 90), 1)):
+        monkeypatch.setattr(plan, "SINGLE_ROUNDS", single)
+        monkeypatch.setattr(plan, "PLANNED_ROUNDS", 5)
+        planned.clear()
+        cfg = config(tmp_path / f"run-{len(bad)}-{single}", tokens_per_round=40)
+        assert all(r["passed"] for r in collect(make_corpus(spark, 120, bad), tokenizer, make_encoder, cfg).collect())
+        history = saved_checkpoints(spark, cfg).drop("timestamp")
+        state = {r.shard_id: r for r in plan.saved_state(spark, cfg).collect()}
+        assert state == {r.shard_id: r for r in resume_state(saved_checkpoints(spark, cfg)).collect()}
+        found[bad, single], n_planned[bad, single] = (rows(spark, cfg), sorted(map(tuple, history.collect())), quarantine(spark, cfg).count()), len(planned)
+    for bad in ((), (40, 90)):
+        assert found[bad, 1] == found[bad, 100] and found[bad, 1][2] == len(bad)
+        assert n_planned[bad, 1] < n_planned[bad, 100]
