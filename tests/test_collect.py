@@ -398,3 +398,14 @@ def test_rounds_planned_at_once_are_those_planned_singly(spark, tmp_path, monkey
     for bad in ((), (40, 90)):
         assert found[bad, 1] == found[bad, 100] and found[bad, 1][2] == len(bad)
         assert n_planned[bad, 1] < n_planned[bad, 100]
+
+
+def test_a_store_that_only_spark_opens_gets_the_same_rows(spark, tmp_path, monkeypatch):
+    found = []
+    for tasks in (True, False):
+        monkeypatch.setattr(plan, "opened_by_tasks", lambda path, tasks=tasks: tasks)
+        cfg = config(tmp_path / f"run-{tasks}", tokens_per_round=60)
+        report = collect(make_corpus(spark, bad={4, 17}), tokenizer, make_encoder, cfg)
+        history = saved_checkpoints(spark, cfg).drop("timestamp")
+        found.append((rows(spark, cfg), quarantine(spark, cfg).count(), *(sorted(map(tuple, df.collect())) for df in (history, report))))
+    assert found[0] == found[1] and found[0][1] == 2
